@@ -68,9 +68,12 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def scan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of ``df``; for a scan, the size of its files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+def scan_bytes(df: DataFrame, text: str = "text") -> int:
+    """Size of ``df``: its files' as Catalyst knows it, or else half the bytes of its texts, counted."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if known < 1 << 52:
+        return known
+    return (df.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0) // 2
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -149,7 +149,7 @@ def tags(words: Sequence[str], at: Sequence[tuple[int, int]], spans: Iterable[Sp
     return out
 
 
-def labelled(spark: SparkSession, seed: int = 7, each: int = 60) -> DataFrame:
+def labelled(spark: SparkSession, seed: int = 7, each: int = 40) -> DataFrame:
     """The built-in labelled table: lines made from templates, with the spans of their personal data."""
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice(("ka", "lo", "mi", "ten", "sur", "va", "ne", "or")) for _ in range(rng.randint(1, 4)))
@@ -181,7 +181,7 @@ def labelled(spark: SparkSession, seed: int = 7, each: int = 60) -> DataFrame:
     return spark.createDataFrame(rows, "line_id long, line string, spans string")
 
 
-def fit(table: DataFrame, max_rows: int = 2_000, rounds: int = 150, decay: float = 0.01) -> Field:
+def fit(table: DataFrame, max_rows: int = 2_000, rounds: int = 100, decay: float = 0.01) -> Field:
     """A field from a labelled table (line_id, line, spans); its first ``max_rows`` rows by line_id.
 
     Maximum likelihood with weight decay by full-batch gradient steps; lines are padded to one
