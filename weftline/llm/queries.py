@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import bpe, language, merkle, packing, pii, quality, simhash, warc, windows
+from weftline.llm import bpe, language, merkle, packing, pii, quality, simhash, suffix, warc, windows
 
-QUERIES = {"op1_pii": pii.op1_pii, "op2_bpe": bpe.op2_bpe, "op3_warc": warc.op3_warc, "op4_packing": packing.op4_packing, "op5_simhash": simhash.op5_simhash, "op7_merkle": merkle.op7_merkle, "op10_language_id": language.op10_language_id, "op8_windows": windows.op8_windows, "op9_host_rules": quality.op9_host_rules}
+QUERIES = {"op1_pii": pii.op1_pii, "op2_bpe": bpe.op2_bpe, "op3_warc": warc.op3_warc, "op4_packing": packing.op4_packing, "op5_simhash": simhash.op5_simhash, "op6_suffix": suffix.op6_suffix, "op7_merkle": merkle.op7_merkle, "op10_language_id": language.op10_language_id, "op8_windows": windows.op8_windows, "op9_host_rules": quality.op9_host_rules}
 ORACLE_SQL: dict[str, str] = {"op3_warc": warc.OP3_SQL}
