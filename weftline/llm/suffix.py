@@ -23,6 +23,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -190,6 +191,11 @@ def settled(doc: int | None, data: bytes, start: np.ndarray, end: np.ndarray, di
     return doc, len(data), len(data) - len(left), len(start), hashlib.sha256(left).hexdigest() if digests else None, None if digests else left
 
 
+def without_orphans(kept: bytes) -> str:
+    """Kept bytes as text; bytes of code points that a removal cut through go too."""
+    return kept.decode("utf-8", "ignore")
+
+
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 STEP_C = f"kind string, {OUT}, k long, text binary, starts binary, ends binary, bucket int, names binary, parts binary, sides binary, docs binary, at binary"
 
@@ -375,5 +381,19 @@ def deduplicated(docs: DataFrame, digests: bool = False, group_bytes: int = GROU
     return out.drop("kept" if digests else "kept_sha256")
 
 
+def deduplicated_texts(docs: DataFrame) -> DataFrame:
+    """``docs`` with the removals applied to ``text`` and n_chars renewed; other columns stay as they are."""
+
+    @F.pandas_udf("string")
+    def text(kept: pd.Series) -> pd.Series:
+        return kept.map(without_orphans)
+
+    left = deduplicated(docs).select(F.col("doc_id").alias("_id"), F.when(F.col("n_removed") > 0, text("kept")).otherwise(F.col("kept").cast("string")).alias("_text"))
+    rest = docs.drop("text", "n_chars").dropDuplicates(["doc_id"])
+    out = rest.join(left, F.col("doc_id").eqNullSafe(F.col("_id")))
+    renewed = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
+    return out.select(*[renewed[c].alias(c) if c in renewed else F.col(c) for c in docs.columns])
+
+
 def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet"), digests=True)
