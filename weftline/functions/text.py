@@ -1,17 +1,171 @@
-"""Column expressions on text, all evaluated inside the JVM."""
+"""Column expressions on text, all evaluated inside the JVM.
+
+A null text counts as empty unless said otherwise.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Patterns and lists that results depend on.
+EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
+IPV4 = r"\b(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\b"
+UK_NI = r"\b[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z] ?[0-9]{2} ?[0-9]{2} ?[0-9]{2} ?[A-D]\b"
+WELL_KNOWN_IPS = ("8.8.8.8", "8.8.4.4", "1.1.1.1", "1.0.0.1", "9.9.9.9", "149.112.112.112", "208.67.222.222", "208.67.220.220", "4.2.2.2", "4.2.2.1")
+#: Networks whose addresses name no host: (network, prefix bits).
+QUIET_NETS = (("10.0.0.0", 8), ("172.16.0.0", 12), ("192.168.0.0", 16), ("127.0.0.0", 8), ("0.0.0.0", 8), ("100.64.0.0", 10), ("169.254.0.0", 16), ("224.0.0.0", 3), ("192.0.2.0", 24), ("198.51.100.0", 24), ("203.0.113.0", 24))
+STOPWORDS = ("the", "a", "an", "and", "or", "to", "of", "in", "is", "it", "you", "that", "for", "on", "with", "this", "be", "are", "can", "if")
+REFUSALS = (
+    r"\bI can(?:'|’)?t help with\b",
+    r"\bI cannot (?:help|assist)\b",
+    r"\bI can(?:'|’)?t (?:assist|provide|do that)\b",
+    r"\bI(?:'|’)?m not able to\b",
+    r"\bI am not able to\b",
+    r"\bI(?:'|’)?m unable to\b",
+    r"\bI am unable to\b",
+    r"\bas an AI\b",
+    r"\bI won(?:'|’)?t\b",
+    r"\bI must decline\b",
+    r"\bI(?:'|’)?m sorry, but I can",
+)
+HEDGE = r"(?i)\b(but|however|though|although|that said|instead)\b"
+SUBSTANCE = r"(?m)`|^\s*(?:[0-9]+[.)]|[-*])\s|\$\s?\w|\b\w+\s+/\w|\s--?\w"
+SECRET = r"sk-or-|hf_[A-Za-z0-9]{16,}"
+SHORT_ANSWER_WORDS, LONG_PROMPT_CHARS = 12, 60
+
+
+def _col(text: Column | str) -> Column:
+    return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+
+
+def strip(text: Column | str) -> Column:
+    """Both ends without white space of any script."""
+    return F.regexp_replace(_col(text), r"(?U)^\s+|\s+$", "")
+
+
+def rstrip(text: Column | str) -> Column:
+    return F.regexp_replace(_col(text), r"(?U)\s+$", "")
+
+
+def words(text: Column | str) -> Column:
+    return F.filter(F.split(_col(text), r"(?U)\s+"), lambda w: w != "")
+
 
 def normalise(text: Column | str) -> Column:
     """Lower case, each run of white space as one space, no space at the ends."""
-    col = F.col(text) if isinstance(text, str) else text
-    return F.trim(F.regexp_replace(F.lower(col), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(_col(text)), r"(?U)\s+", " "))
 
 
 def fingerprint(text: Column | str) -> Column:
     """SHA-256 of the normalised text."""
     return F.sha2(normalise(text), 256)
+
+
+def slugify(text: Column | str, fallback: str = "node") -> Column:
+    """Lower-case letters and digits joined by single hyphens; ``fallback`` if none is left."""
+    made = F.regexp_replace(F.regexp_replace(F.lower(_col(text)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    return F.when(made == "", F.lit(fallback)).otherwise(made)
+
+
+def looks_english(text: Column | str) -> Column:
+    """At least 85 % ASCII letters and enough distinct stop words; text without letters passes."""
+    t = _col(text)
+    letters, ascii_letters = F.length(F.regexp_replace(t, r"[^\p{L}]", "")), F.length(F.regexp_replace(t, "[^A-Za-z]", ""))
+    found = F.regexp_extract_all(F.lower(t), F.lit("[a-zA-Z']+"), F.lit(0))
+    hits = F.size(F.array_intersect(found, F.array(*map(F.lit, STOPWORDS))))
+    return (letters == 0) | ((ascii_letters / letters >= 0.85) & (hits >= F.when(F.size(found) >= 15, 3).otherwise(1)))
+
+
+def _number(ip: str) -> int:
+    return reduce(lambda a, p: a * 256 + int(p), ip.split("."), 0)
+
+
+def public_ips(text: Column | str) -> Column:
+    """Dotted quads that name a host: not in a quiet net, not well known, no octet 255, no version number."""
+    before = r"(?<!(?i:\bv\.?|\bver\.?|\bversion\.?|\brelease|\bbuild)\s{0,5})"
+    after = r"(?!\s{0,10}(?i:release|build|beta|rc[0-9]*|stable|lts)\b)"
+    quads = F.regexp_extract_all(_col(text), F.lit(f"(?U){before}({IPV4}){after}"), F.lit(1))
+
+    def host(quad: Column) -> Column:
+        octets = F.transform(F.split(quad, r"\."), lambda o: o.cast("long"))
+        number = F.aggregate(octets, F.lit(0).cast("long"), lambda a, o: a * 256 + o)
+        quiet = [F.shiftright(number, 32 - bits) == _number(net) >> (32 - bits) for net, bits in QUIET_NETS]
+        return ~(reduce(lambda a, b: a | b, quiet) | quad.isin(*WELL_KNOWN_IPS) | F.array_contains(octets, F.lit(255).cast("long")))
+
+    return F.filter(quads, host)
+
+
+def pii_kinds(text: Column | str) -> Column:
+    """Kinds of personal data in a text, as an array in the order email, ip, ni."""
+    t = _col(text)
+    found = F.array(F.when(t.rlike(f"(?U){EMAIL}"), "email"), F.when(F.size(public_ips(t)) > 0, "ip"), F.when(t.rlike(f"(?U){UK_NI}"), "ni"))
+    return F.filter(found, lambda k: k.isNotNull())
+
+
+def has_secret(text: Column | str) -> Column:
+    return _col(text).rlike(SECRET)
+
+
+def redact_secrets(text: Column | str) -> Column:
+    return F.regexp_replace(_col(text), r"sk-or-[A-Za-z0-9_-]*|hf_[A-Za-z0-9]{16,}", "[redacted]")
+
+
+def has_substance(answer: Column | str) -> Column:
+    """Code, commands or list steps."""
+    return _col(answer).rlike(SUBSTANCE)
+
+
+def first_sentence(text: Column | str) -> Column:
+    return F.split(strip(text), r"(?<=[.!?])\s+|\n+", 2)[0]
+
+
+def is_refusal(prompt: Column | str, answer: Column | str) -> Column:
+    """Whether an answer refuses.
+
+    Empty answers do, and one to three words without substance to a prompt of 60 characters. Else
+    the first pattern in list order found in the first sentence (or, under 12 words, anywhere)
+    counts, unless a hedge follows it or the answer has substance.
+    """
+    text, asked = strip(answer), strip(prompt)
+    count, first, solid = F.size(words(text)), first_sentence(text), has_substance(text)
+
+    def rest(scope: Column) -> Column:
+        """What follows the first pattern that hits, or null."""
+        return F.coalesce(*[F.when(scope.rlike(f"(?iU){p}"), F.split(scope, f"(?iU){p}", 2)[1]) for p in REFUSALS])
+
+    after = F.coalesce(rest(first), F.when(count < SHORT_ANSWER_WORDS, rest(text)))
+    refused = F.when(after.isNull(), False).when(after.rlike(HEDGE), False).otherwise(~solid)
+    return F.when(text == "", True).when((count <= 3) & ~solid & (F.length(asked) >= LONG_PROMPT_CHARS), True).otherwise(refused)
+
+
+def answer_line(text: Column | str) -> Column:
+    """What the last ANSWER: line says, or null."""
+    found = F.regexp_extract_all(_col(text), F.lit(r"(?m)^\s*ANSWER:\s*(.+?)\s*$"), F.lit(1))
+    return F.when(F.size(found) > 0, strip(F.element_at(found, -1)))
+
+
+def drop_last_sentence(text: Column | str) -> Column:
+    parts = F.split(strip(text), r"(?<=[.!?])\s+")
+    return F.when(F.size(parts) < 2, _col(text)).otherwise(strip(F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), " ")))
+
+
+def strip_leading_clause(text: Column | str) -> Column:
+    """Without a clause of up to 80 characters before the first comma; what follows is capitalised."""
+    t = _col(text)
+    parts = F.split(t, ",", 2)
+    rest = strip(F.get(parts, F.lit(1)))
+    keep = (F.size(parts) < 2) | (F.length(parts[0]) > 80) | (rest == "")
+    return F.when(keep, t).otherwise(F.concat(F.upper(F.left(rest, F.lit(1))), F.substr(rest, F.lit(2))))
+
+
+def truncated(text: Column | str, n: int) -> Column:
+    t = _col(text)
+    return F.when(F.length(t) > n, F.concat(F.left(t, F.lit(n - 1)), F.lit("…"))).otherwise(t)
+
+
+def two_places(x: Column) -> Column:
+    """A number rounded to two places on its exact binary value, ties to even."""
+    return F.replace(F.format_number(x, 2), F.lit(","), F.lit("")).cast("double")

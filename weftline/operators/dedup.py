@@ -1,14 +1,18 @@
-"""Exact duplicates."""
+"""Exact and embedding-based near duplicates."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import fingerprint
 
+BLOCK = 2048
+
 
 def exact_dup(rows: DataFrame, text: str, order: Sequence[str], key: str = "id") -> DataFrame:
     """Rows whose normalised text was seen before, with the first such row.
@@ -17,7 +21,132 @@ def exact_dup(rows: DataFrame, text: str, order: Sequence[str], key: str = "id")
     group's first is a minimum, so Spark folds it before the shuffle and a group of any size
     costs one row a task; a window would gather the whole group in one task.
     """
-    narrow = rows.select(F.col(key).alias("_key"), F.struct(*[F.col(c) for c in order], F.col(key).alias("_id")).alias("_at"), fingerprint(F.coalesce(F.col(text), F.lit(""))).alias("_sha"))
+    narrow = rows.select(F.col(key).alias("_key"), F.struct(*[F.col(c) for c in order], F.col(key).alias("_id")).alias("_at"), fingerprint(F.col(text)).alias("_sha"))
     first = narrow.groupBy("_sha").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     found = narrow.join(first, "_sha").where(F.col("_at") != F.col("_first"))
     return found.select(F.col("_key").alias(key), F.col("_first._id").alias("first_id"))
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine of two arrays of numbers, 0 where either has no length."""
+    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    size = norm(a) * norm(b)
+    return F.when(size == 0, F.lit(0.0)).otherwise(dot / size)
+
+
+def compact(vector: Column, dims: int = 256, places: int = 4) -> Column:
+    """The first ``dims`` numbers, rounded."""
+    return F.transform(F.slice(vector, 1, dims), lambda x: F.round(x.cast("double"), places))
+
+
+def numbered(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``df`` with ``n``, its place from 0 by ``order``, counted by ranges instead of in one task."""
+    parts = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    parts = parts.persist()
+    sizes = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
+    before = sizes.withColumn("_b", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return parts.join(F.broadcast(before.select("_p", "_b")), "_p").withColumn("n", F.col("_b") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_p", "_b", "_m")
+
+
+def similar_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """Pairs i < j (by place n) of cosine at least ``threshold``: (i, j, sim).
+
+    vectors: n long, v array<double>, of one length. Vectors are cut into blocks and each pair of
+    blocks is one matrix product in one task, so memory is bounded by two blocks; every pair is
+    compared, since no index that misses pairs could give the scan's exact result.
+    """
+    n = vectors.count()
+    blocks = max(1, -(-n // block))
+    own = vectors.withColumn("b", (F.col("n") / block).cast("long"))
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least(o.cast("long"), F.col("b")).alias("lo"), F.greatest(o.cast("long"), F.col("b")).alias("hi")))
+    dealt = own.select("n", "v", "b", F.explode(pairs).alias("p")).select("n", "v", "b", "p.lo", "p.hi")
+
+    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("n")
+
+        def side(b: int) -> tuple[np.ndarray, np.ndarray]:
+            own = rows[rows["b"] == b]
+            m = np.array(own["v"].tolist(), float).reshape(len(own), -1)
+            size = np.linalg.norm(m, axis=1, keepdims=True)
+            return own["n"].to_numpy(), m / np.where(size == 0, 1, size)
+
+        (na, a), (nb, b) = side(key[0]), side(key[1])
+        sims = a @ b.T
+        i, j = np.nonzero(sims >= threshold)
+        keep = na[i] < nb[j]
+        i, j = i[keep], j[keep]
+        return pd.DataFrame({"i": na[i], "j": nb[j], "sim": sims[i, j]})
+
+    return dealt.groupBy("lo", "hi").applyInPandas(compare, "i long, j long, sim double")
+
+
+def greedy_survivors(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
+    """Of edges (i, j, sim) with i < j: the dropped nodes with partner and sim, as a scan in order drops them.
+
+    The scan keeps a node unless a kept node before it is its neighbour. Rounds reach the same:
+    drop what has a kept earlier neighbour, keep what has only dropped ones. Each round is
+    checkpointed; there are as many as the longest chain of such dependencies.
+    """
+    spark = edges.sparkSession
+    ensure_checkpoints(spark)
+    edges = edges.checkpoint()
+    nodes = edges.select(F.col("i").alias("node")).union(edges.select("j")).distinct()
+    state = nodes.join(edges.select(F.col("j").alias("node")).distinct().withColumn("later", F.lit(True)), "node", "left").select("node", F.when(F.col("later").isNull(), F.lit("kept")).otherwise(F.lit("open")).alias("state")).checkpoint()
+    for _ in range(most_rounds):
+        if not state.where("state = 'open'").limit(1).count():
+            break
+        seen = edges.join(state.withColumnRenamed("node", "i"), "i").groupBy("j").agg(F.max((F.col("state") == "kept").cast("int")).alias("hit"), F.min((F.col("state") == "dropped").cast("int")).alias("free"))
+        step = state.join(seen.withColumnRenamed("j", "node"), "node", "left")
+        state = step.select("node", F.when(F.col("state") != "open", F.col("state")).when(F.col("hit") == 1, F.lit("dropped")).when(F.col("free") == 1, F.lit("kept")).otherwise(F.lit("open")).alias("state")).checkpoint()
+    else:
+        raise RuntimeError("the scan did not settle")
+    kept = state.where("state = 'kept'").select(F.col("node").alias("i"))
+    return edges.join(kept, "i").groupBy("j").agg(F.min(F.struct("i", "sim")).alias("by")).select(F.col("j").alias("n"), F.col("by.i").alias("partner"), F.col("by.sim").alias("sim"))
+
+
+def near_dup(vectors: DataFrame, threshold: float = 0.92, order: Sequence[str] = ("id",), key: str = "id", vector: str = "v") -> DataFrame:
+    """Rows dropped by the greedy scan over cosines: key, partner and similarity. Rows without a vector take no part."""
+    rows = numbered(vectors.where(F.col(vector).isNotNull() & (F.size(vector) > 0)), order)
+    rows = rows.select("n", F.col(key).alias("_key"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    gone = greedy_survivors(similar_pairs(rows.select("n", "v"), threshold))
+    names = rows.select("n", "_key")
+    out = gone.join(names, "n").join(names.select(F.col("n").alias("partner"), F.col("_key").alias("_partner")), "partner")
+    return out.select(F.col("_key").alias(key), F.col("_partner").alias("partner_id"), "sim")
+
+
+def dup_mask(new: DataFrame, existing: DataFrame, threshold: float, group: str, order: str = "n", vector: str = "v") -> DataFrame:
+    """``new`` with ``dup``: similar to an existing vector of its group, or to an earlier new one that is none."""
+
+    columns = new.columns
+
+    def mask(key: tuple, rows: pd.DataFrame, pool: pd.DataFrame) -> pd.DataFrame:
+        unit = lambda v: (x := np.asarray(v, float)) / max(float(np.linalg.norm(x)), 1e-12)
+        # A side without rows of this group may come without columns too.
+        kept = [unit(v) for v in pool[vector]] if vector in pool else []
+        if vector not in rows:
+            return pd.DataFrame({**{c: [] for c in columns}, "dup": []})
+        rows = rows.sort_values(order)
+        out = []
+        for v in rows[vector]:
+            u = unit(v)
+            out.append(bool(kept) and bool((np.array(kept) @ u).max() >= threshold))
+            if not out[-1]:
+                kept.append(u)
+        return rows.assign(dup=out)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new.schema) + ", dup boolean"
+    return new.groupBy(group).cogroup(existing.groupBy(group)).applyInPandas(mask, schema)
+
+
+def ensure_checkpoints(spark) -> None:  # noqa: ANN001
+    """A checkpoint folder where the session has none (local runs and tests)."""
+    import os
+    import tempfile
+
+    sc = spark.sparkContext
+    if not sc.getConf().get("spark.checkpoint.dir", None) and not sc.getCheckpointDir():
+        os.makedirs("/tmp/checkpoints", exist_ok=True)
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="weftline-", dir="/tmp/checkpoints"))
+
+

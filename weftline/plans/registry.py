@@ -1,24 +1,8 @@
-"""All registered queries of the core library."""
+"""All registered queries of the core library and their SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from weftline.plans.queries import QUERIES
+from weftline.plans.sql import ORACLE_SQL
 
-from weftline.operators import dedup
-from weftline.sources.tables import table
-
-
-def exact_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup.exact_dup(docs, "text", ["doc_id"], "doc_id").withColumn("reason", F.concat(F.lit("identical to "), F.col("first_id").cast("string")))
-
-
-QUERIES = {"exact_dup": exact_dup}
-ORACLE_SQL = {
-    "exact_dup": """
-        WITH h AS (SELECT doc_id, sha256(trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g'))) AS sha FROM documents),
-             f AS (SELECT doc_id, first_value(doc_id) OVER (PARTITION BY sha ORDER BY doc_id) AS first_id FROM h)
-        SELECT doc_id, first_id, 'identical to ' || first_id AS reason FROM f WHERE doc_id <> first_id
-    """
-}
+__all__ = ["ORACLE_SQL", "QUERIES"]
