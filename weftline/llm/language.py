@@ -13,13 +13,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import written
+from weftline.llm.common import small_batches, written
 
 #: A word is a run of letters; texts are lower-cased first.
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
 #: Words not in the model that a task remembers, and how far it goes before it forgets them.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 
 @dataclass
@@ -60,7 +60,7 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for lang, text in zip(batch["lang"], batch["text"]):
             words.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
-        if sum(map(len, words.values())) > 300_000:
+        if sum(map(len, words.values())) > 100_000:
             yield from out()
     yield from out()
 
@@ -72,6 +72,7 @@ def fit(docs: DataFrame, learn: Column, max_docs: int = 5_000, max_words: int =
     ``max_grams`` n-grams of each length, the most frequent, make the model. These three bound
     what reaches the driver and every executor, at any input size. Ties go to the lesser string.
     """
+    small_batches(docs.sparkSession)
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
     n = rows.select("lang").count()
     share = min(1.0, max_docs / max(n, 1))
@@ -142,6 +143,7 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
     Any column named lang_pred or score is replaced.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     held = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import text_or_empty, written
+from weftline.llm.common import small_batches, text_or_empty, written
 
 LENGTH = 1024
 OPEN = 32
@@ -30,7 +30,7 @@ class ByteEncoder:
     letter is a chunk's own last part too.
     """
 
-    def __init__(self, json_path: str, ranks_path: str, pattern: str, remember: int = 600_000) -> None:
+    def __init__(self, json_path: str, ranks_path: str, pattern: str, remember: int = 300_000) -> None:
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -172,6 +172,7 @@ def packed(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, lengt
     packed each by itself, an empty table gives no piece. Columns beside doc_id and text are not
     read.
     """
+    small_batches(docs.sparkSession)
     pack = _packer((json_path, ranks_path, pattern), length, open_windows)
     rows = docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(pack, f"{PIECE}, sequence_id long, offset long, left_in long, used long")
     rows = written(rows, "packing")

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.llm.common import small_batches
+
 # The patterns of the contract.
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -363,6 +365,7 @@ def with_spans(docs: DataFrame, field: Field) -> DataFrame:
     A null text counts as empty and has none; equal texts have equal spans; other columns pass
     through, those named base or spans are replaced.
     """
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(field)
 
     @F.pandas_udf(f"base {SPANS}, spans {SPANS}")

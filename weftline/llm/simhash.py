@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import written
+from weftline.llm.common import small_batches, written
 
 RADIUS = 3
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -173,6 +173,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     A null or wordless text has fingerprint zero and links like any other; repeated rows share a
     component; an empty table gives an empty one; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     rows = written(fingerprinted(docs.select("doc_id", "text")).select("doc_id", "fp"), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     nodes = written(nodes, "nodes")

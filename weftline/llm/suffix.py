@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Rolling, mixed, scan_bytes, text_or_empty, utf8, written
+from weftline.llm.common import Rolling, mixed, scan_bytes, small_batches, text_or_empty, utf8, written
 from weftline.llm.windows import packed_runs, prime_from, squeezed, unpacked_runs, unsqueezed
 
 LENGTH = 400
@@ -37,7 +37,7 @@ PERIOD = 133
 COVER = (1, 10, 11, 13, 27, 31, 68, 75, 83, 110, 115, 121)
 SAMPLE = LENGTH - PERIOD + 1
 SIDE = PERIOD - 1
-CHUNK_BYTES, GATHERED = 4 << 20, 2_000_000
+CHUNK_BYTES, GATHERED = 1 << 20, 1_000_000
 BUCKET_SAMPLES = 1_000_000
 GROUP_BYTES = 12 << 20
 #: Members of a contested rank beyond which it is parted into this many kinds of sub-bucket.
@@ -364,6 +364,7 @@ def deduplicated(docs: DataFrame, digests: bool = False, group_bytes: int = GROU
     null id is an id of its own.
     """
     size_of = scan_bytes(docs)
+    small_batches(docs.sparkSession)
     groups = prime_from(max(1, size_of // group_bytes) + 1)
     bits = min(16, max(0, (size_of * len(COVER) // PERIOD * 2 // BUCKET_SAMPLES).bit_length()))
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("_k"), text_or_empty().alias("text"))
@@ -390,9 +391,9 @@ def deduplicated_texts(docs: DataFrame) -> DataFrame:
 
     left = deduplicated(docs).select(F.col("doc_id").alias("_id"), F.when(F.col("n_removed") > 0, text("kept")).otherwise(F.col("kept").cast("string")).alias("_text"))
     rest = docs.drop("text", "n_chars").dropDuplicates(["doc_id"])
-    out = rest.join(left, F.col("doc_id").eqNullSafe(F.col("_id")))
-    renewed = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
-    return out.select(*[renewed[c].alias(c) if c in renewed else F.col(c) for c in docs.columns])
+    out = rest.join(left, rest["doc_id"].eqNullSafe(left["_id"]))
+    renewed = {"text": left["_text"], "n_chars": F.length(left["_text"]).cast("long")}
+    return out.select(*[renewed[c].alias(c) if c in renewed else rest[c] for c in docs.columns])
 
 
 def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:

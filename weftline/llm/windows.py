@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Rolling, dropped, mixed, new_path, scan_bytes, text_or_empty, utf8, written
+from weftline.llm.common import Rolling, dropped, mixed, new_path, scan_bytes, small_batches, text_or_empty, utf8, written
 
 WINDOW = 13
 BATCHES = 4
 #: Runs of one tier that are compacted into a run of the next.
 FANOUT = 3
 #: Text that a task hashes at once, and windows that it gathers before it deals them into buckets.
-CHUNK_BYTES, GATHERED = 4 << 20, 3_000_000
+CHUNK_BYTES, GATHERED = 1 << 20, 1_000_000
 #: Windows aimed at in a bucket of the whole index; at most 2**16 buckets.
 BUCKET_WINDOWS = 1_000_000
 GROUP_BYTES = 12 << 20
@@ -255,6 +255,7 @@ def deduplicated(docs: DataFrame, size: int = WINDOW, batches: int = BATCHES, di
     """
     spark = docs.sparkSession
     size_of = scan_bytes(docs)
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("_k"), text_or_empty().alias("text"))
     groups = prime_from(max(1, size_of // group_bytes) + 1)
     bits = min(16, max(0, (size_of // 4 // BUCKET_WINDOWS).bit_length()))
