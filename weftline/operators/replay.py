@@ -98,3 +98,19 @@ def tool_result(content: Column) -> Column:
     """A tool's result as JSON; what is no JSON is wrapped."""
     fine = F.try_parse_json(content).isNotNull()
     return F.when(fine, content).otherwise(F.to_json(F.struct(content.alias("result"))))
+
+
+def trajectories(turns: DataFrame, most_hops: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Conversations from recorded turns (prompt_id, turn, message), and those that end badly.
+
+    Turns are put in order. One that calls tools more than ``most_hops`` times, or whose last turn
+    is not an assistant's reply with content, is an error.
+    """
+    held = F.transform(F.sort_array(F.collect_list(F.struct("turn", "message"))), lambda t: t["message"])
+    whole = turns.groupBy("prompt_id").agg(held.alias("messages"))
+    hops = F.size(F.filter("messages", lambda m: F.coalesce(F.size(m["tool_calls"]), F.lit(0)) > 0))
+    end = F.get("messages", F.size("messages") - 1)
+    fine = (end["role"] == "assistant") & (T.strip(end["content"]) != "") & (F.coalesce(F.size(end["tool_calls"]), F.lit(0)) <= 0)
+    error = F.when(hops > most_hops, F.lit("too many tool calls")).when(~F.coalesce(fine, F.lit(False)), F.lit("no final reply"))
+    judged = whole.withColumn("error", error)
+    return judged.where("error is null").select("prompt_id", rstrip_assistant(F.col("messages")).alias("messages")), judged.where("error is not null").select("prompt_id", "error")
