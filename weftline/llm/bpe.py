@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import scan_bytes, text_or_empty, written
+from weftline.llm.common import packed_groups, scan_bytes, small_batches, text_or_empty, unpacked_groups, written
 
 #: Bytes of source files behind one group of documents and one bucket of words.
 GROUP_BYTES = 16 << 20
@@ -24,61 +25,78 @@ def group_of(key: Column, groups: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(groups)).cast("int")
 
 
-def distinct_words(texts: pa.ChunkedArray) -> list[str]:
+def distinct_words(texts: Iterable[pa.Table]) -> list[str]:
     """Distinct words of texts, in order of first place; the tokenizer drops the white space between."""
     found: dict[str, None] = {}
-    for text in texts:
-        if (t := text.as_py()) is not None:
-            found.update(dict.fromkeys(SPLIT.findall(t)))
+    for table in texts:
+        for text in table["text"]:
+            found.update(dict.fromkeys(SPLIT.findall(text.as_py())))
     return list(found)
 
 
-def word_lists(docs: DataFrame, groups: int, buckets: int) -> DataFrame:
-    """By group of documents and bucket of words: the group's distinct words that fall there, one string."""
+def squeezed(data: bytes) -> bytes:
+    import zstandard
+
+    return len(data).to_bytes(8, "little") + zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def unsqueezed(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(data[8:], max_output_size=int.from_bytes(data[:8], "little"))
+
+
+def split_words(data: bytes) -> list[str]:
+    return unsqueezed(data).decode().split(SEPARATOR)
+
+
+def by_bucket(words: Iterable[str], buckets: int) -> list[list[str]]:
+    """Words by bucket, sorted: the same lists for the same words, in whatever order texts come."""
+    lists: list[list[str]] = [[] for _ in range(buckets)]
+    for word in words:
+        lists[zlib.crc32(word.encode()) % buckets].append(word)
+    for x in lists:
+        x.sort()
+    return lists
+
+
+def word_lists(grouped: DataFrame, buckets: int) -> DataFrame:
+    """By group of documents and bucket of words: the group's distinct words that fall there, compressed."""
 
     def listed(key: tuple, table: pa.Table) -> pa.Table:
-        lists: list[list[str]] = [[] for _ in range(buckets)]
-        for word in distinct_words(table["text"]):
-            lists[zlib.crc32(word.encode()) % buckets].append(word)
-        rows = [(b, SEPARATOR.join(x)) for b, x in enumerate(lists) if x]
-        return pa.table([pa.array([key[0].as_py()] * len(rows), pa.int32()), pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.string())], ["grp", "bucket", "words"])
+        lists = by_bucket(distinct_words(unpacked_groups(table)), buckets)
+        rows = [(b, squeezed(SEPARATOR.join(x).encode())) for b, x in enumerate(lists) if x]
+        return pa.table([pa.array([key[0].as_py()] * len(rows), pa.int32()), pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["grp", "bucket", "words"])
 
-    rows = docs.select(group_of(F.col("doc_id"), groups).alias("grp"), "text")
-    return rows.groupBy("grp").applyInArrow(listed, "grp int, bucket int, words string")
+    return grouped.groupBy("grp").applyInArrow(listed, "grp int, bucket int, words binary")
 
 
 def encoded_words(lists: DataFrame, json_path: str) -> DataFrame:
-    """``lists`` with each word's ids: a bucket has all lists of its words, and encodes each word once.
+    """The ids of the words of ``lists``, in their order: a bucket has all lists of its words, and encodes each word once.
 
-    ids: unsigned 16-bit ids of all words end to end where the vocabulary allows, else 32-bit;
-    counts: how many each word has (unsigned 32-bit).
+    ids: how many ids each word has, then all ids end to end (unsigned 32-bit, compressed).
     """
 
     def encode(key: tuple, table: pa.Table) -> pa.Table:
         tokenizer = tokenizer_of(json_path)
-        lists = [w.split(SEPARATOR) for w in table["words"].to_pylist()]
+        lists = [split_words(w) for w in table["words"].to_pylist()]
         number: dict[str, int] = {}
         for words in lists:
             for w in words:
                 number.setdefault(w, len(number))
-        distinct, counts, ids = list(number), [], []
+        distinct, ids = list(number), []
         for a in range(0, len(distinct), 20_000):
-            for e in tokenizer.encode_batch_fast(distinct[a : a + 20_000], add_special_tokens=False):
-                counts.append(len(e.ids))
-                ids.append(np.array(e.ids, np.uint32))
-        count = np.array(counts, np.uint32)
-        rows = [(g, words, np.array([number[w] for w in words], np.int64)) for g, words in zip(table["grp"].to_pylist(), lists)]
-        return pa.table(
-            [
-                pa.array([g for g, _, _ in rows], pa.int32()),
-                pa.array([SEPARATOR.join(w) for _, w, _ in rows], pa.string()),
-                pa.array([np.concatenate([ids[k] for k in at]).astype(np.uint32).tobytes() for _, _, at in rows], pa.binary()),
-                pa.array([count[at].tobytes() for _, _, at in rows], pa.binary()),
-            ],
-            ["grp", "words", "ids", "counts"],
-        )
-
-    return lists.groupBy("bucket").applyInArrow(encode, "grp int, words string, ids binary, counts binary")
+            ids += [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(distinct[a : a + 20_000], add_special_tokens=False)]
+        count = np.array([len(x) for x in ids], np.uint32)
+        packed = []
+        for words in lists:
+            at = [number[w] for w in words]
+            # Byte planes: the high ones are nearly all zero and cost nothing.
+            planes = np.concatenate([count[at], *[ids[k] for k in at]]).astype("<u4").view(np.uint8).reshape(-1, 4).T
+            packed.append(squeezed(np.ascontiguousarray(planes).tobytes()))
+        return pa.table([table["grp"].combine_chunks(), table["bucket"].combine_chunks(), pa.array(packed, pa.binary())], ["grp", "bucket", "ids"])
+
+    return lists.groupBy("bucket").applyInArrow(encode, "grp int, bucket int, ids binary")
 
 
 _tokenizers: dict[str, object] = {}
@@ -108,13 +126,16 @@ def pieces_of(json_path: str) -> list[str | None]:
 class WordTable:
     """A group's words with their ids as decimals and their pieces, both joined by spaces."""
 
-    def __init__(self, table: pa.Table, pieces: list[str | None]) -> None:
+    def __init__(self, lists: list[list[str]], table: pa.Table, pieces: list[str | None]) -> None:
         self.rows: dict[str, tuple[int, str, str]] = {}
         decimal = list(map(str, range(len(pieces))))
-        for words, ids, counts in zip(table["words"].to_pylist(), table["ids"].to_pylist(), table["counts"].to_pylist()):
-            flat = np.frombuffer(ids, np.uint32).tolist()
-            end = 0
-            for word, n in zip(words.split(SEPARATOR), np.frombuffer(counts, np.uint32).tolist()):
+        for bucket, ids in zip(table["bucket"].to_pylist(), table["ids"].to_pylist()):
+            words = lists[bucket]
+            flat = np.ascontiguousarray(np.frombuffer(unsqueezed(ids), np.uint8).reshape(4, -1).T).view("<u4").ravel().tolist()
+            end = len(words)
+            if sum(flat[:end]) != len(flat) - end:
+                raise ValueError("the documents changed between the passes over them")
+            for word, n in zip(words, flat[:end]):
                 own, end = flat[end : end + n], end + n
                 self.rows[word] = n, " ".join([decimal[i] for i in own]), " ".join([pieces[i] or "" for i in own])
 
@@ -134,29 +155,33 @@ def encoded(docs: DataFrame, json_path: str, digests: bool = False, group_bytes:
 
     Documents are dealt into groups by a hash of doc_id. A first pass lists each group's distinct
     words by bucket; a bucket encodes each of its words once, whatever groups have it; a second
-    pass joins the ids back by group and puts them in the words' positions. Pieces come from the
-    id-to-piece table and, as this vocabulary has no decoder of its own, are joined by spaces. A
-    null text is empty: no ids. Repeated rows each have a result, an empty table has none.
+    pass joins the ids back by group, in the order of its sorted words, and puts them in the
+    words' positions. Pieces come from the id-to-piece table and, as this vocabulary has no decoder
+    of its own, are joined by spaces. A null text is empty: no ids. Repeated rows each have a
+    result, an empty table has none.
     """
-    # Not all groups fit one machine, but each fits one task; equal numbers of words reach each bucket.
+    small_batches(docs.sparkSession)
     groups = max(1, -(-scan_bytes(docs) // group_bytes))
     pieces = docs.sparkSession.sparkContext.broadcast(pieces_of(json_path))
     rows = docs.select("doc_id", text_or_empty().alias("text"))
-    tables = written(encoded_words(word_lists(rows, groups, groups), json_path), "words")
+    grouped = packed_groups(rows, group_of(F.col("doc_id"), groups), groups)
+    tables = written(encoded_words(word_lists(grouped, groups), json_path), "words")
+    names = ["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]
 
     def joined(key: tuple, texts: pa.Table, words: pa.Table) -> pa.Table:
-        table = WordTable(words, pieces.value)
-        n, ids, shown = [], [], []
-        for text in texts["text"]:
-            k, a, b = table(text.as_py())
-            n.append(k)
-            ids.append(hashlib.sha256(a.encode()).hexdigest() if digests else a)
-            shown.append(hashlib.sha256(b.encode()).hexdigest() if digests else b)
-        return pa.table([texts["doc_id"].combine_chunks().cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(shown, pa.string())], names)
-
-    names = ["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]
-    dealt = rows.select("*", group_of(F.col("doc_id"), groups).alias("grp"))
-    return dealt.groupBy("grp").cogroup(tables.groupBy("grp")).applyInArrow(joined, f"doc_id long, n_tokens long, {names[2]} string, {names[3]} string")
+        parts = list(unpacked_groups(texts))
+        table = WordTable(by_bucket(distinct_words(parts), groups), words, pieces.value)
+        doc, n, ids, shown = [], [], [], []
+        for part in parts:
+            doc += part["doc_id"].to_pylist()
+            for text in part["text"]:
+                k, a, b = table(text.as_py())
+                n.append(k)
+                ids.append(hashlib.sha256(a.encode()).hexdigest() if digests else a)
+                shown.append(hashlib.sha256(b.encode()).hexdigest() if digests else b)
+        return pa.table([pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(shown, pa.string())], names)
+
+    return grouped.groupBy("grp").cogroup(tables.groupBy("grp")).applyInArrow(joined, f"doc_id long, n_tokens long, {names[2]} string, {names[3]} string")
 
 
 def decoded(rows: DataFrame, json_path: str, ids: str = "ids") -> DataFrame:
