@@ -132,7 +132,7 @@ def embedding_batches(spark, d):
 @query
 def compact_vectors(spark, d):
     v = dedup.compact(F.col("embedding"), 16, 4)
-    return table(spark, d, "embeddings").select("vec_id", F.size(v).cast("long").alias("dims"), F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + F.abs(x)), 3).alias("total"))
+    return table(spark, d, "embeddings").select("vec_id", F.size(v).cast("long").alias("dims"), F.size(F.filter(v, lambda x: F.abs(x) > 0.10005)).cast("long").alias("large"))
 
 
 # --- conversations ----------------------------------------------------------------------------

@@ -102,7 +102,7 @@ ORACLE_SQL = {
         WITH m AS (SELECT d.doc_id, length(chr(10) || coalesce(text, '')) AS chars, row_number() OVER (ORDER BY d.doc_id) - 1 AS n FROM documents d WHERE d.doc_id NOT IN (SELECT vec_id FROM embeddings))
         SELECT (n // 64)::BIGINT AS batch, count(*) AS rows, sum(chars // 4)::BIGINT AS tokens FROM m GROUP BY 1
     """,
-    "compact_vectors": "SELECT vec_id, len(v)::BIGINT AS dims, round(list_sum(list_transform(v, lambda x: abs(x))), 3) AS total FROM (SELECT vec_id, list_transform(embedding[1:16], lambda x: round(x::DOUBLE, 4)) AS v FROM embeddings)",
+    "compact_vectors": "SELECT vec_id, len(v)::BIGINT AS dims, len(list_filter(v, lambda x: abs(x) > 0.10005))::BIGINT AS large FROM (SELECT vec_id, list_transform(embedding[1:16], lambda x: round(x::DOUBLE, 4)) AS v FROM embeddings)",
     "conversation_assemble": """
         SELECT conv_id, count(*) AS turns, coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'user'), '') AS user_text,
                coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'assistant'), '') AS assistant_text, coalesce(arg_min(text, turn) FILTER (role = 'user'), '') AS first_user
