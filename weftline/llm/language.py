@@ -152,7 +152,7 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
         for texts in batches:
             yield pd.DataFrame([scorer.score(t) for t in texts], columns=["lang_pred", "score"])
 
-    out = docs.drop("lang_pred", "score").withColumn("_lang", scored(F.col("text")))
+    out = docs.drop("lang_pred", "score").withColumn("_lang", scored.asNondeterministic()(F.col("text")))
     return out.select(*[c for c in out.columns if c != "_lang"], "_lang.lang_pred", "_lang.score")
 
 

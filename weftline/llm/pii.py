@@ -376,7 +376,7 @@ def with_spans(docs: DataFrame, field: Field) -> DataFrame:
             base, more = [base_spans(t) for t in texts], field_spans(decoder, texts)
             yield pd.DataFrame({"base": [_rows(b) for b in base], "spans": [_rows(joined(b, m)) for b, m in zip(base, more)]})
 
-    out = docs.drop("base", "spans").withColumn("_found", found(F.col("text")))
+    out = docs.drop("base", "spans").withColumn("_found", found.asNondeterministic()(F.col("text")))
     return out.select(*[c for c in out.columns if c != "_found"], "_found.base", "_found.spans")
 
 

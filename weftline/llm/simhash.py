@@ -56,7 +56,7 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
             found = np.array([fingerprint(shingle_hashes(t)) if t else 0 for t in batch], np.uint64)
             yield pd.Series(found.view(np.int64))
 
-    return docs.drop("fp").withColumn("fp", made(F.col("text")))
+    return docs.drop("fp").withColumn("fp", made.asNondeterministic()(F.col("text")))
 
 
 def covering_masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
