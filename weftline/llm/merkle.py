@@ -127,3 +127,20 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
 
 def op7_merkle(spark, sf_dir: str) -> DataFrame:
     return edited_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP7_SQL = r"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+         n AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS next FROM d),
+         e AS (SELECT doc_id, t, next, left(t, length(t) - length(t) // 2) || left(next, length(t) // 2) AS edited FROM n),
+         k AS (SELECT doc_id, [t, edited, next] AS texts, length(t) AS n_chars FROM e),
+         f AS (SELECT doc_id, n_chars, texts,
+                      list_transform(texts, lambda x: sha256('root:' || array_to_string(list_transform(string_split(x, chr(10) || chr(10)),
+                          lambda y: sha256('section:' || array_to_string(list_transform(string_split(y, chr(10)), lambda z: sha256(z)), ','))), ','))) AS roots,
+                      list_transform(texts, lambda x: list_distinct(regexp_extract_all(x, '[^.!?\n]{1,32}[.!?]*|[.!?]+'))) AS pieces FROM k),
+         l AS (SELECT *, list_transform([2, 3], lambda j: CASE WHEN roots[1] = roots[j] THEN 1.0::DOUBLE WHEN len(pieces[1]) + len(pieces[j]) = 0 THEN 0.0::DOUBLE
+                      ELSE 2.0::DOUBLE * len(list_intersect(pieces[1], pieces[j])) / (len(pieces[1]) + len(pieces[j])) END) AS near FROM f)
+    SELECT doc_id, n_chars::BIGINT AS n_chars, sha256(texts[2]) AS edited_sha256, roots[1] AS fingerprint, roots[2] AS edited_fingerprint,
+           near[1] AS near_edited, near[2] AS near_next
+    FROM l
+"""

@@ -86,4 +86,24 @@ def op9_host_rules(spark, sf_dir: str) -> DataFrame:
     return judged(docs).drop("host")
 
 
-OP9_SQL = None
+OP9_SQL = r"""
+    WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+         w AS (SELECT doc_id, source, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+                      list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+         pos AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w),
+         g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) AS c FROM pos),
+         r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM g WHERE c > 1) GROUP BY doc_id),
+         b AS (SELECT w.doc_id, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+                      len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+                      (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
+               FROM w LEFT JOIN r ON w.doc_id = r.doc_id),
+         f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b),
+         h AS (SELECT source, count(*)::DOUBLE AS n, count_if(base_failed)::DOUBLE AS f FROM f WHERE source IS NOT NULL GROUP BY source),
+         m AS (SELECT sum(f) / sum(n) AS m, sum(n) AS docs, sum(f * f / n) AS ff, sum(n * n) AS nn, count(*) AS k FROM h),
+         v AS (SELECT m, m * (1 - m) AS within, (ff - docs * m * m - (k - 1) * m * (1 - m)) / nullif(docs - nn / docs, 0) AS spread FROM m),
+         s AS (SELECT m, CASE WHEN spread > 0 THEN least(greatest(within / spread - 1, 1.0), 10000.0) ELSE 10000.0 END AS strength FROM v),
+         bad AS (SELECT source FROM h, s WHERE (f + m * strength) / (n + strength) > 0.5)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           NOT base_failed AND (source IS NULL OR source NOT IN (SELECT source FROM bad)) AS kept
+    FROM f
+"""

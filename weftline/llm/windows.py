@@ -295,3 +295,17 @@ def deduplicated(docs: DataFrame, size: int = WINDOW, batches: int = BATCHES, di
 
 def op8_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet"), digests=True)
+
+
+OP8_SQL = r"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+         pos AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w),
+         g AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS win FROM pos),
+         h AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY win) AS first FROM g) WHERE first < doc_id),
+         gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM h),
+         lost AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id),
+         words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+         kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS line FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+    SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed, sha256(coalesce(line, '')) AS kept_sha256
+    FROM w LEFT JOIN lost ON w.doc_id = lost.doc_id LEFT JOIN kept ON w.doc_id = kept.doc_id
+"""
