@@ -37,7 +37,7 @@ PERIOD = 133
 COVER = (1, 10, 11, 13, 27, 31, 68, 75, 83, 110, 115, 121)
 SAMPLE = LENGTH - PERIOD + 1
 SIDE = PERIOD - 1
-CHUNK_BYTES, GATHERED = 1 << 20, 1_000_000
+CHUNK_BYTES, GATHERED = 1 << 20, 500_000
 BUCKET_SAMPLES = 1_000_000
 GROUP_BYTES = 12 << 20
 #: Members of a contested rank beyond which it is parted into this many kinds of sub-bucket.
