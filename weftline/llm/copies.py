@@ -1,0 +1,164 @@
+"""Near copies: components of documents whose sets of word shingles have a Jaccard similarity of ``least`` or more.
+
+1. Shingles of a document are ordered, the ones that a sample shows to be common last. Two sets of
+   that similarity share a shingle among the first n - ceil(least * n) + 1 of each (prefix
+   filtering), so no pair is missed, whatever the sample holds; it only decides how many candidates
+   there are.
+2. Candidates are judged by the exact similarity of the whole sets.
+3. First each document meets only the one before it in each bucket, in order of size; then all
+   that share a bucket and are not in one component yet.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from weftline.llm.common import small_batches, text_or_empty, written
+from weftline.llm.simhash import components, shingle_hashes
+
+WORDS, LEAST = 5, 0.8
+#: Documents of the sample, and common shingles kept of it, at most.
+SAMPLE, COMMON = 20_000, 500_000
+#: Keeps products that are whole numbers from being rounded past themselves.
+ROUNDING = 1e-9
+
+
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The distinct shingles' hashes in ascending order."""
+    return np.unique(shingle_hashes(text or "", words))
+
+
+def prefix_size(n: int, least: float) -> int:
+    """Shingles of a set of n of which a similar set must hold one."""
+    return n - int(np.ceil(least * n - ROUNDING)) + 1 if n else 0
+
+
+def among(own: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which numbers are among ``some``, ascending; by search, as np.isin would sort ``some`` for every document."""
+    if not len(some):
+        return np.zeros(len(own), bool)
+    return some[np.minimum(np.searchsorted(some, own), len(some) - 1)] == own
+
+
+def common_shingles(docs: DataFrame, words: int = WORDS) -> np.ndarray:
+    """Shingles that stand in two or more documents of a sample, the most frequent ones, ascending."""
+    some = max(1, docs.count() // SAMPLE)
+
+    @F.pandas_udf("array<long>")
+    def made(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield batch.map(lambda t: shingles(t, words).view(np.int64))
+
+    drawn = docs.where(F.pmod(F.xxhash64("text"), F.lit(some)) == 0).select("text").distinct()
+    found = drawn.select(F.explode(made("text")).alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = found.orderBy(F.desc("n"), "shingle").limit(COMMON).select("shingle").toPandas()
+    return np.sort(rows["shingle"].to_numpy(np.int64).view(np.uint64))
+
+
+def described(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
+    """doc_id and text_hash, which name a row; node (a hash of the shingles), n and the prefix of each."""
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words))
+
+    @F.pandas_udf("node long, n int, prefix array<long>")
+    def made(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        for batch in texts:
+            out = []
+            for text in batch:
+                own = shingles(text, words)
+                late = among(own, common.value)
+                ordered = np.concatenate([own[~late], own[late]])
+                out.append((np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).view(np.int64), len(own), ordered[: prefix_size(len(own), least)].view(np.int64)))
+            yield pd.DataFrame(out, columns=["node", "n", "prefix"])
+
+    rows = docs.select("doc_id", text_hash().alias("text_hash"), made.asNondeterministic()("text").alias("_m"))
+    return rows.select("doc_id", "text_hash", "_m.*")
+
+
+def text_hash() -> Column:
+    return F.xxhash64(text_or_empty())
+
+
+def close(a: str, b: str, least: float) -> Column:
+    """Whether sizes and places of a shared shingle leave two sets the overlap they need."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    rest = F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos"))
+    return (F.least(n, m) >= F.greatest(n, m) * least - ROUNDING) & (rest >= (n + m) * (least / (1 + least)) - ROUNDING)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, least: float) -> DataFrame:
+    """Those of the pairs (a, b) of nodes that are similar, by their whole sets."""
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    asked = nodes.join(asked, "node").select("node", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+
+    @F.pandas_udf("binary")
+    def packed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield batch.map(lambda t: shingles(t, words).tobytes())
+
+    @F.pandas_udf("boolean")
+    def similar(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for left, right in batches:
+            out = []
+            for x, y in zip(left, right):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                out.append(both >= least * (len(x) + len(y) - both) - ROUNDING)
+            yield pd.Series(out, dtype=bool)
+
+    texts = docs.select("doc_id", "text", text_hash().alias("_h")).join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")))
+    sets = written(texts.select("node", "text").dropDuplicates(["node"]).select("node", packed.asNondeterministic()("text").alias("words")), "sets")
+    a, b = sets.select(F.col("node").alias("a"), F.col("words").alias("_a")), sets.select(F.col("node").alias("b"), F.col("words").alias("_b"))
+    judged = pairs.join(a, "a").join(b, "b").select("a", "b", similar.asNondeterministic()("_a", "_b").alias("_s"))
+    return written(judged.where("_s").select("a", "b"), "similar")
+
+
+def near_copies(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
+    """doc_id and text_hash of every row, with those of its component's first row: kept_id, kept_hash.
+
+    First is the least doc_id, null after all others, then the least hash of the text: rows are
+    named by both, so texts without an id, or that share one, stay apart. Equal sets of shingles
+    are one node from the start; texts without words are equal.
+    """
+    small_batches(docs.sparkSession)
+    rows = written(described(docs, words, least), "shingles")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
+    nodes = written(rows.groupBy("node").agg(first, F.first("n").alias("n"), F.first("prefix").alias("prefix")), "nodes")
+    keyed = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "shingle"))
+    often = keyed.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("shingle")
+    shared = written(keyed.join(often, "shingle"), "shared")
+
+    before = Window.partitionBy("shingle").orderBy("n", "node")
+    own = F.struct("node", "n", "pos")
+    chained = shared.select(own.alias("y"), F.lag(own).over(before).alias("x")).where(F.col("x").isNotNull() & close("x", "y", least))
+    pairs = written(chained.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "pairs")
+    edges = verified(pairs, docs, nodes, words, least)
+
+    found = written(components(edges), "components").withColumnRenamed("node", "_node")
+    placed = shared.join(found, F.col("node") == F.col("_node"), "left").select("shingle", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
+    placed = written(placed, "placed")
+    apart = placed.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
+    placed = placed.join(apart, "shingle")
+    met = placed.alias("x").join(placed.alias("y"), F.col("x.shingle") == F.col("y.shingle")).where((F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & close("x", "y", least))
+    met = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    pairs = written(met.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    edges = edges.unionByName(verified(pairs, docs, nodes, words, least))
+
+    found = written(components(edges), "components").withColumnRenamed("node", "_node")
+    rooted = nodes.join(found, F.col("node") == F.col("_node"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    least_of = rooted.groupBy("root").agg(F.min("first").alias("kept"))
+    classes = rooted.join(least_of, "root").select("node", F.col("kept.doc_id").alias("kept_id"), F.col("kept.text_hash").alias("kept_hash"))
+    return rows.join(classes, "node").select("doc_id", "text_hash", "kept_id", "kept_hash")
+
+
+def without_copies(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
+    """``docs`` with the first row of each component alone."""
+    kept = near_copies(docs, words, least).select(F.col("kept_id").alias("_id"), F.col("kept_hash").alias("_kept")).distinct()
+    named = docs.withColumn("_hash", text_hash())
+    return named.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_kept")), "left_semi").dropDuplicates(["doc_id", "_hash"]).select(docs.columns)
