@@ -197,7 +197,8 @@ def without_orphans(kept: bytes) -> str:
 
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-STEP_C = f"kind string, {OUT}, k long, text binary, starts binary, ends binary, bucket int, names binary, parts binary, sides binary, docs binary, at binary"
+KEYED_OUT = f"{OUT}, k long"
+STEP_C = f"kind string, {KEYED_OUT}, text binary, starts binary, ends binary, bucket int, names binary, parts binary, sides binary, docs binary, at binary"
 
 
 def contexts(data: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -223,7 +224,7 @@ def resolve(bits: int, digests: bool):  # noqa: ANN201
             place = np.concatenate([x[0] for x in own["same"]]) if "same" in own else np.zeros(0, np.int64)
             start, end = np.maximum(place - SIDE, 0), np.minimum(place + SAMPLE + SIDE, n)
             if "ask" not in own and "large" not in own:
-                rows.append(("done", *settled(doc, data, start, end, digests), *[None] * 10))
+                rows.append(("done", *settled(doc, data, start, end, digests), k, *[None] * 9))
                 continue
             start, end = merged(start, end)
             rows.append(("carry", doc, *[None] * 5, k, data, squeezed(start), squeezed(end), len(start), *[None] * 5))
@@ -349,25 +350,62 @@ def finish(digests: bool):  # noqa: ANN201
         for doc, k, data, start, end, n in zip(*[carried[c].to_pylist() for c in ("doc_id", "k", "text", "starts", "ends", "bucket")]):
             own = np.concatenate(known[k]["span"], axis=1) if k in known else np.zeros((2, 0), np.int64)
             start, end = (np.r_[unsqueezed(x, n).astype(np.int64), y] for x, y in zip((start, end), own))
-            rows.append(settled(doc, data, start, end, digests))
-        return as_table(rows, OUT)
+            rows.append((*settled(doc, data, start, end, digests), k))
+        return as_table(rows, KEYED_OUT)
 
     return run
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """``docs`` with ``_k``, a number that names its (doc_id, text), and whether any of these repeats.
+
+    That is doc_id where it has one text. Null ids and ids of several texts get numbers outside the
+    range of ids, given once and written; if no such range is left, all pairs are numbered.
+    """
+    named = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_text_id": F.unhex(F.md5(text_or_empty()))})
+    pairs = written(named.groupBy("_id", "_text_id").agg(F.count(F.lit(1)).alias("rows")), "texts")
+    several = pairs.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR _id IS NULL").select(F.col("_id").alias("_several"))
+    chosen = pairs.join(several, F.col("_id").eqNullSafe(F.col("_several")), "left_semi")
+    seen = pairs.agg(F.min("_id").alias("low"), F.max("_id").alias("high"), F.max("rows").alias("rows")).first()
+    repeated = (seen["rows"] or 0) > 1
+
+    def numbered(some: DataFrame) -> tuple[DataFrame, int | None]:
+        given = written(some.select(F.col("_id").alias("_i"), F.col("_text_id").alias("_t"), F.monotonically_increasing_id().alias("_number")), "keys")
+        return given, given.agg(F.max("_number").alias("n")).first()["n"]
+
+    given, top = numbered(chosen)
+    if top is None:
+        return named.withColumn("_k", F.col("_id")).drop("_id", "_text_id"), repeated
+    low, high = seen["low"] or 0, seen["high"] or 0
+    number = F.col("_number")
+    if high + 1 + top < 1 << 63:
+        number = F.lit(high + 1).cast("long") + number
+    elif low - 1 - top >= -(1 << 63):
+        number = F.lit(low - 1).cast("long") - number
+    else:
+        given, _ = numbered(pairs)
+    joined = named.join(given, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_text_id") == F.col("_t")), "left")
+    return joined.withColumn("_k", F.coalesce(number, F.col("_id"))).drop("_id", "_text_id", "_i", "_t", "_number"), repeated
+
+
 def deduplicated(docs: DataFrame, digests: bool = False, group_bytes: int = GROUP_BYTES, large: int = LARGE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the kept bytes (or their digest) of every whole text.
 
     A byte goes if a string of 400 bytes over it also starts anywhere else, in the same document
     or another; strings are judged on the input. A null text is empty; texts under 400 bytes stay
-    whole. doc_id names a text: repeated rows of it are each other's repeats and share a result. A
-    null id is an id of its own.
+    whole. doc_id and text name a row: rows that repeat both are each other's repeats and share a
+    result; texts without an id, or of one id, are texts of their own.
     """
+    return results(docs, keyed(docs)[0], digests, group_bytes, large).drop("k")
+
+
+def results(docs: DataFrame, named: DataFrame, digests: bool = False, group_bytes: int = GROUP_BYTES, large: int = LARGE) -> DataFrame:
+    """deduplicated() of ``docs``, with the key ``k`` that ``named``, from keyed(), has as ``_k``."""
     size_of = scan_bytes(docs)
     small_batches(docs.sparkSession)
     groups = prime_from(max(1, size_of // group_bytes) + 1)
     bits = min(16, max(0, (size_of * len(COVER) // PERIOD * 2 // BUCKET_SAMPLES).bit_length()))
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("_k"), text_or_empty().alias("text"))
+    rows = named.select("doc_id", "_k", text_or_empty().alias("text"))
     ranks = dealt_samples(rows.select("_k", "text"), bits).groupBy("bucket").applyInArrow(lambda key, table: ranked(key, table, groups, large), RANKED)
     ranks = written(ranks, "ranks")
     dealt = rows.withColumn("grp", F.pmod("_k", F.lit(groups)).cast("int"))
@@ -376,8 +414,8 @@ def deduplicated(docs: DataFrame, digests: bool = False, group_bytes: int = GROU
     buckets = step.where("kind = 'ctx'").select("bucket", "names", "parts", "sides", "docs", "at")
     spans = buckets.groupBy("bucket").applyInArrow(lambda key, table: suffix_bucket(key, table, groups), RANKED)
     carried = step.where("kind = 'carry'").select("doc_id", "k", "text", "starts", "ends", "bucket", F.pmod("k", F.lit(groups)).cast("int").alias("grp"))
-    last = carried.groupBy("grp").cogroup(spans.groupBy("grp")).applyInArrow(finish(digests), OUT)
-    columns = [c.strip().split(" ")[0] for c in OUT.split(",")]
+    last = carried.groupBy("grp").cogroup(spans.groupBy("grp")).applyInArrow(finish(digests), KEYED_OUT)
+    columns = [c.strip().split(" ")[0] for c in KEYED_OUT.split(",")]
     out = step.where("kind = 'done'").select(*columns).unionByName(last)
     return out.drop("kept" if digests else "kept_sha256")
 
@@ -389,9 +427,11 @@ def deduplicated_texts(docs: DataFrame) -> DataFrame:
     def text(kept: pd.Series) -> pd.Series:
         return kept.map(without_orphans)
 
-    left = deduplicated(docs).select(F.col("doc_id").alias("_id"), F.when(F.col("n_removed") > 0, text("kept")).otherwise(F.col("kept").cast("string")).alias("_text"))
-    rest = docs.drop("text", "n_chars").dropDuplicates(["doc_id"])
-    out = rest.join(left, rest["doc_id"].eqNullSafe(left["_id"]))
+    named, repeated = keyed(docs)
+    left = results(docs, named).select(F.col("k").alias("_left"), F.when(F.col("n_removed") > 0, text("kept")).otherwise(F.col("kept").cast("string")).alias("_text"))
+    left = left.dropDuplicates(["_left"]) if repeated else left
+    rest = named.drop("text", "n_chars")
+    out = rest.join(left, F.col("_k") == F.col("_left"))
     renewed = {"text": left["_text"], "n_chars": F.length(left["_text"]).cast("long")}
     return out.select(*[renewed[c].alias(c) if c in renewed else rest[c] for c in docs.columns])
 
