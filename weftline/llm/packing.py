@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -18,6 +19,8 @@ LENGTH = 1024
 OPEN = 32
 #: Partitions whose leftover windows are merged by one task.
 MERGED = 64
+#: White space beside the single space and the line feed: such texts go to the tokenizer whole.
+ODD_SPACE = re.compile(r"[^\S\x20\n]")
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -26,8 +29,8 @@ class ByteEncoder:
 
     The tokenizer's own pattern always parts a text before a space that a non-space follows and
     around a line feed between non-spaces, so such chunks can be encoded one by one; other texts
-    (runs of white space, special tokens) go to the tokenizer whole. A punctuation mark after a
-    letter is a chunk's own last part too.
+    (runs of white space, other white space, special tokens) go to the tokenizer whole. A punctuation mark after a
+    (ASCII) letter is a chunk's own last part too.
     """
 
     def __init__(self, json_path: str, ranks_path: str, pattern: str, remember: int = 300_000) -> None:
@@ -45,7 +48,7 @@ class ByteEncoder:
 
         class Chunks(dict):
             def __missing__(self, chunk: str) -> bytes:
-                if chunk[-1:] in ".,!?;:" and chunk[-2:-1].isalpha():
+                if chunk[-1:] in ".,!?;:" and chunk[-2:-1].isalpha() and chunk[-2:-1].isascii():
                     ids = self[chunk[:-1]] + self[chunk[-1]]
                 else:
                     ids = array("I", encode(chunk)).tobytes()
@@ -57,7 +60,7 @@ class ByteEncoder:
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if any(s in text for s in self.special):
+        if ODD_SPACE.search(text) or any(s in text for s in self.special):
             return self.exactly(text)
         get = self.chunks.__getitem__
         if len(self.chunks) > self.remember:
@@ -65,7 +68,7 @@ class ByteEncoder:
         out: list[bytes] = []
         for k, line in enumerate(text.split("\n")):
             words = line.split(" ")
-            if "" in words or len(line.split()) != len(words):  # white space beside single spaces and line feeds
+            if "" in words:  # runs of white space, or white space at an end
                 return self.exactly(text)
             if k:
                 out.append(get("\n"))
