@@ -19,10 +19,12 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a folder of its own only where none is set."""
+    """The shared folder named by spark.checkpoint.dir; in local mode alone, a folder of its own where none is set."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         os.makedirs("/tmp/checkpoints", exist_ok=True)
         found = tempfile.mkdtemp(prefix="weftline-", dir="/tmp/checkpoints")
         sc.setCheckpointDir(found)
@@ -133,28 +135,71 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Rolling:
-    """Polynomial hashes of any byte range of a buffer, from one running sum (modulo 2**64)."""
+P61 = np.uint64((1 << 61) - 1)
+_M30, _M31 = np.uint64((1 << 30) - 1), np.uint64((1 << 31) - 1)
+_30, _31, _61, _1 = (np.uint64(k) for k in (30, 31, 61, 1))
+
+
+def folded(x: np.ndarray) -> np.ndarray:
+    """Any unsigned 64-bit numbers modulo 2**61 - 1."""
+    x = (x & P61) + (x >> _61)
+    return np.where(x >= P61, x - P61, x)
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2**61 - 1, of numbers below 2**61, by halves of 30 and 31 bits."""
+    au, ad, bu, bd = a >> _31, a & _M31, b >> _31, b & _M31
+    mid = ad * bu + au * bd
+    return folded(((au * bu) << _1) + (mid >> _30) + ((mid & _M30) << _31) + ad * bd)
+
+
+class Powers:
+    """Powers of a base and of its inverse modulo 2**61 - 1, kept by the process."""
 
-    BASE = 0x9E3779B97F4A7C15 | 1
-    _powers = np.ones(1, np.uint64)
-    _inverse = np.ones(1, np.uint64)
+    #: Two bases for independent hashes (fixed values, drawn once).
+    BASES = (0x1A6F3C9D27B14E83, 0x0B5D41E7C8F2963B)
+    _held: dict[int, tuple[np.ndarray, ...]] = {}
 
     @classmethod
-    def powers(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls._powers) < n:
-            size = 1 << max(16, int(n - 1).bit_length())
-            for name, base in (("_powers", cls.BASE), ("_inverse", pow(cls.BASE, -1, 1 << 64))):
-                out = np.full(size, base, np.uint64)
-                out[0] = 1
-                setattr(cls, name, np.multiply.accumulate(out))
-        return cls._powers[:n], cls._inverse[:n]
-
-    def __init__(self, data: np.ndarray) -> None:
-        up, self.inverse = self.powers(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=self.sums[1:])
+    def of(cls, base: int, n: int) -> tuple[np.ndarray, ...]:
+        """n powers, their high and low halves, and n powers of the inverse."""
+        held = cls._held.get(base)
+        if held is None or len(held[0]) < n:
+            rows = []
+            for b in (base, pow(base, -1, int(P61))):
+                up = np.ones(1, np.uint64)
+                while len(up) < n:
+                    up = np.concatenate([up, product(up, np.full(1, pow(b, len(up), int(P61)), np.uint64))])
+                rows.append(up)
+            held = cls._held[base] = (rows[0], rows[0] >> _31, rows[0] & _M31, rows[1])
+        return tuple(x[:n] for x in held)
+
+
+class Rolling:
+    """Polynomial hashes modulo 2**61 - 1 of any range of a row of numbers, from running sums.
+
+    Different strings of n bytes share a hash for at most n of the 2**61 bases. Sums of the high and
+    low halves of the terms are kept apart, so they stay exact (differences are, even when the sums
+    wrap round).
+    """
+
+    def __init__(self, data: np.ndarray, base: int = 0) -> None:
+        """``data``: bytes, or numbers below 2**61; ``base``: which of the two."""
+        n = len(data)
+        up, high, low, self.inverse = Powers.of(Powers.BASES[base], n + 1)
+        if data.dtype == np.uint8:
+            own = data.astype(np.uint64)
+            own += _1
+            high, low = own * high[:-1], own * low[:-1]
+        else:
+            terms = product(data, up[:-1])
+            high, low = terms >> _31, terms & _M31
+        self.high, self.low = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+        np.cumsum(high, out=self.high[1:])
+        np.cumsum(low, out=self.low[1:])
 
     def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hash of each byte range [start, end); equal bytes give equal hashes wherever they lie."""
-        return mixed((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
+        """Hash of each range [start, end), spread over 64 bits; equal content gives equal hashes wherever it lies."""
+        high, low = folded(self.high[end] - self.high[start]), folded(self.low[end] - self.low[start])
+        total = folded((((high << _31) & P61) | (high >> _30)) + low)
+        return mixed(product(total, self.inverse[start]))

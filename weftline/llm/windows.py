@@ -1,10 +1,14 @@
 """Substring dedup of word windows through a log-structured fingerprint index.
 
 The index is a list of immutable runs. A run is a table of buckets, each with the sorted, distinct
-64-bit fingerprints of windows that documents of earlier batches have; the bucket itself comes
-from a second, independent hash, so a match is found on the one and verified on the other. Every
-batch of documents (by ascending doc_id) is merge-joined with all runs, becomes a run itself, and
-runs are compacted when enough of one size stand.
+fingerprints of windows that documents of earlier batches have. A fingerprint is a polynomial modulo
+2**61 - 1 over the hashes of the window's words, which are such polynomials over the words' bytes;
+the bucket comes from a second hash of the words with another base, and a match must agree in both.
+Every batch of documents (by ascending doc_id) is merge-joined with all runs, becomes a run itself,
+and runs are compacted when enough of one size stand.
+
+A task settles what repeats within its own documents; only the first document of each of its windows
+goes to the window's bucket, so a passage in very many documents loads a bucket once a task.
 """
 
 from __future__ import annotations
@@ -18,19 +22,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Rolling, dropped, mixed, new_path, scan_bytes, small_batches, text_or_empty, utf8, written
+from weftline.llm.common import Rolling, dropped, new_path, scan_bytes, small_batches, text_or_empty, utf8, written
 
 WINDOW = 13
 BATCHES = 4
 #: Runs of one tier that are compacted into a run of the next.
 FANOUT = 3
 #: Text that a task hashes at once, and windows that it gathers before it deals them into buckets.
-CHUNK_BYTES, GATHERED = 1 << 20, 1_000_000
-#: Windows aimed at in a bucket of the whole index; at most 2**16 buckets.
+CHUNK_BYTES, GATHERED = 1 << 18, 1_000_000
+#: Windows aimed at in a bucket of the whole index.
 BUCKET_WINDOWS = 1_000_000
-GROUP_BYTES = 12 << 20
+GROUP_BYTES = 4 << 20
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-ROW = "bucket int, vals binary, docs binary, idx binary"
+ROW = "bucket int, grp int, vals binary, docs binary, idx binary"
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 
@@ -88,50 +92,78 @@ def windows_of(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.nda
         none = np.zeros(0, np.uint64)
         return none, none, text, idx
     first = (np.cumsum(words) - words)[text] + idx
-    own = Rolling(data).ranges(starts, ends)
-    up, down = Rolling.powers(len(own) + 1)
-    out = []
-    for seed in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25):
-        sums = np.zeros(len(own) + 1, np.uint64)
-        np.cumsum(mixed(own ^ np.uint64(seed)) * up[:-1], out=sums[1:])
-        out.append(mixed((sums[first + size] - sums[first]) * down[first]))
-    return out[0], out[1], text, idx
+    value, other = (Rolling(Rolling(data, base).ranges(starts, ends) >> np.uint64(3), base).ranges(first, first + size) for base in (0, 1))
+    return value, other, text, idx
 
 
-def batch_rows(docs: DataFrame, bits: int, size: int) -> DataFrame:
-    """Windows of ``docs`` dealt into 2**bits buckets: fingerprints, documents and positions of each, packed."""
+def batch_rows(docs: DataFrame, bits: int, size: int, groups: int) -> DataFrame:
+    """Windows of ``docs`` (_k, _h, text) dealt into 2**bits buckets: fingerprints, documents and positions of each, packed.
+
+    A window of a later document of the same task is a hit already: such rows carry no fingerprints,
+    name the group of documents they are for, and only pass through a bucket.
+    """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
         def out() -> pa.RecordBatch:
-            value, other, doc, idx = (np.concatenate(x) for x in zip(*held))
+            value, other, doc, text, idx = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            bucket = (other >> np.uint64(64 - bits)).astype(np.uint16) if bits else np.zeros(len(other), np.uint16)
-            order = np.argsort(bucket, kind="stable")
-            value, doc, idx, bucket = value[order], doc[order], idx[order], bucket[order]
+            order = np.argsort(value, kind="stable")
+            starts = np.flatnonzero(np.r_[True, value[order][1:] != value[order][:-1]])
+            first = np.repeat(np.minimum.reduceat(doc[order], starts), np.diff(np.r_[starts, len(order)]))
+            again = np.zeros(len(value), bool)
+            again[order] = doc[order] > first
             rows = []
-            for at in np.split(np.arange(len(bucket)), np.flatnonzero(np.diff(bucket)) + 1):
-                a, b = at[0], at[-1] + 1
-                rows.append((int(bucket[a]), value[a:b].tobytes(), packed_runs(doc[a:b]), squeezed(idx[a:b])))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "vals", "docs", "idx"])
+            mine = np.flatnonzero(~again)
+            for bucket, at in split_by(other[mine] >> np.uint64(64 - bits) if bits else np.zeros(len(mine), np.uint64)):
+                at = mine[at]
+                rows.append((bucket, None, value[at].tobytes(), packed_owners(doc[at], text[at]), squeezed(idx[at])))
+            mine = np.flatnonzero(again)
+            for grp, at in split_by(np.mod(doc[mine] ^ text[mine], groups)):
+                at = mine[at]
+                rows.append((grp % (1 << bits), grp, None, packed_owners(doc[at], text[at]), squeezed(idx[at])))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "grp", "vals", "docs", "idx"])
 
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            ids, hashes, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2)
             ends = utf8(texts)[1]
             a = 0
             while a < len(ids):
                 b = max(a + 1, int(np.searchsorted(ends, ends[a] + CHUNK_BYTES, "right")) - 1)
                 value, other, text, idx = windows_of(*utf8(texts.slice(a, b - a)), size)
                 if len(value):
-                    held.append((value, other, ids[a:b][text], idx))
+                    held.append((value, other, ids[a:b][text], hashes[a:b][text], idx))
                 if sum(len(h[0]) for h in held) >= GATHERED:
                     yield out()
                 a = b
         if held:
             yield out()
 
-    return docs.mapInArrow(deal, ROW)
+    return docs.select("_k", "_h", "text").mapInArrow(deal, ROW)
+
+
+def split_by(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each key in ascending order, with its places in their own order."""
+    if len(key):
+        order = np.argsort(key, kind="stable")
+        cuts = np.flatnonzero(np.diff(key[order])) + 1
+        for at in np.split(order, cuts):
+            yield int(key[at[0]]), at
+
+
+def packed_owners(doc: np.ndarray, text: np.ndarray) -> bytes:
+    """Documents (id and hash of the text) that come in runs: how many, the ids, the hashes and the lengths."""
+    at = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])])
+    ids, hashes = squeezed(doc[at].view(np.uint64) ^ np.uint64(1 << 63)), text[at].tobytes()
+    return b"".join([len(at).to_bytes(8, "little"), len(ids).to_bytes(8, "little"), ids, hashes, squeezed(np.diff(at, append=len(doc)))])
+
+
+def unpacked_owners(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, size = int.from_bytes(data[:8], "little"), 16 + int.from_bytes(data[8:16], "little")
+    ids = (unsqueezed(data[16:size], n) ^ np.uint64(1 << 63)).view(np.int64)
+    count = unsqueezed(data[size + 8 * n :], n).astype(np.int64)
+    return np.repeat(ids, count), np.repeat(np.frombuffer(data[size : size + 8 * n], np.int64), count)
 
 
 def packed_runs(doc: np.ndarray) -> bytes:
@@ -156,13 +188,16 @@ def prime_from(n: int) -> int:
 def merged_batch(key: tuple, new: pa.Table, old: pa.Table, groups: int) -> pa.Table:
     """One bucket of a batch against the same bucket of all runs: what repeats, by group of documents, and the new run."""
     rows: list[tuple] = []
-    if len(new):
-        counts = [len(v) // 8 for v in new["vals"].to_pylist()]
-        value = np.frombuffer(b"".join(new["vals"].to_pylist()), np.uint64)
-        doc = np.concatenate([unpacked_runs(d) for d in new["docs"].to_pylist()])
-        idx = np.concatenate([unsqueezed(x, n) for x, n in zip(new["idx"].to_pylist(), counts)]).astype(np.int64)
+    through = [r for r in zip(*[new[c].to_pylist() for c in ("grp", "docs", "idx")]) if r[0] is not None]
+    rows += [("hit", grp, None, docs, idx) for grp, docs, idx in through]
+    new = [r for r in zip(*[new[c].to_pylist() for c in ("vals", "docs", "idx")]) if r[0] is not None]
+    if new:
+        counts = [len(v) // 8 for v, _, _ in new]
+        value = np.frombuffer(b"".join([v for v, _, _ in new]), np.uint64)
+        doc, text = (np.concatenate(x) for x in zip(*[unpacked_owners(d) for _, d, _ in new]))
+        idx = np.concatenate([unsqueezed(x, n) for (_, _, x), n in zip(new, counts)]).astype(np.int64)
         order = np.lexsort((doc, value))
-        value, doc, idx = value[order], doc[order], idx[order]
+        value, doc, text, idx = value[order], doc[order], text[order], idx[order]
         fresh = np.ones(len(value), bool)
         fresh[1:] = value[1:] != value[:-1]
         first = np.flatnonzero(fresh)
@@ -174,14 +209,11 @@ def merged_batch(key: tuple, new: pa.Table, old: pa.Table, groups: int) -> pa.Ta
             known |= run[np.minimum(at, len(run) - 1)] == value[first]
         hit = known[group] | (doc > doc[first][group])
         rows.append(("run", key[0].as_py(), run_bytes(value[first][~known]), None, None))
-        doc, idx = doc[hit], idx[hit]
-        part = np.mod(doc, groups)
-        order = np.lexsort((idx, doc, part))
-        doc, idx, part = doc[order], idx[order], part[order]
-        if len(doc):
-            for at in np.split(np.arange(len(doc)), np.flatnonzero(np.diff(part)) + 1):
-                a, b = at[0], at[-1] + 1
-                rows.append(("hit", int(part[a]), None, packed_runs(doc[a:b]), squeezed(idx[a:b])))
+        doc, text, idx = doc[hit], text[hit], idx[hit]
+        order = np.lexsort((idx, text, doc))
+        doc, text, idx = doc[order], text[order], idx[order]
+        for part, at in split_by(np.mod(doc ^ text, groups)):
+            rows.append(("hit", part, None, packed_owners(doc[at], text[at]), squeezed(idx[at])))
     return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["kind", "at", "vals", "docs", "idx"])
 
 
@@ -202,13 +234,13 @@ class Index:
         return out
 
     def add(self, docs: DataFrame) -> DataFrame:
-        """Adds a batch (doc_id, text); returns its repeated windows, packed by group of documents."""
+        """Adds a batch (_k, _h, text); returns its repeated windows, packed by group of documents."""
         groups = self.groups
 
         def merge(key: tuple, new: pa.Table, old: pa.Table) -> pa.Table:
             return merged_batch(key, new, old, groups)
 
-        new = batch_rows(docs, self.bits, self.size)
+        new = batch_rows(docs, self.bits, self.size, groups)
         both = new.groupBy("bucket").cogroup(self.history().groupBy("bucket"))
         path = new_path(self.spark, "windows")
         out = written(both.applyInArrow(merge, "kind string, at int, vals binary, docs binary, idx binary"), "windows", ["kind"], path)
@@ -249,39 +281,41 @@ def deduplicated(docs: DataFrame, size: int = WINDOW, batches: int = BATCHES, di
 
     A word goes if a window over it has the words of a window in a document of smaller doc_id. The
     documents enter the index in ``batches`` by ascending doc_id (equal ids share a batch and do not
-    count as smaller; a null id is smallest); doc_id names a text, so repeated rows of it are one
-    document. A null text has no words. One passage in any number of documents costs each of them
-    its own windows and no more.
+    count as smaller; a null id is smallest). Rows are told apart by doc_id and text: rows that
+    repeat both are alike, rows of one id with several texts are texts of their own. A null text has
+    no words. One passage in any number of documents costs each of them its own windows and no more.
     """
     spark = docs.sparkSession
     size_of = scan_bytes(docs)
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("_k"), text_or_empty().alias("text"))
+    text = text_or_empty()
+    rows = docs.select(F.col("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("_k"), F.xxhash64(text).alias("_h"), text.alias("text"))
     groups = prime_from(max(1, size_of // group_bytes) + 1)
-    bits = min(16, max(0, (size_of // 4 // BUCKET_WINDOWS).bit_length()))
+    bits = min(30, max(0, (size_of // 4 // BUCKET_WINDOWS).bit_length()))
     found = rows.agg(F.percentile_approx("_k", [k / batches for k in range(1, batches)], 10_000).alias("q")).first()["q"] if batches > 1 else []
     edges = sorted(set(found or []))
     index, hits = Index(spark, bits, groups, size), None
     for low, high in zip([None, *edges], [*edges, None]):
         part = rows if low is None else rows.where(F.col("_k") >= low)
         part = part if high is None else part.where(F.col("_k") < high)
-        new = index.add(part.select("_k", "text"))
+        new = index.add(part)
         hits = new if hits is None else hits.unionByName(new)
 
     def kept(key: tuple, texts: pa.Table, found: pa.Table) -> pa.Table:
-        at: dict[int, list[np.ndarray]] = {}
-        for ids, idx in zip(found["docs"].to_pylist(), found["idx"].to_pylist()):
-            doc = unpacked_runs(ids)
+        at: dict[tuple[int, int], list[np.ndarray]] = {}
+        for owners, idx in zip(found["docs"].to_pylist(), found["idx"].to_pylist()):
+            doc, own = unpacked_owners(owners)
             places = unsqueezed(idx, len(doc)).astype(np.int64)
-            cuts = np.flatnonzero(np.diff(doc)) + 1
-            for d, p in zip(doc[np.r_[0, cuts]].tolist(), np.split(places, cuts)):
-                at.setdefault(d, []).append(p)
+            cuts = np.flatnonzero((np.diff(doc) != 0) | (np.diff(own) != 0)) + 1
+            begin = np.r_[0, cuts]
+            for d, h, p in zip(doc[begin].tolist(), own[begin].tolist(), np.split(places, cuts)):
+                at.setdefault((d, h), []).append(p)
         n, gone, left = [], [], []
-        for k, text in zip(texts["_k"].to_pylist(), texts["text"]):
+        for k, h, text in zip(texts["_k"].to_pylist(), texts["_h"].to_pylist(), texts["text"]):
             words = WORD.findall(text.as_py())
             n.append(len(words))
-            if k in at:
-                out = covered(len(words), np.concatenate(at[k]), size)
+            if (k, h) in at:
+                out = covered(len(words), np.concatenate(at[k, h]), size)
                 words = [w for w, x in zip(words, out.tolist()) if not x]
             gone.append(n[-1] - len(words))
             line = " ".join(words)
@@ -289,7 +323,7 @@ def deduplicated(docs: DataFrame, size: int = WINDOW, batches: int = BATCHES, di
         return pa.table([texts["doc_id"].combine_chunks().cast(pa.int64()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(left, pa.string())], ["doc_id", "n_words", "n_removed", last])
 
     last = "kept_sha256" if digests else "kept"
-    dealt = rows.withColumn("grp", F.pmod("_k", F.lit(groups)).cast("int"))
+    dealt = rows.withColumn("grp", F.pmod(F.col("_k").bitwiseXOR(F.col("_h")), F.lit(groups)).cast("int"))
     return dealt.groupBy("grp").cogroup(hits.groupBy("grp")).applyInArrow(kept, f"doc_id long, n_words long, n_removed long, {last} string")
 
 
