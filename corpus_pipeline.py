@@ -33,8 +33,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of strings of 400 bytes that start twice or more in what is left."""
-    return suffix.deduplicated_texts(docs)
+    """Texts without the bytes of strings of 256 bytes (some 50 short words) that start twice or more in what is left."""
+    return suffix.deduplicated_texts(docs, suffix.BYTES_256)
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

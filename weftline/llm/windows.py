@@ -254,7 +254,8 @@ class Index:
         while len(old := [(r, p) for t, r, p in self.runs if t == tier]) >= self.fanout:
 
             def merge(key: tuple, table: pa.Table) -> pa.Table:
-                values = np.unique(np.concatenate([run_values(v) for v in table["vals"].to_pylist()]))
+                # Sorted runs without a value in common: a stable sort merges them.
+                values = np.sort(np.concatenate([run_values(v) for v in table["vals"].to_pylist()]), kind="stable")
                 return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([run_bytes(values)], pa.binary())], ["bucket", "vals"])
 
             union = old[0][0]
