@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline as P
 from tests.llm import fixtures as X
-from weftline.llm import copies
+from weftline.llm import simhash
 
 
 def plain_sets(docs):
@@ -59,15 +59,15 @@ def test_planted_copies(spark):
 
 def test_awkward_documents(spark):
     docs = X.corpus()
-    got = {r["doc_id"] for r in copies.without_copies(X.table(spark, docs)).collect()}
+    got = {r["doc_id"] for r in simhash.without_copies(X.table(spark, docs)).collect()}
     assert got == {k for k, _ in survivors(docs)}
-    assert copies.without_copies(X.table(spark, docs).limit(0)).count() == 0
+    assert simhash.without_copies(X.table(spark, docs).limit(0)).count() == 0
 
 
 def test_rows_without_an_id_stay_apart(spark):
     (_, a), (_, copy), *_ = planted()
     b, c = planted(4)[0][1], planted(5)[0][1]
     rows = [(None, a), (None, copy), (None, b), (5, b), (7, c), (7, a[::-1]), (None, b)]
-    left = sorted((r["doc_id"] or 0, r["text"]) for r in copies.without_copies(X.table(spark, rows)).collect())
+    left = sorted((r["doc_id"] or 0, r["text"]) for r in simhash.without_copies(X.table(spark, rows)).collect())
     assert len(left) == 4 and [k for k, _ in left] == [0, 5, 7, 7]
     assert {t for _, t in left} - {a, copy} == {b, c, a[::-1]}

@@ -1,17 +1,24 @@
-"""SimHash near duplicates through covering locality-sensitive hashing."""
+"""SimHash near duplicates through covering locality-sensitive hashing.
+
+near_duplicates() links 64-bit fingerprints within a radius. similar() finds texts whose sets of word
+shingles have a Jaccard similarity of 0.8 or more: a fingerprint of several 64-bit words, covering
+masks within each word, and an exact look at the sets wherever the fingerprints leave a doubt.
+"""
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import small_batches, written
+from weftline.llm.common import mixed, small_batches, text_or_empty, written
+from weftline.llm.windows import run_bytes, run_values, split_by, squeezed, unsqueezed
 
 RADIUS = 3
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -138,7 +145,7 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
     return dealt.groupBy(part).applyInArrow(compare, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root``, the least node that it reaches, for the nodes of ``edges`` (a, b).
 
     Large-star and small-star rounds until nothing changes; each round is a table in the shared
@@ -148,7 +155,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     mark = None
-    for _ in range(most_rounds):
+    while True:
         # Large star: every larger neighbour of u hangs on the least of u and its neighbours.
         two = both(now)
         least = two.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
@@ -163,7 +170,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if mark == new:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         mark = new
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -186,6 +192,260 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.join(classes, F.col("fp") == F.col("_fp"), "left").select("doc_id", "fp", "component_id")
 
 
+# --- texts of similar shingle sets ----------------------------------------------------------------
+
+WORDS, LEAST = 5, 0.8
+#: Share of pairs just at the threshold that may meet in no table.
+MISSED = 0.01
+#: Sets below this size are always compared themselves.
+SMALL = 64
+#: Keeps products that are whole numbers from being rounded past themselves.
+ROUNDING = 1e-9
+
+
+def apart(least: float) -> float:
+    """Share of fingerprint bits in which two equally large sets of that Jaccard similarity differ."""
+    return math.acos(2 * least / (1 + least)) / math.pi
+
+
+def tables(rows: int, least: float) -> tuple[int, int]:
+    """Bits of a key and words of a fingerprint for that many rows.
+
+    A key has 4 bits more than the rows' number (24 at least), so unlike texts hardly ever share one;
+    there are as many words, of 15 tables each, as make the share of missed pairs at the threshold
+    MISSED, whatever the number of rows.
+    """
+    bits = 2 * math.ceil(max(24, (max(rows, 1) - 1).bit_length() + 4) / 2)
+    bits = min(bits, 32)
+    return bits, math.ceil(-math.log(MISSED) / (1 - apart(least)) ** bits / len(covering_masks()))
+
+
+def majority(words: np.ndarray) -> np.ndarray:
+    """Of rows of 64-bit words, the bits that are set in over half the rows, by carry-save adding of whole words."""
+    n, width = words.shape
+    count = np.zeros(64 * width, np.int64)
+    weight = 1
+    while len(words):
+        carries = []
+        while len(words) >= 3:
+            q = len(words) // 3
+            a, b, c = words[:q], words[q : 2 * q], words[2 * q : 3 * q]
+            half = a ^ b
+            carries.append((a & b) | (half & c))
+            words = np.concatenate([half ^ c, words[3 * q :]])
+        count += weight * np.unpackbits(words.astype(">u8").view(np.uint8).reshape(len(words), -1), axis=1).sum(axis=0, dtype=np.int64)
+        words = np.concatenate(carries) if carries else words[:0]
+        weight *= 2
+    return np.packbits(2 * count > n).view(">u8").astype(np.uint64)
+
+
+def wide_fingerprint(shingles: np.ndarray, words: int) -> np.ndarray:
+    """``words`` independent SimHash words of a set of shingle hashes."""
+    if not len(shingles):
+        return np.zeros(words, np.uint64)
+    seeds = mixed(np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    total = None
+    if len(shingles) <= 1 << 16:
+        return majority(mixed(shingles[:, None] ^ seeds))
+    for a in range(0, words, 4):  # bounded memory for texts of any length
+        part = majority(mixed(shingles[:, None] ^ seeds[a : a + 4]))
+        total = part if total is None else np.concatenate([total, part])
+    return total
+
+
+def text_hash() -> Column:
+    return F.xxhash64(text_or_empty())
+
+
+def described(docs: DataFrame, k: int, words: int) -> DataFrame:
+    """doc_id and text_hash, which name a row; node (a hash of the shingle set), its size n and the wide fingerprint."""
+
+    @F.pandas_udf("node binary, n int, wide array<long>")
+    def made(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        for batch in texts:
+            out = []
+            for text in batch:
+                own = np.unique(shingle_hashes(text or "", k))
+                out.append((xxhash.xxh3_128_digest(own.tobytes()), len(own), wide_fingerprint(own, words).view(np.int64)))
+            yield pd.DataFrame(out, columns=["node", "n", "wide"])
+
+    rows = docs.select("doc_id", text_hash().alias("text_hash"), made.asNondeterministic()("text").alias("_m"))
+    return rows.select("doc_id", "text_hash", "_m.*")
+
+
+def met(nodes: DataFrame, bits: int, words: int, rows: int) -> DataFrame:
+    """Nodes (id, wide) that share a key in some table.
+
+    kind 'pair': neighbours by id among those that share a key; kind 'shared': keys that two or more
+    have, with their ids, packed. Both are at most as many as there are keys.
+    """
+    masks = np.array(covering_masks(RADIUS, 2 * bits), np.uint64)
+    table_of = mixed(np.arange(1, words * len(masks) + 1, dtype=np.uint64))
+    buckets = max(0, (rows * words * len(masks) // 2_000_000).bit_length())
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, len(batch), 2048):
+                part = batch.slice(a, 2048)
+                ids = part["id"].to_numpy(zero_copy_only=False)
+                wide = part["wide"].flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), words)
+                keys = mixed((wide[:, :, None] & masks).reshape(len(ids), -1) ^ table_of).ravel()
+                own = np.repeat(ids - ids[0], words * len(masks))
+                order = np.argsort(keys)
+                keys, own = keys[order], own[order]
+                out = [(bucket, run_bytes(keys[at]), squeezed(own[at].view(np.uint64)), int(ids[0])) for bucket, at in split_by(keys >> np.uint64(64 - buckets) if buckets else np.zeros(len(keys), np.uint64))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary(), pa.int64()))], ["bucket", "keys", "ids", "first"])
+
+    def gather(key: tuple, table: pa.Table) -> pa.Table:
+        keys = [run_values(x) for x in table["keys"].to_pylist()]
+        ids = np.concatenate([unsqueezed(x, len(k)).view(np.int64) + first for x, k, first in zip(table["ids"].to_pylist(), keys, table["first"].to_pylist())])
+        keys = np.concatenate(keys)
+        order = np.lexsort((ids, keys))
+        keys, ids = keys[order], ids[order]
+        equal = keys[1:] == keys[:-1]
+        pairs = np.unique(np.stack([ids[:-1][equal], ids[1:][equal]], axis=1), axis=0)
+        several = np.r_[equal, False] | np.r_[False, equal]
+        a, b = np.r_[pairs[:, 0], keys[several].view(np.int64)], np.r_[pairs[:, 1], ids[several]]
+        kind = np.r_[np.zeros(len(pairs), np.int32), np.ones(several.sum(), np.int32)]
+        return pa.table([pa.array(kind, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["kind", "a", "b"])
+
+    dealt = nodes.select("id", "wide").mapInArrow(deal, "bucket int, keys binary, ids binary, first long")
+    return written(dealt.groupBy("bucket").applyInArrow(gather, "kind int, a long, b long"), "met", ["kind"])
+
+
+def judged(pairs: DataFrame, nodes: DataFrame, words: int, least: float) -> DataFrame:
+    """Pairs (a, b) that may be similar: ``sure`` where the fingerprints leave no doubt that they are.
+
+    Bits of a fingerprint are independent: the distance of a pair at the threshold is within five
+    standard deviations of its mean but for three pairs in ten million.
+    """
+    share, total = apart(least), 64 * words
+    spread = math.sqrt(share * (1 - share) * total)
+    side = lambda x: nodes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("wide").alias(f"wide_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = both.where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * least - ROUNDING)
+    distance = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    both = both.select("a", "b", F.least("n_a", "n_b").alias("n"), distance.alias("d")).where(F.col("d") <= math.ceil(share * total + 5 * spread))
+    return both.select("a", "b", ((F.col("d") <= math.floor(share * total - 5 * spread)) & (F.col("n") >= SMALL)).alias("sure"))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, least: float) -> DataFrame:
+    """Those of the pairs (a, b) of nodes that are similar, by their whole sets."""
+    pairs = written(pairs, "asked")
+    asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    asked = nodes.join(asked, "id").select("id", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+
+    @F.pandas_udf("binary")
+    def packed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield batch.map(lambda t: np.unique(shingle_hashes(t or "", k)).tobytes())
+
+    @F.pandas_udf("boolean")
+    def similar_sets(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for left, right in batches:
+            out = []
+            for x, y in zip(left, right):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                out.append(both >= least * (len(x) + len(y) - both) - ROUNDING)
+            yield pd.Series(out, dtype=bool)
+
+    texts = docs.select("doc_id", "text", text_hash().alias("_h")).join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")))
+    sets = written(texts.select("id", "text").dropDuplicates(["id"]).select("id", packed.asNondeterministic()("text").alias("words")), "sets")
+    a, b = sets.select(F.col("id").alias("a"), F.col("words").alias("_a")), sets.select(F.col("id").alias("b"), F.col("words").alias("_b"))
+    seen = pairs.join(a, "a").join(b, "b").select("a", "b", similar_sets.asNondeterministic()("_a", "_b").alias("_s"))
+    return written(seen.where("_s").select("a", "b"), "similar")
+
+
+def rooted(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """id and root of every node under the edges."""
+    found = components(edges).withColumnRenamed("node", "_node")
+    return written(nodes.select("id").join(found, F.col("id") == F.col("_node"), "left").select("id", F.coalesce("root", "id").alias("root")), "roots")
+
+
+def linked(candidates: DataFrame, edges: DataFrame | None, docs: DataFrame, nodes: DataFrame, k: int, words: int, least: float) -> DataFrame:
+    """``edges`` and the similar ones among the candidate pairs (a, b); doubtful pairs are looked at only between components."""
+    found = written(judged(candidates, nodes, words, least), "judged")
+    sure = found.where("sure").select("a", "b")
+    sure = sure if edges is None else sure.unionByName(edges)
+    roots = rooted(sure, nodes)
+    ra, rb = roots.select(F.col("id").alias("a"), F.col("root").alias("_ra")), roots.select(F.col("id").alias("b"), F.col("root").alias("_rb"))
+    doubt = found.where("NOT sure").join(ra, "a").join(rb, "b").where("_ra <> _rb").select("a", "b")
+    return written(sure.unionByName(verified(doubt, docs, nodes, k, least)), "edges")
+
+
+def crossing(shared: DataFrame, roots: DataFrame, nodes: DataFrame, words: int, least: float, block: int = BLOCK) -> DataFrame:
+    """Pairs of nodes of different components that share a key (a: key, b: id) and whose fingerprints allow similarity.
+
+    Keys of over ``block`` nodes are compared block by block, a pair of blocks a group of its own.
+    """
+    share, total = apart(least), 64 * words
+    limit = math.ceil(share * total + 5 * math.sqrt(share * (1 - share) * total))
+    placed = shared.select(F.col("a").alias("key"), F.col("b").alias("id")).join(roots, "id")
+    mixed_keys = placed.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count(F.lit(1)).alias("m")).where("_lo <> _hi").select("key", "m")
+    placed = placed.join(mixed_keys, "key").join(nodes.select("id", "wide"), "id")
+    blocks = F.ceil(F.col("m") / block).cast("int")
+    mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("mine")).alias("i"), F.greatest(o, F.col("mine")).alias("j")))
+    dealt = placed.withColumns({"blocks": blocks, "mine": mine}).select("key", "id", "root", "wide", "mine", F.explode(pairs).alias("pair"))
+    dealt = dealt.select("key", "id", "root", "wide", "mine", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"))
+
+    def compare(_: tuple, table: pa.Table) -> pa.Table:
+        ids, root, mine, key, i, j = (table[c].to_numpy() for c in ("id", "root", "mine", "key", "i", "j"))
+        wide = table["wide"].combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), words)
+        order = np.lexsort((j, i, key))
+        ends = np.flatnonzero(np.any([np.diff(x[order]) != 0 for x in (key, i, j)], axis=0)) + 1
+        out = []
+        for at in np.split(order, ends):
+            left, right = (at, at) if i[at[0]] == j[at[0]] else (at[mine[at] == i[at[0]]], at[mine[at] == j[at[0]]])
+            for x in left:
+                near = right[(root[right] != root[x]) & (np.bitwise_count(wide[right] ^ wide[x]).sum(axis=1, dtype=np.int64) <= limit)]
+                out.append(np.stack([np.minimum(ids[x], ids[near]), np.maximum(ids[x], ids[near])], axis=1))
+        found = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        return pa.table([pa.array(found[:, 0], pa.int64()), pa.array(found[:, 1], pa.int64())], ["a", "b"])
+
+    part = F.pmod(F.xxhash64("key", "i", "j"), F.lit(4096)).alias("part")
+    return dealt.groupBy(part).applyInArrow(compare, "a long, b long").distinct()
+
+
+def similar(docs: DataFrame, k: int = WORDS, least: float = LEAST) -> DataFrame:
+    """doc_id and text_hash of every row, with those of its component's first row: kept_id, kept_hash.
+
+    Links are between texts whose sets of ``k``-word shingles have a Jaccard similarity of ``least``
+    or more. Such a pair meets in one of the tables but for the share MISSED at the threshold, and
+    far less above it. First is the least doc_id, null after all others, then the least hash of the
+    text: rows are named by both, so texts without an id, or that share one, stay apart. Equal sets
+    are one node from the start; null texts and texts without words are equal.
+    """
+    small_batches(docs.sparkSession)
+    n = docs.count()
+    bits, words = tables(n, least)
+    rows = written(described(docs, k, words), "shingles")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
+    nodes = rows.groupBy("node").agg(first, F.first("n").alias("n"), F.first("wide").alias("wide"))
+    nodes = written(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
+    shared = met(nodes, bits, words, n)
+    pairs = written(shared.where("kind = 0").select("a", "b").distinct(), "pairs")
+    edges = linked(pairs, None, docs, nodes, k, words, least)
+    roots = rooted(edges, nodes)
+    more = crossing(shared.where("kind = 1"), roots, nodes, words, least)
+    more = written(more.join(pairs, ["a", "b"], "left_anti"), "crossing")
+    roots = rooted(linked(more, edges, docs, nodes, k, words, least), nodes)
+    placed = nodes.select("id", "node", "first").join(roots, "id")
+    least_of = placed.groupBy("root").agg(F.min("first").alias("kept"))
+    classes = placed.join(least_of, "root").select("node", F.col("kept.doc_id").alias("kept_id"), F.col("kept.text_hash").alias("kept_hash"))
+    return rows.join(classes, "node").select("doc_id", "text_hash", "kept_id", "kept_hash")
+
+
+def without_copies(docs: DataFrame, k: int = WORDS, least: float = LEAST) -> DataFrame:
+    """``docs`` with the first row of each component of similar() alone."""
+    kept = similar(docs, k, least).select(F.col("kept_id").alias("_id"), F.col("kept_hash").alias("_kept")).distinct()
+    named = docs.withColumn("_hash", text_hash())
+    return named.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_kept")), "left_semi").dropDuplicates(["doc_id", "_hash"]).select(docs.columns)
+
+
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
