@@ -85,6 +85,36 @@ def test_viterbi_finds_the_best_path():
         assert tuple(path) == max(itertools.product(range(3), repeat=int(lengths[k])), key=value)
 
 
+def test_settled_words_change_no_path(field):
+    """Lines of every kind: the best paths with and without settling words first are the same."""
+    decoder = pii.Decoder(field)
+    texts = [*(t or "" for _, t in DOCS), *TRICKY, "call (212) 555-0187 or 212-555-0199, ssn 123-45-6789\nplain words only here\nkay [at] example [dot] org", "0123456789abcdef" * 3]
+    kinds = np.array([-1, *(k for t in texts for k in (*decoder.kinds_of(pii.TOKENS.findall(t)), -1))])
+    word = kinds >= 0
+    starts = ~word[np.flatnonzero(word) - 1]
+    found = decoder.labels(kinds[word], starts)
+    assert (found == decoder.labels(kinds[word], starts, whole=True)).all() and found.any()
+
+
+#: Lines written by hand, not by the generator of the training table: what the field should find in each.
+BY_HAND = [
+    ("Please reach out to maria [at] northlake [dot] com before Friday.", ["maria [at] northlake [dot] com"]),
+    ("My number is (415) 555-0134, evenings only", ["(415) 555-0134"]),
+    ("call 646-555-0172 and ask for Dr. Lindqvist", ["646-555-0172"]),
+    ('export API token = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"', ["9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"]),
+    ("ssn 078-05-1120 was printed on the card", ["078-05-1120"]),
+    ("The river rose quickly and the town slept on the hill.", []),
+    ("Chapter 12, page 340, released 2019 under version 4.0", []),
+    ("prices went from $12.00 to $15.50 (up 29%)", []),
+]
+
+
+def test_field_on_lines_by_hand(field):
+    found = pii.field_spans(pii.Decoder(field), [line for line, _ in BY_HAND])
+    have = [[line[a:b] for _, a, b in spans] for (line, _), spans in zip(BY_HAND, found)]
+    assert have == [want for _, want in BY_HAND]
+
+
 def test_pii_over_documents(spark, field):
     rows = [(k, t) for k, t in enumerate([*TRICKY, None, 'my token = "4d44c79e8bf7c55759c4958dd60ed83d2ef8cd4e" here'])]
     found = {r["doc_id"]: r for r in pii.with_spans(X.table(spark, rows), field).collect()}
@@ -123,7 +153,9 @@ def pack(df, **how):
 def test_byte_encoder_equals_the_tokenizer():
     t = tokenizer("byte_bpe_50k.json")
     encode = packing.ByteEncoder(files.path("byte_bpe_50k.json"), files.path("byte_bpe_50k.tiktoken"), files.PATTERN)
-    for text in [*(d or "" for _, d in DOCS), "a  b", " a", "a ", "a\n\nb", "a \nb", "it's we'll x.y, 3.4!? <|endoftext|> z", "é b", "tab\tx\r\ny"]:
+    rng, space = random.Random(3), [c for c in map(chr, range(0x3100)) if c.isspace()]
+    odd = ["".join(rng.choice(["a", "é", "1", ".", "'s", " ", "\n", *rng.sample(space, 2)]) for _ in range(rng.randint(1, 10))) for _ in range(20_000)]
+    for text in [*(d or "" for _, d in DOCS), *odd, "a\n\xa0\xa0b", "a  b", " a", "a ", "a\n\nb", "a \nb", "it's we'll x.y, 3.4!? <|endoftext|> z", "é b", "tab\tx\r\ny"]:
         assert np.frombuffer(encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
@@ -203,8 +235,42 @@ def test_suffix(spark, docs, large):
     assert suffix.deduplicated(docs.limit(0)).count() == 0
 
 
-def test_cover_has_every_shift():
-    assert {(a - b) % suffix.PERIOD for a in suffix.COVER for b in suffix.COVER} == set(range(suffix.PERIOD))
+@pytest.mark.parametrize("cover", [suffix.BYTES_400, suffix.BYTES_256])
+def test_cover_has_every_shift(cover):
+    assert {(a - b) % cover.period for a in cover.residues for b in cover.residues} == set(range(cover.period)) and cover.check
+
+
+@pytest.mark.parametrize("large", [suffix.LARGE, 2])
+def test_shorter_strings(docs, large):
+    want = X.removed_bytes(DOCS, 256)
+    assert {r["doc_id"]: tuple(r)[1:] for r in suffix.deduplicated(docs, digests=True, group_bytes=1 << 14, large=large, cover=suffix.BYTES_256).collect()} == want
+
+
+def thue_morse(n):
+    word = "a"
+    for _ in range(n):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+def test_words_that_share_weak_hashes(spark):
+    head = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{head} {thue_morse(10)}"), (2, f"{head} {thue_morse(10).translate(str.maketrans('ab', 'ba'))}")]
+    assert [r["n_removed"] for r in windows.deduplicated(X.table(spark, rows)).collect()] == [0, 0]
+
+
+def test_strings_that_share_weak_hashes(spark):
+    one = thue_morse(9)
+    rows = [(1, one), (2, one.translate(str.maketrans("ab", "ba")))]
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix.deduplicated(X.table(spark, rows), digests=True).collect()}
+    assert got == X.removed_bytes(rows)
+
+
+def test_windows_of_rows_with_the_same_id(spark):
+    long = " ".join(f"q{i}" for i in range(40))
+    rows = [(1, long), (2, long), (2, "short text"), (2, "y " * 30 + long), (None, "zz " + long), (None, "other"), (None, None), (3, long), (3, long)]
+    got = sorted((r["doc_id"] or -1, r["n_words"], r["n_removed"]) for r in windows.deduplicated(X.table(spark, rows)).collect())
+    assert got == sorted([(-1, 41, 0), (-1, 1, 0), (-1, 0, 0), (1, 40, 40), (2, 40, 40), (2, 2, 0), (2, 70, 40), (3, 40, 40), (3, 40, 40)])
 
 
 def test_suffix_repeated_rows(spark):
@@ -289,6 +355,50 @@ def test_bad_hosts_go(spark):
     assert got[1] and not got[260] and got[261] and not got[200]
 
 
+def plain_language(train, texts, max_words, max_grams):
+    """Languages of texts by the same rule, in plain Python: words first, then n-grams of falling length."""
+    letters = re.compile(r"[^\W\d_]+")
+    grams = lambda w, n: list(w) if n == 1 else [f"^{w}$"[i : i + n] for i in range(len(w) + 3 - n)]
+    counts = {}
+    for text, lang in train:
+        for w in letters.findall(text.lower()):
+            for n in range(6):
+                for u in grams(w, n) if n else [w]:
+                    c = counts.setdefault(n, {}).setdefault(lang, Counter())
+                    c[u] += 1
+    langs = sorted(counts[0])
+    most = {n: max_grams if n else max_words for n in range(6)}
+    known = {n: {u for c in by.values() for u, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[: most[n]]} for n, by in counts.items()}
+    log = lambda n, u, lang: np.log((counts[n][lang][u] + 0.5) / (sum(counts[n][lang].values()) + 0.5 * most[n]))
+    out = []
+    for text in texts:
+        words = letters.findall((text or "").lower())
+        total = dict.fromkeys(langs, 0.0)
+        for w in words:
+            for n in (0, 5, 4, 3, 2, 1):
+                hits = [u for u in (grams(w, n) if n else [w]) if u in known[n]] if n <= len(w) + 2 else []
+                if hits:
+                    for lang in langs:
+                        total[lang] += sum(log(n, u, lang) for u in hits) / len(hits)
+                    break
+        best = max(langs, key=lambda x: total[x])
+        out.append((best, 1 / sum(np.exp(total[x] - total[best]) for x in langs)) if words else ("und", 0.0))
+    return out
+
+
+def test_language_equals_the_plain_rule(spark):
+    rng = random.Random(15)
+    parts = {"aa": "the ing and tion of re".split(), "bb": "der sch ung keit ein zu".split(), "cc": "la eau que ment les oi".split()}
+    made = lambda lang: " ".join("".join(rng.choice(parts[lang]) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(1, 30)))
+    rows = [(k, made(lang), lang) for k, lang in enumerate(rng.choice(["aa", "aa", "aa", "bb", "cc"]) for _ in range(120))]
+    rows += [(500, None, "aa"), (501, "Ünknown the 12 wörds", None), (502, "...", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learn = [(t, lang) for k, t, lang in rows if t and lang and zlib.crc32(str(k).encode()) % 4 != 2]
+    got = {r["doc_id"]: r for r in language.identified(df, language.fit(df, ~language.held_out(), max_words=40, max_grams=60)).collect()}
+    for (k, _, _), (lang, score) in zip(rows, plain_language(learn, [t for _, t, _ in rows], 40, 60)):
+        assert got[k]["score"] == pytest.approx(score) and (got[k]["lang_pred"] == lang or score < 0.6)
+
+
 def test_language(spark):
 
     rng = random.Random(5)

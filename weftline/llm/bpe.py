@@ -6,6 +6,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -124,11 +125,10 @@ def pieces_of(json_path: str) -> list[str | None]:
 
 
 class WordTable:
-    """A group's words with their ids as decimals and their pieces, both joined by spaces."""
+    """A group's words with their ids."""
 
-    def __init__(self, lists: list[list[str]], table: pa.Table, pieces: list[str | None]) -> None:
-        self.rows: dict[str, tuple[int, str, str]] = {}
-        decimal = list(map(str, range(len(pieces))))
+    def __init__(self, lists: list[list[str]], table: pa.Table) -> None:
+        self.rows: dict[str, tuple[int, ...]] = {}
         for bucket, ids in zip(table["bucket"].to_pylist(), table["ids"].to_pylist()):
             words = lists[bucket]
             flat = np.ascontiguousarray(np.frombuffer(unsqueezed(ids), np.uint8).reshape(4, -1).T).view("<u4").ravel().tolist()
@@ -136,18 +136,17 @@ class WordTable:
             if sum(flat[:end]) != len(flat) - end:
                 raise ValueError("the documents changed between the passes over them")
             for word, n in zip(words, flat[:end]):
-                own, end = flat[end : end + n], end + n
-                self.rows[word] = n, " ".join([decimal[i] for i in own]), " ".join([pieces[i] or "" for i in own])
+                self.rows[word] = tuple(flat[end : end + n])
+                end += n
 
-    def __call__(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, ids and pieces of a text, in the order of its words."""
-        found = [self.rows[w] for w in SPLIT.findall(text)]
-        if not found:
-            return 0, "", ""
-        n, ids, shown = zip(*found)
-        if 0 in n:  # words that the tokenizer takes for white space have no id
-            ids, shown = [x for k, x in zip(n, ids) if k], [x for k, x in zip(n, shown) if k]
-        return sum(n), " ".join(ids), " ".join(shown)
+    def __call__(self, text: str) -> list[int]:
+        """The ids of a text, in the order of its words."""
+        return list(chain.from_iterable(map(self.rows.__getitem__, SPLIT.findall(text))))
+
+
+def text_of(ids: Iterable[int], pieces: list[str]) -> str:
+    """The text of ids by the id-to-piece table: this vocabulary has no decoder of its own, pieces are joined by spaces."""
+    return " ".join(map(pieces.__getitem__, ids))
 
 
 def encoded(docs: DataFrame, json_path: str, digests: bool = False, group_bytes: int = GROUP_BYTES) -> DataFrame:
@@ -156,13 +155,12 @@ def encoded(docs: DataFrame, json_path: str, digests: bool = False, group_bytes:
     Documents are dealt into groups by a hash of doc_id. A first pass lists each group's distinct
     words by bucket; a bucket encodes each of its words once, whatever groups have it; a second
     pass joins the ids back by group, in the order of its sorted words, and puts them in the
-    words' positions. Pieces come from the id-to-piece table and, as this vocabulary has no decoder
-    of its own, are joined by spaces. A null text is empty: no ids. Repeated rows each have a
+    words' positions. The ids are then decoded through the id-to-piece table. A null text is empty: no ids. Repeated rows each have a
     result, an empty table has none.
     """
     small_batches(docs.sparkSession)
     groups = max(1, -(-scan_bytes(docs) // group_bytes))
-    pieces = docs.sparkSession.sparkContext.broadcast(pieces_of(json_path))
+    pieces = docs.sparkSession.sparkContext.broadcast([p or "" for p in pieces_of(json_path)])
     rows = docs.select("doc_id", text_or_empty().alias("text"))
     grouped = packed_groups(rows, group_of(F.col("doc_id"), groups), groups)
     tables = written(encoded_words(word_lists(grouped, groups), json_path), "words")
@@ -170,13 +168,15 @@ def encoded(docs: DataFrame, json_path: str, digests: bool = False, group_bytes:
 
     def joined(key: tuple, texts: pa.Table, words: pa.Table) -> pa.Table:
         parts = list(unpacked_groups(texts))
-        table = WordTable(by_bucket(distinct_words(parts), groups), words, pieces.value)
+        table = WordTable(by_bucket(distinct_words(parts), groups), words)
+        decimal = list(map(str, range(len(pieces.value))))
         doc, n, ids, shown = [], [], [], []
         for part in parts:
             doc += part["doc_id"].to_pylist()
             for text in part["text"]:
-                k, a, b = table(text.as_py())
-                n.append(k)
+                own = table(text.as_py())
+                n.append(len(own))
+                a, b = " ".join(map(decimal.__getitem__, own)), text_of(own, pieces.value)
                 ids.append(hashlib.sha256(a.encode()).hexdigest() if digests else a)
                 shown.append(hashlib.sha256(b.encode()).hexdigest() if digests else b)
         return pa.table([pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(shown, pa.string())], names)
@@ -195,7 +195,7 @@ def decoded(rows: DataFrame, json_path: str, ids: str = "ids") -> DataFrame:
     @F.pandas_udf("string")
     def shown(column: pd.Series) -> pd.Series:
         table = pieces.value
-        return column.map(lambda x: None if x is None else " ".join([p for i in x if 0 <= i < len(table) and (p := table[i]) is not None]))
+        return column.map(lambda x: None if x is None else text_of([i for i in x if 0 <= i < len(table) and table[i] is not None], table))
 
     return rows.withColumn("decoded", shown(F.col(ids)))
 

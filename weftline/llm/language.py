@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.common import small_batches, written
@@ -65,29 +65,33 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield from out()
 
 
-def fit(docs: DataFrame, learn: Column, max_docs: int = 5_000, max_words: int = 50_000, max_grams: int = 20_000) -> Model:
+def fit(docs: DataFrame, learn: Column, max_docs: int = 2_000, max_words: int = 15_000, max_grams: int = 5_000) -> Model:
     """A model from the text and lang of rows where ``learn`` holds and neither is null.
 
-    About ``max_docs`` rows, chosen by a hash of doc_id, are read whole; ``max_words`` words and
-    ``max_grams`` n-grams of each length, the most frequent, make the model. These three bound
-    what reaches the driver and every executor, at any input size. Ties go to the lesser string.
+    Of each language about ``max_docs`` rows, chosen by a hash of doc_id, are read whole; its
+    ``max_words`` most frequent words and ``max_grams`` n-grams of each length enter the model. With
+    the number of languages these three bound what reaches the driver and every executor, at any
+    input size, and a rare language has its share. Ties go to the lesser string.
     """
     small_batches(docs.sparkSession)
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
-    n = rows.select("lang").count()
-    share = min(1.0, max_docs / max(n, 1))
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(math.ceil(share * (1 << 20)))).select("lang", "text")
+    limits = F.broadcast(rows.groupBy("lang").agg(F.least(F.lit(1.0), max_docs / F.count(F.lit(1))).alias("_share")).withColumnRenamed("lang", "_lang"))
+    sample = rows.join(limits, F.col("lang") == F.col("_lang")).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.ceil(F.col("_share") * (1 << 20))).select("lang", "text")
     counts = written(sample.mapInPandas(_counts, "lang string, n int, unit string, c long").groupBy("n", "unit", "lang").agg(F.sum("c").alias("c")), "language")
-    units = counts.groupBy("n", "unit").agg(F.sum("c").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("by"))
     totals = {(r["n"], r["lang"]): r["c"] for r in counts.groupBy("n", "lang").agg(F.sum("c").alias("c")).collect()}
     langs = sorted({lang for _, lang in totals})
+    # The sample bounds a window: one language's units of one length.
+    place = F.row_number().over(Window.partitionBy("n", "lang").orderBy(F.desc("c"), "unit"))
+    most = F.when(F.col("n") == 0, max_words).otherwise(max_grams)
+    chosen = counts.withColumn("_place", place).where(F.col("_place") <= most).select("n", "unit").distinct()
+    units = counts.join(chosen, ["n", "unit"]).groupBy("n", "unit").agg(F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("by"))
     words: dict[str, tuple[float, ...]] = {}
     grams: dict[str, tuple[float, ...]] = {}
-    for k in range(LONGEST + 1) if langs else ():
-        most = max_grams if k else max_words
+    sizes = {0: max_words} | dict.fromkeys(range(1, LONGEST + 1), max_grams)
+    for r in units.orderBy("n", "unit").toLocalIterator():
         # Strings of different n-gram lengths never clash: all grams share one table.
-        for r in units.where(F.col("n") == k).orderBy(F.desc("all"), "unit").limit(most).collect():
-            (grams if k else words)[r["unit"]] = tuple(math.log((r["by"].get(lang, 0) + 0.5) / (totals.get((k, lang), 0) + 0.5 * most)) for lang in langs)
+        n, by = r["n"], r["by"]
+        (grams if n else words)[r["unit"]] = tuple(math.log((by.get(lang, 0) + 0.5) / (totals.get((n, lang), 0) + 0.5 * sizes[n])) for lang in langs)
     return Model(langs, words, grams)
 
 
@@ -123,40 +127,40 @@ class Scorer:
         self.rows[at] = 0  # nothing known: no evidence for any language
         return at
 
-    def score(self, text: str | None) -> tuple[str, float]:
-        """The likeliest language and its share of the posterior under equal priors; und without a letter."""
+    def score(self, text: str | None) -> tuple[str, float, float]:
+        """The likeliest language, its share of the posterior under equal priors, and the share of words that are known; und without a letter."""
         words = WORD.findall(text.lower()) if text else []
         if not words or not self.model.langs:
-            return "und", 0.0
+            return "und", 0.0, 0.0
         if len(self.index) > self.known + REMEMBERED:
             self.forget()
-        at = [self.index[w] for w in words]
+        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         logs = self.rows[at].sum(axis=0)
         best = int(logs.argmax())
-        return self.model.langs[best], float(1 / np.exp(np.maximum(logs - logs[best], -700)).sum())
+        return self.model.langs[best], float(1 / np.exp(np.maximum(logs - logs[best], -700)).sum()), float((at < self.known).mean())
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred and score for every whole text; other columns pass through untouched.
+    """``docs`` with lang_pred, score and known for every whole text; other columns pass through untouched.
 
-    Null texts and texts without a letter are ``und`` with score 0; equal texts score alike.
-    Any column named lang_pred or score is replaced.
+    ``known`` is the share of a text's words that the model has. Null texts and texts without a
+    letter are ``und`` with score 0; equal texts score alike. Columns of these names are replaced.
     """
     spark = docs.sparkSession
     small_batches(spark)
     held = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, known double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(held.value)
         for texts in batches:
-            yield pd.DataFrame([scorer.score(t) for t in texts], columns=["lang_pred", "score"])
+            yield pd.DataFrame([scorer.score(t) for t in texts], columns=["lang_pred", "score", "known"])
 
-    out = docs.drop("lang_pred", "score").withColumn("_lang", scored.asNondeterministic()(F.col("text")))
-    return out.select(*[c for c in out.columns if c != "_lang"], "_lang.lang_pred", "_lang.score")
+    out = docs.drop("lang_pred", "score", "known").withColumn("_lang", scored.asNondeterministic()(F.col("text")))
+    return out.select(*[c for c in out.columns if c != "_lang"], "_lang.lang_pred", "_lang.score", "_lang.known")
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(docs, ~held_out() & F.col("doc_id").isNotNull())
-    return identified(docs.select("doc_id", held_out().alias("held_out"), "text"), model).drop("text")
+    return identified(docs.select("doc_id", held_out().alias("held_out"), "text"), model).drop("text", "known")

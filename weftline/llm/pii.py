@@ -89,8 +89,8 @@ FIELD_KINDS = ("email", "phone", "secret", "id")
 LABELS = ("O", *(f"{p}-{k}" for k in FIELD_KINDS for p in "BI"))
 #: A word of a line: what white space and the marks around it leave.
 TOKEN = re.compile(r"[^\s,;|\"'<>]+|[,;|\"'<>]")
-#: The field's kinds are made of digits, @ or a bracketed at or dot: a line without any of these is outside it.
-MARKED = re.compile(r"[0-9@]|[\[(](?:at|dot)[\])]", re.I)
+#: Words of a text, and the ends of its lines.
+TOKENS = re.compile(r"\n|[^\s,;|\"'<>]+|[,;|\"'<>]")
 
 
 def shape(word: str) -> str:
@@ -238,59 +238,115 @@ def fit(table: DataFrame, max_rows: int = 2_000, rounds: int = 100, decay: float
 
 
 class Decoder:
-    """Viterbi over batches of lines; word features are looked up once for each distinct shape and cue."""
+    """Decodes lines; word features are looked up once for each distinct shape and cue.
+
+    A word is settled when no stretch of other labels over it can score above outside: the weights
+    bound what each word of a stretch adds at most, and two running maxima give the best stretch over
+    each word. Viterbi runs over what lies between settled words, in batches, and gives the best path
+    of the whole line.
+    """
 
     def __init__(self, field: Field) -> None:
         self.field = field
-        self.seen: dict[str, tuple[int, int]] = {}
         self.kinds: dict[tuple[str, str], int] = {}
         self.edge = self.weights("pad", "")
-        self.own, self.before, self.after = [], [], []
+        self.rows: list[tuple[np.ndarray, ...]] = []
+        self.table: tuple[np.ndarray, ...] = ()
+        rest = field.move[0, 0]
+        #: What a label adds over outside by the step into it, from outside, from another label and at a line's start, and the step out.
+        self.enter, self.stay, self.begin = field.move[0, 1:] - rest, field.move[1:, 1:].max(axis=0) - rest, field.first[1:] - field.first[0]
+        self.leave = float(field.move[1:, 0].max() - rest)
+        self.forget()
+
+    def forget(self) -> None:
+        decoder = self
+
+        class Seen(dict):
+            def __missing__(self, word: str) -> int:
+                found = self[word] = decoder.kind(word)
+                return found
+
+        self.seen = Seen({"\n": -1})
 
     def weights(self, s: str, c: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = lambda n: self.field.emit[k] if (k := self.field.names.get(n)) is not None else np.zeros(len(LABELS))
         return at(f"s={s}") + at(f"c={c}") + at("bias"), at(f"ps={s}") + at(f"pc={c}"), at(f"ns={s}") + at(f"nc={c}")
 
     def kind(self, word: str) -> int:
-        if (found := self.seen.get(word)) is None:
-            key = shape(word), cues(word)
-            if (found := self.kinds.get(key)) is None:
-                found = self.kinds[key] = len(self.own)
-                for rows, row in zip((self.own, self.before, self.after), self.weights(*key)):
-                    rows.append(row)
-            if len(self.seen) > 100_000:
-                self.seen.clear()
-            self.seen[word] = found
+        key = shape(word), cues(word)
+        if (found := self.kinds.get(key)) is None:
+            found = self.kinds[key] = len(self.rows)
+            self.rows.append(self.weights(*key))
         return found
 
-    def paths(self, lines: list[list[str]]) -> list[np.ndarray]:
-        """Best labels of each line. Lines of like length share a batch, so padding stays below twofold."""
-        kinds = [np.array([self.kind(w) for w in words]) for words in lines]
-        own, before, after = (np.array(x) for x in (self.own, self.before, self.after))
-        out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(lines)
-        groups: dict[int, list[int]] = {}
-        for k, words in enumerate(lines):
-            groups.setdefault(len(words).bit_length(), []).append(k)
-        for size, members in groups.items():
-            room = max(1, 500_000 >> size)
+    def kinds_of(self, words: list[str]) -> list[int]:
+        """Kinds of words; -1 for the end of a line."""
+        if len(self.seen) > 200_000:
+            self.forget()
+        return list(map(self.seen.__getitem__, words))
+
+    def scores(self, kinds: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Score of each label at each word of lines laid end to end; ``starts`` and ``ends`` mark lines' first and last words."""
+        if len(self.table) == 0 or len(self.table[0]) < len(self.rows):
+            self.table = tuple(np.array(x) for x in zip(*self.rows))
+        own, before, after = self.table
+        score = own[kinds]
+        score[1:] += np.where(starts[1:, None], self.edge[1], before[kinds[:-1]])
+        score[0] += self.edge[1]
+        score[:-1] += np.where(ends[:-1, None], self.edge[2], after[kinds[1:]])
+        score[-1] += self.edge[2]
+        return score
+
+    def settled(self, score: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Words that are outside in the best path of their line."""
+        gain = score[:, 1:] - score[:, :1]
+        new = np.where(starts, (gain + self.begin).max(axis=1), (gain + self.enter).max(axis=1))
+        more = np.where(starts, -1e4, (gain + self.stay).max(axis=1))
+        total = np.cumsum(more)
+        left = total + np.maximum.accumulate(new - total)
+        after = np.where(ends, 0.0, self.leave) + total
+        return left + np.maximum.accumulate(after[::-1])[::-1] - total < -1e-3
+
+    def labels(self, kinds: np.ndarray, starts: np.ndarray, whole: bool = False) -> np.ndarray:
+        """Labels of the best path of every line; ``whole``: without settling words first."""
+        n = len(kinds)
+        if not n:
+            return np.zeros(0, np.int8)
+        ends = np.r_[starts[1:], True]
+        score = self.scores(kinds, starts, ends)
+        open_ = np.ones(n, bool) if whole else ~self.settled(score, starts, ends)
+        out = np.zeros(n, np.int8)
+        at = np.flatnonzero(open_)
+        if not len(at):
+            return out
+        cut = np.r_[True, (np.diff(at) > 1) | starts[at[1:]]]
+        first = at[cut]
+        size = np.diff(np.r_[np.flatnonzero(cut), len(at)])
+        # A stretch begins at its line's start or after a settled word, and ends likewise.
+        score[first] += np.where(starts[first][:, None], self.field.first, self.field.move[0])
+        last = first + size - 1
+        score[last] += np.where(ends[last][:, None], 0.0, self.field.move[:, 0])
+        groups = np.ceil(np.log2(np.maximum(size, 1))).astype(int)
+        for g in np.unique(groups):
+            members = np.flatnonzero(groups == g)
+            room = max(1, 500_000 >> int(g))
             for a in range(0, len(members), room):
                 block = members[a : a + room]
-                longest = max(len(kinds[k]) for k in block)
-                score = np.zeros((longest, len(block), len(LABELS)))
-                for j, k in enumerate(block):
-                    x = kinds[k]
-                    score[: len(x), j] = own[x]
-                    score[1 : len(x), j] += before[x[:-1]]
-                    score[: len(x) - 1, j] += after[x[1:]]
-                    score[0, j] += self.edge[1]
-                    score[len(x) - 1, j] += self.edge[2]
-                for j, path in zip(block, viterbi(score, self.field.move, self.field.first, np.array([len(kinds[k]) for k in block]))):
-                    out[j] = path
+                longest = int(size[block].max())
+                place = np.minimum(first[block] + np.arange(longest)[:, None], n - 1)
+                live = np.arange(longest)[:, None] < size[block]
+                out[place[live]] = best_paths(score[place], self.field.move, np.zeros(len(LABELS)), size[block])[live]
         return out
 
 
 def viterbi(score: np.ndarray, move: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
     """Best label paths of a padded batch; score is (time, line, label)."""
+    path = best_paths(score, move, first, lengths)
+    return [path[: lengths[k], k] for k in range(len(lengths))]
+
+
+def best_paths(score: np.ndarray, move: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """viterbi() as one array (time, line)."""
     steps, n, labels = score.shape
     back = np.zeros((steps, n, labels), np.int8)
     best = score[0] + first
@@ -309,37 +365,56 @@ def viterbi(score: np.ndarray, move: np.ndarray, first: np.ndarray, lengths: np.
         path[t, live] = at[live]
         step = live & (t > 0)
         at = np.where(step, back[t, rows, at], at)
-    return [path[: lengths[k], k] for k in range(n)]
+    return path
+
+
+#: Words of texts that are decoded at once.
+DECODED = 200_000
 
 
 def field_spans(decoder: Decoder, texts: Sequence[str]) -> list[list[Span]]:
-    """Spans that the field finds, for each text; every marked line is decoded whole."""
-    lines: list[list[tuple[str, int, int]]] = []
-    owner: list[int] = []
-    for k, text in enumerate(texts):
-        if not MARKED.search(text):
-            continue
-        at = 0
-        for line in text.split("\n"):
-            if MARKED.search(line):
-                words = [(m.group(), at + m.start(), at + m.end()) for m in TOKEN.finditer(line)]
-                if words:
-                    lines.append(words)
-                    owner.append(k)
-            at += len(line) + 1
+    """Spans that the field finds, for each text; every line of it is decoded."""
     out: list[list[Span]] = [[] for _ in texts]
-    for k, words, path in zip(owner, lines, decoder.paths([[w for w, _, _ in words] for words in lines])):
-        j = 0
-        marks = path.tolist()
-        while j < len(marks):
-            if LABELS[marks[j]][0] == "B":
-                kind, start = LABELS[marks[j]][2:], j
-                while j + 1 < len(marks) and LABELS[marks[j + 1]] == f"I-{kind}":
-                    j += 1
-                end = words[j][2]
-                tail = words[j][0]
-                out[k].append((kind, words[start][1], end - (len(tail) - len(tail.rstrip(".:!?")))))
-            j += 1
+    held: list[tuple[int, list[int]]] = []
+    size = 0
+
+    def decode() -> None:
+        kinds = np.array([-1, *(k for _, own in held for k in (*own, -1))])
+        word = kinds >= 0
+        labels = np.zeros(len(kinds), np.int8)
+        labels[word] = decoder.labels(kinds[word], ~word[np.flatnonzero(word) - 1])
+        at = 1
+        for k, own in held:
+            found = labels[at : at + len(own)]
+            if found.any():
+                out[k] = spans_of(texts[k], found.tolist())
+            at += len(own) + 1
+        held.clear()
+
+    for k, text in enumerate(texts):
+        if own := decoder.kinds_of(TOKENS.findall(text)):
+            held.append((k, own))
+            size += len(own)
+        if size > DECODED:
+            decode()
+            size = 0
+    if held:
+        decode()
+    return out
+
+
+def spans_of(text: str, marks: list[int]) -> list[Span]:
+    """Spans of a text from the labels of its words and line ends."""
+    words = [(m.group(), m.start(), m.end()) for m in TOKENS.finditer(text)]
+    out, j = [], 0
+    while j < len(marks):
+        if LABELS[marks[j]][0] == "B":
+            kind, start = LABELS[marks[j]][2:], j
+            while j + 1 < len(marks) and LABELS[marks[j + 1]] == f"I-{kind}":
+                j += 1
+            tail, end = words[j][0], words[j][2]
+            out.append((kind, words[start][1], end - (len(tail) - len(tail.rstrip(".:!?")))))
+        j += 1
     return out
 
 
