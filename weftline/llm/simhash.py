@@ -154,6 +154,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    if now.isEmpty():
+        return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     mark = None
     while True:
         # Large star: every larger neighbour of u hangs on the least of u and its neighbours.
@@ -365,14 +367,14 @@ def rooted(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return written(nodes.select("id").join(found, F.col("id") == F.col("_node"), "left").select("id", F.coalesce("root", "id").alias("root")), "roots")
 
 
-def linked(candidates: DataFrame, edges: DataFrame | None, docs: DataFrame, nodes: DataFrame, k: int, words: int, least: float) -> DataFrame:
-    """``edges`` and the similar ones among the candidate pairs (a, b); doubtful pairs are looked at only between components."""
+def linked(candidates: DataFrame, roots: DataFrame | None, docs: DataFrame, nodes: DataFrame, k: int, words: int, least: float) -> DataFrame:
+    """The similar ones among the candidate pairs (a, b); without ``roots``, doubtful pairs that sure ones join anyway are left out."""
     found = written(judged(candidates, nodes, words, least), "judged")
-    sure = found.where("sure").select("a", "b")
-    sure = sure if edges is None else sure.unionByName(edges)
-    roots = rooted(sure, nodes)
-    ra, rb = roots.select(F.col("id").alias("a"), F.col("root").alias("_ra")), roots.select(F.col("id").alias("b"), F.col("root").alias("_rb"))
-    doubt = found.where("NOT sure").join(ra, "a").join(rb, "b").where("_ra <> _rb").select("a", "b")
+    sure, doubt = found.where("sure").select("a", "b"), found.where("NOT sure").select("a", "b")
+    if roots is None:
+        roots = rooted(sure, nodes)
+        ra, rb = roots.select(F.col("id").alias("a"), F.col("root").alias("_ra")), roots.select(F.col("id").alias("b"), F.col("root").alias("_rb"))
+        doubt = doubt.join(ra, "a").join(rb, "b").where("_ra <> _rb").select("a", "b")
     return written(sure.unionByName(verified(doubt, docs, nodes, k, least)), "edges")
 
 
@@ -432,7 +434,8 @@ def similar(docs: DataFrame, k: int = WORDS, least: float = LEAST) -> DataFrame:
     roots = rooted(edges, nodes)
     more = crossing(shared.where("kind = 1"), roots, nodes, words, least)
     more = written(more.join(pairs, ["a", "b"], "left_anti"), "crossing")
-    roots = rooted(linked(more, edges, docs, nodes, k, words, least), nodes)
+    if not more.isEmpty() and not (new := linked(more, roots, docs, nodes, k, words, least)).isEmpty():
+        roots = rooted(edges.unionByName(new), nodes)
     placed = nodes.select("id", "node", "first").join(roots, "id")
     least_of = placed.groupBy("root").agg(F.min("first").alias("kept"))
     classes = placed.join(least_of, "root").select("node", F.col("kept.doc_id").alias("kept_id"), F.col("kept.text_hash").alias("kept_hash"))
