@@ -1,6 +1,7 @@
 """Operators on small fixtures."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -43,6 +44,13 @@ def one(spark, value, expr):
         ("1.1.1.1 then 51.15.22.9 and 185.199.108.153", ["51.15.22.9", "185.199.108.153"]),
         ("release 5.6.7.8; 5.6.7.9 beta; version 5.6.7.1", []),
         ("8.8.8.8 and 172.32.0.1", ["172.32.0.1"]),
+        ("version 1.2.3.4.5", []),
+        ("v        51.15.22.9", []),
+        ("51.15.22.9        release", ["51.15.22.9"]),
+        ("51.15.22.9     releases", []),
+        ("v1.2.3.4, version 2.3.4.5, release 3.4.5.6 and 4.5.6.7 release", []),
+        ("netmask 255.255.255.0 default 0.0.0.0 ver 1.2.3.4 cgnat 100.64.0.1", []),
+        ("51.15.22.951.15.22.9", []),
     ],
 )
 def test_public_ips(spark, text, ips):
@@ -234,9 +242,38 @@ def test_quotas(sizes, share, want):
     assert sampling.quotas(sizes, share, 42) == want
 
 
-def test_split(spark):
-    import random
+def test_quotas_take_from_the_largest():
+    rng = random.Random(7)
+    for _ in range(300):
+        sizes = {f"s{k}": rng.choice((1, 1, 2, 3, rng.randint(1, 60))) for k in range(rng.randint(1, 8))}
+        share, got = rng.choice((0.05, 0.1, 0.33, 0.5, 0.9)), None
+        got = sampling.quotas(sizes, share, 1)
+        left, lack = {k: n - min(int(n * share), n - 1) for k, n in sizes.items()}, round(sum(sizes.values()) * share)
+        lack -= sum(sizes[k] - n for k, n in left.items())
+        while lack > 0 and max(left.values()) > 1:
+            left[max(sorted(left), key=left.get)] -= 1
+            lack -= 1
+        assert {k: sizes[k] - n for k, n in left.items() if sizes[k] > 1} == {k: n for k, n in got.items() if sizes[k] > 1}
+        assert sum(got.values()) == sum(sizes[k] - n for k, n in left.items()) + min(max(lack, 0), sum(n == 1 for n in sizes.values()))
+
+
+def test_typos_swap_inner_neighbours():
+    text = "  Hello, (world)! abc four 'quoted' ... a.b.c.d x"
+    assert sampling.typos(text, random.Random(1), 0) == text
+    got = sampling.typos(text, random.Random(1), 1.0)
+    assert got != text and len(got) == len(text)
+    for old, new in zip(text.split(" "), got.split(" ")):
+        assert sorted(old) == sorted(new) and old[:1] == new[:1] and old[-1:] == new[-1:]
+    assert "fuor" in got and "abc" in got.split(" ")
 
+
+def test_prices_of_variants(spark):
+    df = spark.createDataFrame([("openai/gpt-4o:free",), ("openai/gpt-4o",), ("own:x",)], "model_slug string")
+    got = {r["model_slug"]: (r["price_in"], r["price_out"]) for r in ledger.with_prices(df).collect()}
+    assert got == {"openai/gpt-4o:free": (2.5, 10.0), "openai/gpt-4o": (2.5, 10.0), "own:x": (1.0, 3.0)}
+
+
+def test_split(spark):
     df = spark.createDataFrame([(f"{s}{k:03d}", s) for s, n in (("a", 40), ("b", 40), ("c", 20)) for k in range(n)], "id string, stratum string")
     got = {r["id"] for r in sampling.stratified_split(df, 0.05, 42).where("split = 'eval'").collect()}
     ids = [f"a{k:03d}" for k in range(40)]

@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 # Patterns and lists that results depend on.
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
-IPV4 = r"\b(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\b"
-UK_NI = r"\b[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z] ?[0-9]{2} ?[0-9]{2} ?[0-9]{2} ?[A-D]\b"
+IPV4 = r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b"
+UK_NI = r"\b[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z] ?\d{2} ?\d{2} ?\d{2} ?[A-D]\b"
+#: A quad is a version number if one of these stands in the 12 characters before or after it.
+VERSION_PREFIX = r"(?:\bv(?:ersion)?\.?|\brelease|\bver\.?|\bbuild)\s*$"
+VERSION_SUFFIX = r"^\s*(?:release|build|beta|rc\d*|stable|lts)\b"
 WELL_KNOWN_IPS = ("8.8.8.8", "8.8.4.4", "1.1.1.1", "1.0.0.1", "9.9.9.9", "149.112.112.112", "208.67.222.222", "208.67.220.220", "4.2.2.2", "4.2.2.1")
 #: Networks whose addresses name no host: (network, prefix bits).
 QUIET_NETS = (("10.0.0.0", 8), ("172.16.0.0", 12), ("192.168.0.0", 16), ("127.0.0.0", 8), ("0.0.0.0", 8), ("100.64.0.0", 10), ("169.254.0.0", 16), ("224.0.0.0", 3), ("192.0.2.0", 24), ("198.51.100.0", 24), ("203.0.113.0", 24))
@@ -32,9 +35,10 @@ REFUSALS = (
     r"\bI(?:'|’)?m sorry, but I can",
 )
 HEDGE = r"(?i)\b(but|however|though|although|that said|instead)\b"
-SUBSTANCE = r"(?m)`|^\s*(?:[0-9]+[.)]|[-*])\s|\$\s?\w|\b\w+\s+/\w|\s--?\w"
+SUBSTANCE = r"(?m)`|^\s*(?:\d+[.)]|[-*])\s|\$\s?\w|\b\w+\s+/\w|\s--?\w"
 SECRET = r"sk-or-|hf_[A-Za-z0-9]{16,}"
 SHORT_ANSWER_WORDS, LONG_PROMPT_CHARS = 12, 60
+CONTEXT = 12
 
 
 def _col(text: Column | str) -> Column:
@@ -73,10 +77,10 @@ def slugify(text: Column | str, fallback: str = "node") -> Column:
 def looks_english(text: Column | str) -> Column:
     """At least 85 % ASCII letters and enough distinct stop words; text without letters passes."""
     t = _col(text)
-    letters, ascii_letters = F.length(F.regexp_replace(t, r"[^\p{L}]", "")), F.length(F.regexp_replace(t, "[^A-Za-z]", ""))
-    found = F.regexp_extract_all(F.lower(t), F.lit("[a-zA-Z']+"), F.lit(0))
-    hits = F.size(F.array_intersect(found, F.array(*map(F.lit, STOPWORDS))))
-    return (letters == 0) | ((ascii_letters / letters >= 0.85) & (hits >= F.when(F.size(found) >= 15, 3).otherwise(1)))
+    letters, ascii_letters = F.length(F.regexp_replace(t, r"[^\p{L}]+", "")), F.length(F.regexp_replace(t, "[^A-Za-z]+", ""))
+    stops = F.regexp_extract_all(F.lower(t), F.lit(rf"(?<![a-zA-Z'])(?:{'|'.join(STOPWORDS)})(?![a-zA-Z'])"), F.lit(0))
+    long = F.lower(t).rlike(r"(?:[a-zA-Z']+[^a-zA-Z']+){14}[a-zA-Z']")
+    return (letters == 0) | ((ascii_letters / letters >= 0.85) & (F.size(F.array_distinct(stops)) >= F.when(long, 3).otherwise(1)))
 
 
 def _number(ip: str) -> int:
@@ -84,18 +88,24 @@ def _number(ip: str) -> int:
 
 
 def public_ips(text: Column | str) -> Column:
-    """Dotted quads that name a host: not in a quiet net, not well known, no octet 255, no version number."""
-    before = r"(?<!(?i:\bv\.?|\bver\.?|\bversion\.?|\brelease|\bbuild)\s{0,5})"
-    after = r"(?!\s{0,10}(?i:release|build|beta|rc[0-9]*|stable|lts)\b)"
-    quads = F.regexp_extract_all(_col(text), F.lit(f"(?U){before}({IPV4}){after}"), F.lit(1))
+    """Dotted quads that name a host: not in a quiet net, not well known, no octet 255, no version number.
 
-    def host(quad: Column) -> Column:
-        octets = F.transform(F.split(quad, r"\."), lambda o: o.cast("long"))
+    Quads are found first, then each is judged by what stands between it and its neighbours.
+    """
+    t = _col(text)
+    quads, between = F.regexp_extract_all(t, F.lit(f"(?U){IPV4}"), F.lit(0)), F.split(t, f"(?U){IPV4}", -1)
+    placed = F.arrays_zip(quads.alias("quad"), between.alias("before"), F.slice(between, F.lit(2), F.size(quads)).alias("after"))
+
+    def host(x: Column) -> Column:
+        quad = x["quad"]
+        octets = F.transform(F.split(quad, r"\."), lambda o: o.try_cast("long"))
         number = F.aggregate(octets, F.lit(0).cast("long"), lambda a, o: a * 256 + o)
         quiet = [F.shiftright(number, 32 - bits) == _number(net) >> (32 - bits) for net, bits in QUIET_NETS]
-        return ~(reduce(lambda a, b: a | b, quiet) | quad.isin(*WELL_KNOWN_IPS) | F.array_contains(octets, F.lit(255).cast("long")))
+        version = F.right(x["before"], F.lit(CONTEXT)).rlike(f"(?iU){VERSION_PREFIX}") | F.left(x["after"], F.lit(CONTEXT)).rlike(f"(?iU){VERSION_SUFFIX}")
+        return F.coalesce(~(reduce(lambda a, b: a | b, quiet) | quad.isin(*WELL_KNOWN_IPS) | F.array_contains(octets, F.lit(255).cast("long")) | version), F.lit(False))
 
-    return F.filter(quads, host)
+    found = F.transform(F.filter(placed, lambda x: x["quad"].isNotNull() & host(x)), lambda x: x["quad"])
+    return F.when(t.rlike(r"(?U)\d\.\d{1,3}\.\d{1,3}\.\d"), found).otherwise(F.array().cast("array<string>"))
 
 
 def pii_kinds(text: Column | str) -> Column:
@@ -130,15 +140,19 @@ def is_refusal(prompt: Column | str, answer: Column | str) -> Column:
     counts, unless a hedge follows it or the answer has substance.
     """
     text, asked = strip(answer), strip(prompt)
-    count, first, solid = F.size(words(text)), first_sentence(text), has_substance(text)
+    solid = has_substance(text)
+    # Split no further than the count matters.
+    count = F.size(F.filter(F.split(text, r"(?U)\s+", SHORT_ANSWER_WORDS), lambda w: w != ""))
+    scope = F.when(count < SHORT_ANSWER_WORDS, text).otherwise(F.split(text, r"(?<=[.!?])\s+|\n+", 2)[0])
 
-    def rest(scope: Column) -> Column:
+    def rest(where: Column) -> Column:
         """What follows the first pattern that hits, or null."""
-        return F.coalesce(*[F.when(scope.rlike(f"(?iU){p}"), F.split(scope, f"(?iU){p}", 2)[1]) for p in REFUSALS])
+        return F.coalesce(*[F.when(where.rlike(f"(?iU){p}"), F.split(where, f"(?iU){p}", 2)[1]) for p in REFUSALS])
 
-    after = F.coalesce(rest(first), F.when(count < SHORT_ANSWER_WORDS, rest(text)))
-    refused = F.when(after.isNull(), False).when(after.rlike(HEDGE), False).otherwise(~solid)
-    return F.when(text == "", True).when((count <= 3) & ~solid & (F.length(asked) >= LONG_PROMPT_CHARS), True).otherwise(refused)
+    after = F.coalesce(rest(first_sentence(text)), F.when(count < SHORT_ANSWER_WORDS, rest(text)))
+    hit = scope.rlike(f"(?iU){'|'.join(REFUSALS)}")
+    refused = F.when(~hit, False).when(after.isNull(), False).when(after.rlike(HEDGE), False).otherwise(~solid)
+    return F.when(text == "", True).when((count <= 3) & (F.length(asked) >= LONG_PROMPT_CHARS) & ~solid, True).otherwise(refused)
 
 
 def answer_line(text: Column | str) -> Column:

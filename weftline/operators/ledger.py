@@ -26,10 +26,13 @@ PRICES = {
 
 
 def with_prices(df: DataFrame, catalogue: DataFrame | None = None, slug: str = "model_slug") -> DataFrame:
-    """``df`` with price_in and price_out: the catalogue's, else the fallback table's, else the default."""
+    """``df`` with price_in and price_out: the catalogue's, else the fallback table's, else the default.
+
+    The fallback table is asked for the slug, then for what stands before its first colon.
+    """
     spark = df.sparkSession
     fallback = spark.createDataFrame([(k, a, b) for k, (a, b) in PRICES.items()], "_slug string, _in double, _out double")
-    out = df.join(F.broadcast(fallback), F.col(slug) == F.col("_slug"), "left")
+    out = df.join(F.broadcast(fallback), F.substring_index(slug, ":", 1) == F.col("_slug"), "left")
     if catalogue is not None:
         own = catalogue.select(F.col("id").alias("_id"), F.col("price_in").alias("_cin"), F.col("price_out").alias("_cout"))
         out = out.join(own, F.col(slug) == F.col("_id"), "left")

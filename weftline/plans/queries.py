@@ -416,7 +416,7 @@ def next_stage(spark, d):
 
 @query
 def price_lookup(spark, d):
-    parts = table(spark, d, "part").select(F.col("p_partkey"), F.when(F.col("p_partkey") % 3 == 0, "openai/gpt-4o").when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("own/"), F.col("p_size").cast("string"))).otherwise("unknown").alias("model_slug"))
+    parts = table(spark, d, "part").select(F.col("p_partkey"), F.when(F.col("p_partkey") % 6 == 0, "openai/gpt-4o:free").when(F.col("p_partkey") % 3 == 0, "openai/gpt-4o").when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("own/"), F.col("p_size").cast("string"))).otherwise("unknown").alias("model_slug"))
     catalogue = table(spark, d, "part").groupBy("p_size").agg(F.lit(2.0).alias("price_in"), F.lit(8.0).alias("price_out")).where("p_size < 25").select(F.concat(F.lit("own/"), F.col("p_size").cast("string")).alias("id"), "price_in", "price_out")
     return ledger.with_prices(parts, catalogue)
 

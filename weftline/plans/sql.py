@@ -17,7 +17,14 @@ ENGLISH = f"""
        len(list_distinct(list_intersect(regexp_extract_all(lower(t), '[a-zA-Z'']+'), {STOP}))) >= CASE WHEN len(regexp_extract_all(lower(t), '[a-zA-Z'']+')) >= 15 THEN 3 ELSE 1 END))
 """
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-QUADS = f"regexp_extract_all(t, '\\b(?:{OCTET}\\.){{3}}{OCTET}\\b')"
+QUAD = f"\\b(?:{OCTET}\\.){{3}}{OCTET}\\b"
+BETWEEN = f"string_split_regex(t, '{QUAD}')"
+#: Quads that no version word stands at, in the 12 characters before or after.
+QUADS = f"""
+    list_transform(list_filter(list_zip(regexp_extract_all(t, '{QUAD}'), {BETWEEN}, {BETWEEN}[2:]), lambda z: z[1] IS NOT NULL
+        AND NOT regexp_matches(right(z[2], 12), '(?i)(?:\\bv(?:ersion)?\\.?|\\brelease|\\bver\\.?|\\bbuild)\\s*$')
+        AND NOT regexp_matches(left(z[3], 12), '(?i)^\\s*(?:release|build|beta|rc[0-9]*|stable|lts)\\b')), lambda z: z[1])
+"""
 HOST = """
     list_filter(%s, lambda q: list_transform([string_split(q, '.')], lambda o: 
         NOT (o[1]::INT IN (10, 127, 0) OR o[1]::INT >= 224 OR (o[1]::INT = 172 AND o[2]::INT BETWEEN 16 AND 31) OR (o[1]::INT = 192 AND o[2]::INT = 168)
@@ -198,7 +205,7 @@ ORACLE_SQL = {
     "latest_per_key": f"WITH {CALLS} SELECT project_id, id, kind FROM k QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id DESC) = 1",
     "last_events": f"WITH {CALLS} SELECT kind, id FROM k QUALIFY row_number() OVER (PARTITION BY kind ORDER BY created_at DESC, id DESC) <= 500",
     "price_lookup": """
-        WITH p AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'openai/gpt-4o' WHEN 1 THEN 'own/' || p_size ELSE 'unknown' END AS model_slug, p_size FROM part)
+        WITH p AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'openai/gpt-4o' || CASE WHEN p_partkey % 2 = 0 THEN ':free' ELSE '' END WHEN 1 THEN 'own/' || p_size ELSE 'unknown' END AS model_slug, p_size FROM part)
         SELECT p_partkey, model_slug, CASE WHEN p_partkey % 3 = 0 THEN 2.5 WHEN p_partkey % 3 = 1 AND p_size < 25 THEN 2.0 ELSE 1.0 END::DOUBLE AS price_in,
                CASE WHEN p_partkey % 3 = 0 THEN 10.0 WHEN p_partkey % 3 = 1 AND p_size < 25 THEN 8.0 ELSE 3.0 END::DOUBLE AS price_out FROM p
     """,
