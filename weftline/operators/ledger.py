@@ -155,3 +155,13 @@ def empty_completion_note(content: Column, tool_calls: Column, finish: Column, u
     why = F.concat(F.lit("finish_reason="), F.coalesce(finish, F.lit("unknown")), F.when(reasoning > 0, F.concat(F.lit(", "), reasoning.cast("string"), F.lit(" reasoning tokens"))).otherwise(F.lit("")))
     blank = (F.trim(F.coalesce(content, F.lit(""))) == "") & (F.coalesce(F.size(tool_calls), F.lit(0)) <= 0)
     return F.when(blank, F.concat(F.lit("empty completion ("), why, F.lit("); billed but unusable")))
+
+
+def active_runs(runs: DataFrame) -> DataFrame:
+    """By project, the newest run that is queued or running: (project_id, id, stage). A project may have one at a time.
+
+    Ties of created_at go to the greater id; the newest is a maximum, folded before the shuffle.
+    """
+    live = runs.where(F.col("status").isin("queued", "running"))
+    newest = live.groupBy("project_id").agg(F.max(F.struct("created_at", "id", "stage")).alias("_r"))
+    return newest.select("project_id", F.col("_r.id").alias("id"), F.col("_r.stage").alias("stage"))

@@ -138,3 +138,9 @@ def next_numbers(rows: DataFrame, new: DataFrame, prefix: str = "prefix") -> Dat
     place = F.row_number().over(Window.partitionBy(prefix).orderBy("k"))
     out = new.withColumn("_r", place).join(used, prefix, "left").withColumn("_n", F.col("_r") + F.coalesce("last", F.lit(0)))
     return out.withColumn("id", F.concat(F.col(prefix), F.lit("-"), F.when(F.col("_n") < 10_000, F.lpad(F.col("_n").cast("string"), 4, "0")).otherwise(F.col("_n").cast("string")))).drop("_r", "_n", "last")
+
+
+def kind_of_types(types: Column) -> Column:
+    """The kind of a project's rows from its data types: tools before grpo before sft; null types count as none."""
+    has = lambda kind: F.coalesce(F.array_contains(types, kind), F.lit(False))
+    return F.when(has("tools"), "tools").when(has("grpo"), "grpo").otherwise("sft")

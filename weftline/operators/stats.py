@@ -113,3 +113,15 @@ def card_figures(done: Column, total: Column, spend: Column, cap: Column) -> dic
     """Shares capped at 100 and their tone: good under 70, warn under 90, else high."""
     share = F.least(F.lit(100.0), F.coalesce(100.0 * spend / F.nullif(cap, F.lit(0.0)), F.lit(0.0)))
     return {"rows_pct": F.least(F.lit(100.0), F.coalesce(100.0 * done / F.nullif(total, F.lit(0)), F.lit(0.0))), "spend_pct": share, "tone": F.when(share >= 90, "high").when(share >= 70, "warn").otherwise("good")}
+
+
+def kept_count(candidates: Column, removed: Column) -> Column:
+    """Rows that a filter run leaves, never below zero; a null counts as zero."""
+    zero = F.lit(0).cast("long")
+    return F.greatest(zero, F.coalesce(candidates, zero) - F.coalesce(removed, zero))
+
+
+def adversarial_share(prompts: DataFrame, *by: str) -> DataFrame:
+    """Prompts, adversarial ones and their share, by ``by``; null is not adversarial."""
+    hit = F.count_if(F.coalesce("adversarial", F.lit(False)))
+    return prompts.groupBy(*by).agg(F.count(F.lit(1)).alias("prompts"), hit.alias("adversarial"), (hit / F.count(F.lit(1))).alias("share"))

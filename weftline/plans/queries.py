@@ -478,4 +478,26 @@ def event_usage(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"))
 
 
+@query
+def row_kinds(spark, d):
+    types = F.filter(F.array(F.when(F.col("p_size") % 2 == 0, "sft"), F.when(F.col("p_size") % 3 == 0, "grpo"), F.when(F.col("p_size") % 5 == 0, "tools")), lambda t: t.isNotNull())
+    return stats.counts(table(spark, d, "part").select(R.kind_of_types(types).alias("kind")), "kind")
+
+
+@query
+def kept_rows(spark, d):
+    parts = table(spark, d, "part")
+    return parts.select("p_partkey", stats.kept_count(F.col("p_size").cast("long"), F.when(F.col("p_partkey") % 4 != 0, F.lit(25).cast("long"))).alias("kept"))
+
 
+@query
+def adversarial_prompts(spark, d):
+    prompts = table(spark, d, "customer").select(F.col("c_mktsegment").alias("segment"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal") < 0).alias("adversarial"))
+    return stats.adversarial_share(prompts, "segment")
+
+
+@query
+def active_runs(spark, d):
+    status = F.element_at(F.array(*map(F.lit, ("done", "failed", "running", "cancelled", "queued"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    runs = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 50).alias("project_id"), (F.col("o_orderkey") % 6 + 1).cast("long").alias("stage"), status.alias("status"), F.col("o_orderdate").alias("created_at"))
+    return ledger.active_runs(runs)

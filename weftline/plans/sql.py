@@ -235,3 +235,13 @@ _STAGES = """
 """
 ORACLE_SQL["stage_status"] = f"{_STAGES} SELECT project_id, stage, status FROM st"
 ORACLE_SQL["next_stage"] = f"{_STAGES} SELECT project_id, arg_min(stage, CASE WHEN status = 'running' THEN stage ELSE 100 + stage END) AS next_stage FROM st WHERE status <> 'done' GROUP BY project_id"
+ORACLE_SQL["row_kinds"] = "SELECT CASE WHEN p_size % 5 = 0 THEN 'tools' WHEN p_size % 3 = 0 THEN 'grpo' ELSE 'sft' END AS kind, count(*) AS n FROM part GROUP BY ALL"
+ORACLE_SQL["kept_rows"] = "SELECT p_partkey, greatest(0, p_size - CASE WHEN p_partkey % 4 <> 0 THEN 25 ELSE 0 END)::BIGINT AS kept FROM part"
+ORACLE_SQL["adversarial_prompts"] = """
+    SELECT c_mktsegment AS segment, count(*) AS prompts, count(*) FILTER (c_custkey % 5 <> 0 AND c_acctbal < 0) AS adversarial,
+           count(*) FILTER (c_custkey % 5 <> 0 AND c_acctbal < 0) / count(*) AS share FROM customer GROUP BY c_mktsegment
+"""
+ORACLE_SQL["active_runs"] = """
+    SELECT o_custkey % 50 AS project_id, o_orderkey AS id, (o_orderkey % 6 + 1)::BIGINT AS stage FROM orders WHERE o_orderkey % 5 IN (2, 4)
+    QUALIFY row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderdate DESC, o_orderkey DESC) = 1
+"""
