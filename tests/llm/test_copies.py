@@ -1,6 +1,8 @@
 """Near copies against a plain version, over planted copies of every similarity, null ids and repeated ids."""
 
+import itertools
 import random
+from collections import defaultdict
 
 import corpus_pipeline as P
 from tests.llm import fixtures as X
@@ -71,3 +73,27 @@ def test_rows_without_an_id_stay_apart(spark):
     left = sorted((r["doc_id"] or 0, r["text"]) for r in simhash.without_copies(X.table(spark, rows)).collect())
     assert len(left) == 4 and [k for k, _ in left] == [0, 5, 7, 7]
     assert {t for _, t in left} - {a, copy} == {b, c, a[::-1]}
+
+
+def test_keys_lose_no_pair(spark):
+    """All pairs of a key are either pairs at once or in a key kept for the second look; only keys of few nodes are not kept."""
+    rng = random.Random(5)
+    bits, words = 6, 2
+    masks = simhash.covering_masks(simhash.RADIUS, 2 * bits)
+    wide = {k: [rng.getrandbits(63) for _ in range(words)] for k in range(300)}
+    nodes = spark.createDataFrame(list(wide.items()), "id long, wide array<long>").repartition(3)
+    keys = defaultdict(set)
+    for k, w in wide.items():
+        for j, mask in itertools.product(range(words), range(len(masks))):
+            keys[j, mask, w[j] & masks[mask]].add(k)
+    together = {pair for own in keys.values() for pair in itertools.combinations(sorted(own), 2)}
+    rows = simhash.met(nodes, bits, words, len(wide)).collect()
+    pairs = {(r["a"], r["b"]) for r in rows if r["kind"] == 0}
+    kept = defaultdict(set)
+    for r in rows:
+        if r["kind"] == 1:
+            kept[r["a"]].add(r["b"])
+    assert {len(own) for own in keys.values()} & set(range(2, simhash.FEW + 1))
+    assert sorted(map(sorted, kept.values())) == sorted(sorted(own) for own in keys.values() if len(own) > simhash.FEW)
+    assert pairs <= together == pairs | {pair for own in kept.values() for pair in itertools.combinations(sorted(own), 2)}
+    assert pairs >= {pair for own in keys.values() if len(own) <= simhash.FEW for pair in itertools.combinations(sorted(own), 2)}

@@ -201,6 +201,8 @@ WORDS, LEAST = 5, 0.8
 MISSED = 0.01
 #: Sets below this size are always compared themselves.
 SMALL = 64
+#: Keys of up to so many nodes give all their pairs at once (1.5 a node at most) and need no second look.
+FEW = 4
 #: Keeps products that are whole numbers from being rounded past themselves.
 ROUNDING = 1e-9
 
@@ -280,8 +282,9 @@ def described(docs: DataFrame, k: int, words: int) -> DataFrame:
 def met(nodes: DataFrame, bits: int, words: int, rows: int) -> DataFrame:
     """Nodes (id, wide) that share a key in some table.
 
-    kind 'pair': neighbours by id among those that share a key; kind 'shared': keys that two or more
-    have, with their ids, packed. Both are at most as many as there are keys.
+    kind 0 are pairs (a, b): all of a key that up to FEW nodes have, else neighbours by id. kind 1 are
+    (key, id) of the keys that more nodes have, whose other pairs are still to be looked at. Pairs are
+    at most 1.5 times as many as the nodes' keys.
     """
     masks = np.array(covering_masks(RADIUS, 2 * bits), np.uint64)
     table_of = mixed(np.arange(1, words * len(masks) + 1, dtype=np.uint64))
@@ -306,9 +309,13 @@ def met(nodes: DataFrame, bits: int, words: int, rows: int) -> DataFrame:
         keys = np.concatenate(keys)
         order = np.lexsort((ids, keys))
         keys, ids = keys[order], ids[order]
-        equal = keys[1:] == keys[:-1]
-        pairs = np.unique(np.stack([ids[:-1][equal], ids[1:][equal]], axis=1), axis=0)
-        several = np.r_[equal, False] | np.r_[False, equal]
+        _, of, sizes = np.unique(keys, return_inverse=True, return_counts=True)
+        several = sizes[of] > FEW
+        found = []
+        for step in range(1, FEW):
+            at = np.flatnonzero((of[step:] == of[:-step]) & ((step == 1) | ~several[step:]))
+            found.append(np.stack([ids[at], ids[at + step]], axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0)
         a, b = np.r_[pairs[:, 0], keys[several].view(np.int64)], np.r_[pairs[:, 1], ids[several]]
         kind = np.r_[np.zeros(len(pairs), np.int32), np.ones(several.sum(), np.int32)]
         return pa.table([pa.array(kind, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["kind", "a", "b"])
