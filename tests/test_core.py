@@ -215,6 +215,50 @@ def test_cascade_and_restore(spark):
     assert back["r2"] == ("accepted", []) and back["r3"] == ("draft", [])
 
 
+def test_cascade_with_vectors(spark):
+    """Near duplicates go after exact ones and before the other rules, and again when vectors come later."""
+    texts = [GOOD, GOOD, GOOD + " Or not.", GOOD + " Mail me at a@b.org.", "short", GOOD + " Then wait for it."]
+    rows = full_rows(spark, [{"messages": [U("q"), A(t)]} for t in texts])
+    vectors = spark.createDataFrame([("r1", [1.0, 0.0]), ("r2", [0.0, 1.0]), ("r3", [0.1, 1.0]), ("r5", [0.0, 2.0]), ("r9", [0.0, 1.0])], "id string, v array<double>")
+    got = {r["id"]: (r["rule"], r["reason"]) for r in curation.removals(rows, vectors=vectors).collect()}
+    assert got == {"r1": ("exact_dup", "identical to r0"), "r3": ("near_dup", "cosine 0.995 with r2"), "r4": ("length", "5 chars, minimum 40"), "r5": ("near_dup", "cosine 1.000 with r2")}
+    first = curation.marked(rows, curation.removals(rows))
+    later = curation.removals(first, vectors=vectors, rules=("near_dup",))
+    assert {r["id"]: r["rule"] for r in later.collect()} == {"r5": "near_dup"}
+
+
+def test_dup_mask_equals_the_scan(spark):
+    rng = random.Random(9)
+    vector = lambda: [rng.gauss(0, 1) for _ in range(3)]
+    groups = ["hot"] * 40 + ["b"] * 8 + [None] * 6
+    old = [(k, g, vector()) for k, g in enumerate(rng.sample(groups, 20))] + [(90, "old", vector())]
+    new = [(k, g, vector() if k % 11 else None) for k, g in enumerate(groups)] + [(99, "new", [0.0] * 3)]
+    want, kept = {}, {}
+    unit = lambda v: [x / (sum(y * y for y in v) ** 0.5 or 1) for x in v]
+    for _, g, v in old:
+        kept.setdefault(g, []).append(unit(v))
+    for n, g, v in new:
+        want[n] = v is not None and any(sum(x * y for x, y in zip(unit(v), u)) >= 0.8 for u in kept.get(g, []))
+        if v is not None and not want[n]:
+            kept.setdefault(g, []).append(unit(v))
+    table = lambda rows: spark.createDataFrame(rows, "n long, label string, v array<double>")
+    got = dedup.dup_mask(table(new), table(old), 0.8, "label", block=7)
+    assert got.columns == ["n", "label", "v", "dup"] and {r["n"]: r["dup"] for r in got.collect()} == want and 5 < sum(want.values()) < 50
+    assert dedup.dup_mask(table(new).limit(0), table(old), 0.8, "label").count() == 0
+    assert dedup.dup_mask(table(new), table(old).limit(0), 2.0, "label").where("dup").count() == 0
+
+
+def test_cost_mean_of_a_long_run(spark):
+    calls = spark.range(3000).select("id", F.lit("r").alias("run_id"), F.col("id").cast("double").alias("created_at"), F.when(F.col("id") % 7 != 3, F.col("id") % 13).cast("double").alias("cost_usd"))
+    for alpha in (0.5, 0.01, 1.0):
+        ema = None
+        for c in (k % 13 for k in range(3000) if k % 7 != 3):
+            ema = c if ema is None else alpha * c + (1 - alpha) * ema
+        assert ledger.cost_ema(calls, alpha=alpha).first()["ema"] == pytest.approx(ema, rel=1e-12)
+    with pytest.raises(ValueError):
+        ledger.cost_ema(calls, alpha=0)
+
+
 def test_formats(spark):
     rows = full_rows(spark, [{"messages": [S("be ü"), U("a"), A("b"), U('c "q"'), A("<think>x</think> d ")]}])
     line = lambda f, **k: json.loads(formats.formatted(rows, f, **k).first()["line"])

@@ -42,25 +42,34 @@ def compact(vector: Column, dims: int = 256, places: int = 4) -> Column:
 
 def numbered(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """``df`` with ``n``, its place from 0 by ``order``, counted by ranges instead of in one task."""
+    ensure_checkpoints(df.sparkSession)
     parts = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    parts = parts.persist()
+    # Written out, as places would shift if a lost executor had the ranges drawn again.
+    parts = parts.checkpoint()
     sizes = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
     before = sizes.withColumn("_b", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return parts.join(F.broadcast(before.select("_p", "_b")), "_p").withColumn("n", F.col("_b") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_p", "_b", "_m")
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """Pairs i < j (by place n) of cosine at least ``threshold``: (i, j, sim).
+def similar_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK, group: str | None = None) -> DataFrame:
+    """Pairs i < j (by place n) of cosine at least ``threshold``, of one ``group`` if that is given: (i, j, sim).
 
-    vectors: n long, v array<double>, of one length. Vectors are cut into blocks and each pair of
-    blocks is one matrix product in one task, so memory is bounded by two blocks; every pair is
-    compared, since no index that misses pairs could give the scan's exact result.
+    vectors: n long, v array<double>, of one length; places of a group follow one another. Vectors
+    are cut into blocks and each pair of blocks is one matrix product in one task, so memory is
+    bounded by two blocks however large a group is; every pair is compared, since no index that
+    misses pairs could give the scan's exact result.
     """
-    n = vectors.count()
-    blocks = max(1, -(-n // block))
-    own = vectors.withColumn("b", (F.col("n") / block).cast("long"))
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least(o.cast("long"), F.col("b")).alias("lo"), F.greatest(o.cast("long"), F.col("b")).alias("hi")))
-    dealt = own.select("n", "v", "b", F.explode(pairs).alias("p")).select("n", "v", "b", "p.lo", "p.hi")
+    last = F.floor((F.max("n") - F.min("n")) / block).alias("last")
+    if group is None:
+        ends = vectors.agg(F.min("n").alias("from"), last).first()
+        own = vectors.select("n", "v", F.lit(0).alias("g"), F.lit(ends["from"]).cast("long").alias("from"), F.lit(ends["last"]).cast("long").alias("last"))
+    else:
+        own = vectors.select("n", "v", F.col(group).alias("g"))
+        ends = own.groupBy(F.col("g").alias("_g")).agg(F.min("n").alias("from"), last)
+        own = own.join(ends, F.col("g").eqNullSafe(F.col("_g"))).drop("_g")
+    own = own.withColumn("b", F.floor((F.col("n") - F.col("from")) / block))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("last")), lambda o: F.struct(F.least(o, F.col("b")).alias("lo"), F.greatest(o, F.col("b")).alias("hi")))
+    dealt = own.select("n", "v", "b", "g", F.explode(pairs).alias("p")).select("n", "v", "b", "g", "p.lo", "p.hi")
 
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("n")
@@ -71,36 +80,33 @@ def similar_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK) -> D
             size = np.linalg.norm(m, axis=1, keepdims=True)
             return own["n"].to_numpy(), m / np.where(size == 0, 1, size)
 
-        (na, a), (nb, b) = side(key[0]), side(key[1])
+        (na, a), (nb, b) = side(key[1]), side(key[2])
         sims = a @ b.T
         i, j = np.nonzero(sims >= threshold)
         keep = na[i] < nb[j]
         i, j = i[keep], j[keep]
         return pd.DataFrame({"i": na[i], "j": nb[j], "sim": sims[i, j]})
 
-    return dealt.groupBy("lo", "hi").applyInPandas(compare, "i long, j long, sim double")
+    return dealt.groupBy("g", "lo", "hi").applyInPandas(compare, "i long, j long, sim double")
 
 
-def greedy_survivors(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
+def greedy_survivors(edges: DataFrame) -> DataFrame:
     """Of edges (i, j, sim) with i < j: the dropped nodes with partner and sim, as a scan in order drops them.
 
     The scan keeps a node unless a kept node before it is its neighbour. Rounds reach the same:
     drop what has a kept earlier neighbour, keep what has only dropped ones. Each round is
-    checkpointed; there are as many as the longest chain of such dependencies.
+    checkpointed; there are as many as the longest chain of such dependencies, and each settles the
+    first open node at least.
     """
     spark = edges.sparkSession
     ensure_checkpoints(spark)
     edges = edges.checkpoint()
     nodes = edges.select(F.col("i").alias("node")).union(edges.select("j")).distinct()
     state = nodes.join(edges.select(F.col("j").alias("node")).distinct().withColumn("later", F.lit(True)), "node", "left").select("node", F.when(F.col("later").isNull(), F.lit("kept")).otherwise(F.lit("open")).alias("state")).checkpoint()
-    for _ in range(most_rounds):
-        if not state.where("state = 'open'").limit(1).count():
-            break
+    while not state.where("state = 'open'").isEmpty():
         seen = edges.join(state.withColumnRenamed("node", "i"), "i").groupBy("j").agg(F.max((F.col("state") == "kept").cast("int")).alias("hit"), F.min((F.col("state") == "dropped").cast("int")).alias("free"))
         step = state.join(seen.withColumnRenamed("j", "node"), "node", "left")
         state = step.select("node", F.when(F.col("state") != "open", F.col("state")).when(F.col("hit") == 1, F.lit("dropped")).when(F.col("free") == 1, F.lit("kept")).otherwise(F.lit("open")).alias("state")).checkpoint()
-    else:
-        raise RuntimeError("the scan did not settle")
     kept = state.where("state = 'kept'").select(F.col("node").alias("i"))
     return edges.join(kept, "i").groupBy("j").agg(F.min(F.struct("i", "sim")).alias("by")).select(F.col("j").alias("n"), F.col("by.i").alias("partner"), F.col("by.sim").alias("sim"))
 
@@ -115,37 +121,33 @@ def near_dup(vectors: DataFrame, threshold: float = 0.92, order: Sequence[str] =
     return out.select(F.col("_key").alias(key), F.col("_partner").alias("partner_id"), "sim")
 
 
-def dup_mask(new: DataFrame, existing: DataFrame, threshold: float, group: str, order: str = "n", vector: str = "v") -> DataFrame:
-    """``new`` with ``dup``: similar to an existing vector of its group, or to an earlier new one that is none."""
-
-    columns = new.columns
+def dup_mask(new: DataFrame, existing: DataFrame, threshold: float, group: str, order: str = "n", vector: str = "v", block: int = BLOCK) -> DataFrame:
+    """``new`` with ``dup``: similar to an existing vector of its group, or to an earlier new one that is none.
 
-    def mask(key: tuple, rows: pd.DataFrame, pool: pd.DataFrame) -> pd.DataFrame:
-        unit = lambda v: (x := np.asarray(v, float)) / max(float(np.linalg.norm(x)), 1e-12)
-        # A side without rows of this group may come without columns too.
-        kept = [unit(v) for v in pool[vector]] if vector in pool else []
-        if vector not in rows:
-            return pd.DataFrame({**{c: [] for c in columns}, "dup": []})
-        rows = rows.sort_values(order)
-        out = []
-        for v in rows[vector]:
-            u = unit(v)
-            out.append(bool(kept) and bool((np.array(kept) @ u).max() >= threshold))
-            if not out[-1]:
-                kept.append(u)
-        return rows.assign(dup=out)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new.schema) + ", dup boolean"
-    return new.groupBy(group).cogroup(existing.groupBy(group)).applyInPandas(mask, schema)
+    The greedy scan with the existing vectors first, none of which is ever dropped: pairs of a group
+    are compared by blocks, so a group of any size is dealt over many tasks. Rows without a vector
+    are no duplicates; rows without a group form one.
+    """
+    kind = new.schema[order].dataType
+    own = new.select(F.col(group).alias("_g"), F.lit(1).alias("_new"), F.col(order).alias("_at"), F.lit(None).cast("array<double>").alias("_old"), F.struct(*[F.col(c) for c in new.columns]).alias("_row"))
+    old = existing.where(F.col(vector).isNotNull()).select(group, F.lit(0), F.lit(None).cast(kind), F.col(vector).cast("array<double>"), F.lit(None).cast(new.schema))
+    rows = numbered(own.union(old), ["_g", "_new", "_at"])
+    vectors = rows.select("n", "_g", F.coalesce("_old", F.col("_row")[vector].cast("array<double>")).alias("v")).where("v IS NOT NULL")
+    asked = rows.where("_new = 1")
+    edges = similar_pairs(vectors, threshold, block, "_g").join(asked.select(F.col("n").alias("j")), "j").select("i", "j", "sim")
+    gone = greedy_survivors(edges).select("n", F.lit(True).alias("_dup"))
+    return asked.join(gone, "n", "left").select("_row.*", F.coalesce("_dup", F.lit(False)).alias("dup"))
 
 
 def ensure_checkpoints(spark) -> None:  # noqa: ANN001
-    """A checkpoint folder where the session has none (local runs and tests)."""
+    """A checkpoint folder where a local session has none; elsewhere spark.checkpoint.dir must name a shared one."""
     import os
     import tempfile
 
     sc = spark.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir", None) and not sc.getCheckpointDir():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         os.makedirs("/tmp/checkpoints", exist_ok=True)
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="weftline-", dir="/tmp/checkpoints"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,20 +109,26 @@ def early_abort(items: DataFrame, by: str = "run_id", at: str = "finished_at", k
     """Runs whose first items fail so often that going on is waste: the count at which that shows."""
     order = Window.partitionBy(by).orderBy(at, key)
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    counted = items.where(F.col("status").isin("done", "error", "refusal", "skipped")).select(by, F.row_number().over(order).alias("done"), F.count_if(F.col("status") == "error").over(upto).alias("errors"))
-    bad = (F.col("done") <= ABORT_SAMPLE) & (F.col("errors") >= ABORT_ERRORS) & (F.col("errors") >= F.col("done") * ABORT_SHARE)
+    # The opening sample alone is dealt: ranks cut each task's rows before the shuffle.
+    opening = items.where(F.col("status").isin("done", "error", "refusal", "skipped")).select(by, at, key, "status", F.row_number().over(order).alias("done")).where(F.col("done") <= ABORT_SAMPLE)
+    counted = opening.select(by, "done", F.count_if(F.col("status") == "error").over(upto).alias("errors"))
+    bad = (F.col("errors") >= ABORT_ERRORS) & (F.col("errors") >= F.col("done") * ABORT_SHARE)
     return counted.where(bad).groupBy(by).agg(F.min(F.struct("done", "errors")).alias("m")).select(by, F.col("m.done").alias("aborted_at"), F.col("m.errors").alias("errors"))
 
 
 def cost_ema(calls: DataFrame, by: str = "run_id", at: str = "created_at", key: str = "id", cost: str = "cost_usd", alpha: float = EMA_ALPHA) -> DataFrame:
-    """Exponential mean of call costs in order; the first seeds it.
+    """Exponential mean of call costs in order; the first seeds it. ``alpha`` is over 0 and at most 1.
 
-    The weights of all but the last few dozen calls are nothing in double precision, but the fold
-    runs over all of a run's calls, sorted, in one row.
+    A run's last calls alone are dealt and folded, as many as have a weight that a double can hold
+    (some 1,100 for a half); the oldest of them seeds the mean in place of all before it, whose
+    weights together are zero in double precision.
     """
+    if not 0 < alpha <= 1:
+        raise ValueError("alpha must be over 0 and at most 1")
+    last = 1 if alpha == 1 else math.ceil(-1100 * math.log(2) / math.log1p(-alpha))
     sorted_ = F.transform(F.sort_array(F.collect_list(F.struct(at, key, F.col(cost).cast("double").alias("c")))), lambda s: s["c"])
     seed = F.lit(None).cast("double")
-    return calls.where(F.col(cost).isNotNull()).groupBy(by).agg(F.aggregate(sorted_, seed, lambda a, c: F.when(a.isNull(), c).otherwise(alpha * c + (1 - alpha) * a)).alias("ema"))
+    return latest(calls.where(F.col(cost).isNotNull()), by, at, key, last).groupBy(by).agg(F.aggregate(sorted_, seed, lambda a, c: F.when(a.isNull(), c).otherwise(alpha * c + (1 - alpha) * a)).alias("ema"))
 
 
 def resume_plan(items: DataFrame, force: bool = False) -> DataFrame:

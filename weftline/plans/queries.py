@@ -82,8 +82,8 @@ def secret_scan(spark, d):
 
 def _removed(spark, d):
     rows = documents_as_rows(_docs(spark, d))
-    config = curation.FilterConfig(enabled=frozenset(curation.RULES) - {"near_dup"})
-    return rows, curation.removals(rows, config)
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    return rows, curation.removals(rows, vectors=vectors)
 
 
 @query

@@ -48,15 +48,25 @@ REFUSED = f"(t = '' OR (len(regexp_extract_all(t, '\\S+')) <= 3 AND NOT {SOLID}
 REMOVED = f"""
     b AS (SELECT doc_id, doc_id::VARCHAR AS id, coalesce(text, '') AS t FROM documents),
     h AS (SELECT *, first_value(id) OVER (PARTITION BY sha256({NORM.format("chr(10) || t")}) ORDER BY doc_id, id) AS first_id FROM b),
+    nv AS (SELECT row_number() OVER (ORDER BY h.doc_id, h.id) AS n, h.id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM h JOIN embeddings ON vec_id = h.doc_id WHERE h.id = h.first_id),
+    ne AS (SELECT y.n AS j, list(x.n ORDER BY x.n) AS before FROM nv x JOIN nv y ON x.n < y.n WHERE list_cosine_similarity(x.v, y.v) >= 0.92 GROUP BY y.n),
+    nd AS (SELECT n, row_number() OVER (ORDER BY n) AS k FROM (SELECT j AS n FROM ne UNION SELECT unnest(before) FROM ne)),
+    ns AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS kept, NULL::BIGINT AS n, NULL::BIGINT AS partner
+           UNION ALL
+           SELECT nd.k, CASE WHEN len(list_intersect(coalesce(ne.before, []), ns.kept)) > 0 THEN ns.kept ELSE list_append(ns.kept, nd.n) END, nd.n, list_min(list_intersect(coalesce(ne.before, []), ns.kept))
+           FROM ns JOIN nd ON nd.k = ns.k + 1 LEFT JOIN ne ON ne.j = nd.n),
+    nr AS (SELECT y.id, x.id AS partner_id, list_cosine_similarity(x.v, y.v) AS sim FROM ns JOIN nv x ON x.n = ns.partner JOIN nv y ON y.n = ns.n),
     m AS (SELECT id, CASE
             WHEN id <> first_id THEN 'exact_dup'
+            WHEN partner_id IS NOT NULL THEN 'near_dup'
             WHEN {REFUSED.format(long="false")} THEN 'refusal'
             WHEN {KINDS} <> '' THEN 'pii'
             WHEN length(t) < 40 OR length(t) > 12000 THEN 'length'
             WHEN NOT {ENGLISH} THEN 'language' END AS rule,
-          first_id, t FROM h),
+          first_id, partner_id, sim, t FROM h LEFT JOIN nr USING (id)),
     removed AS (SELECT id, rule, CASE rule
             WHEN 'exact_dup' THEN 'identical to ' || first_id
+            WHEN 'near_dup' THEN printf('cosine %.3f with %s', sim, partner_id)
             WHEN 'refusal' THEN 'assistant refused'
             WHEN 'pii' THEN 'contains ' || {KINDS}
             WHEN 'length' THEN length(t)::VARCHAR || CASE WHEN length(t) < 40 THEN ' chars, minimum 40' ELSE ' chars, maximum 12000' END
@@ -87,13 +97,13 @@ ORACLE_SQL = {
     "language_en": f"SELECT doc_id, lang FROM (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents) WHERE NOT {ENGLISH}",
     "refusal_scan": f"SELECT doc_id FROM (SELECT doc_id, trim(coalesce(text, '')) AS t FROM documents) WHERE {REFUSED.format(long='true')}",
     "secret_scan": "SELECT count(*) FILTER (regexp_matches(coalesce(text, ''), 'sk-or-|hf_[A-Za-z0-9]{16,}')) AS with_secret, count(*) AS docs FROM documents",
-    "filter_cascade": f"WITH {REMOVED} SELECT id, rule, reason FROM removed",
-    "filter_summary": f"WITH {REMOVED} SELECT rule, count(id) AS removed FROM (SELECT unnest(['exact_dup','near_dup','refusal','pii','length','language']) AS rule) a LEFT JOIN removed USING (rule) GROUP BY rule",
+    "filter_cascade": f"WITH RECURSIVE {REMOVED} SELECT id, rule, reason FROM removed",
+    "filter_summary": f"WITH RECURSIVE {REMOVED} SELECT rule, count(id) AS removed FROM (SELECT unnest(['exact_dup','near_dup','refusal','pii','length','language']) AS rule) a LEFT JOIN removed USING (rule) GROUP BY rule",
     "filter_marked": f"""
-        WITH {REMOVED} SELECT CASE WHEN rule IS NULL THEN 'draft' WHEN rule = 'refusal' THEN 'refusal' ELSE 'filtered' END AS status,
+        WITH RECURSIVE {REMOVED} SELECT CASE WHEN rule IS NULL THEN 'draft' WHEN rule = 'refusal' THEN 'refusal' ELSE 'filtered' END AS status,
             CASE WHEN rule IS NULL THEN '' ELSE 'draft' END AS prev_status, coalesce(rule, '') AS flags, count(*) AS n FROM b LEFT JOIN removed USING (id) GROUP BY ALL
     """,
-    "filter_restored": f"WITH {REMOVED} SELECT CASE WHEN rule IS NULL OR rule = 'length' THEN 'draft' WHEN rule = 'refusal' THEN 'refusal' ELSE 'filtered' END AS status, count(*) AS n FROM b LEFT JOIN removed USING (id) GROUP BY ALL",
+    "filter_restored": f"WITH RECURSIVE {REMOVED} SELECT CASE WHEN rule IS NULL OR rule = 'length' THEN 'draft' WHEN rule = 'refusal' THEN 'refusal' ELSE 'filtered' END AS status, count(*) AS n FROM b LEFT JOIN removed USING (id) GROUP BY ALL",
     "near_dup": """
         WITH RECURSIVE u AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
         e AS (SELECT a.id AS i, b.id AS j FROM u a JOIN u b ON a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.35),
@@ -167,7 +177,7 @@ ORACLE_SQL = {
     "review_totals": f"WITH {ROWS} SELECT count(*) FILTER (status IN ('draft', 'accepted', 'edited')) AS exportable, count(*) FILTER (list_contains(flags, 'edited')) AS edited, count(*) FILTER (status = 'flagged') AS flagged FROM r",
     "export_gate": f"WITH {ROWS}, x AS (SELECT * FROM r WHERE status IN ('draft', 'accepted', 'edited')) SELECT count(*) FILTER (coalesce(score >= 3.0, true)) AS kept_on, count(*) AS kept_off, count(*) FILTER (score < 3.0) AS low FROM x",
     "breakdown": "SELECT 'leaf' AS kind, lang AS key, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'difficulty', source, count(*) FROM documents GROUP BY source",
-    "removed_counts": f"WITH {REMOVED} SELECT rule AS reason, count(*) AS removed FROM removed WHERE rule <> 'refusal' GROUP BY rule",
+    "removed_counts": f"WITH RECURSIVE {REMOVED} SELECT rule AS reason, count(*) AS removed FROM removed WHERE rule <> 'refusal' GROUP BY rule",
     "anti_join_pending": "SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
     "semi_join_partial": "SELECT CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000) THEN 'partial' ELSE 'pending' END AS status, count(*) AS n FROM customer GROUP BY 1",
     "row_numbers": """
