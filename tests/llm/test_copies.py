@@ -4,6 +4,8 @@ import itertools
 import random
 from collections import defaultdict
 
+import numpy as np
+
 import corpus_pipeline as P
 from tests.llm import fixtures as X
 from weftline.llm import simhash
@@ -59,6 +61,52 @@ def test_planted_copies(spark):
     assert got == {k for k, _ in survivors(docs)}
 
 
+def test_large_group_and_strays_around_it(spark):
+    """One text's many near copies and strays just too different, some of them like a single copy only."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+
+    def changed(own, changes):
+        new = list(own)
+        for at in rng.sample(range(len(own)), changes):
+            new[at] = word()
+        return new
+
+    base = [word() for _ in range(200)]
+    copies = [changed(base, 1) for _ in range(300)]
+    strays = [changed(base, rng.randint(4, 9)) for _ in range(120)] + [changed(rng.choice(copies), 4) for _ in range(60)]
+    docs = [(k, " ".join(w)) for k, w in enumerate(rng.sample(copies + strays, len(copies + strays)), 1)]
+    left = {k for k, _ in survivors(docs)}
+    assert len(left) > 30
+    got = {r["doc_id"] for r in simhash.without_copies(X.table(spark, docs)).collect()}
+    assert got == left
+
+
+def test_joined_sets_join_what_all_pairs_join():
+    rng = random.Random(2)
+    for _ in range(40):
+        base = rng.sample(range(10_000), 60)
+        sets = [np.array(sorted(set(rng.sample(base, rng.randint(40, 60))) | set(rng.sample(range(10_000), rng.randint(0, 6)))), np.uint64) for _ in range(30)] + [np.zeros(0, np.uint64)]
+        roots = np.array([rng.randint(0, 25) for _ in sets])
+        plain, got = ({r: {r} for r in roots.tolist()} for _ in range(2))
+
+        def join(groups, a, b):
+            if groups[a] is not groups[b]:
+                groups[a] |= groups[b]
+                for r in groups[b]:
+                    groups[r] = groups[a]
+
+        for i, j in itertools.combinations(range(len(sets)), 2):
+            a, b = set(sets[i].tolist()), set(sets[j].tolist())
+            if (a or b) and alike(a, b):
+                join(plain, roots[i], roots[j])
+        edges = simhash.joined_sets(np.arange(len(sets)), roots, sets, 0.8)
+        for i, j in edges:
+            assert alike(set(sets[i].tolist()), set(sets[j].tolist()))
+            join(got, roots[i], roots[j])
+        assert len(edges) < len(set(roots.tolist())) and plain == got
+
+
 def test_awkward_documents(spark):
     docs = X.corpus()
     got = {r["doc_id"] for r in simhash.without_copies(X.table(spark, docs)).collect()}

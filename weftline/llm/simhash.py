@@ -203,6 +203,8 @@ MISSED = 0.01
 SMALL = 64
 #: Keys of up to so many nodes give all their pairs at once (1.5 a node at most) and need no second look.
 FEW = 4
+#: Nodes of a tile and bytes of its sets; two tiles are compared by one task.
+TILE, TILE_BYTES = 128, 1 << 23
 #: Keeps products that are whole numbers from being rounded past themselves.
 ROUNDING = 1e-9
 
@@ -340,17 +342,23 @@ def judged(pairs: DataFrame, nodes: DataFrame, words: int, least: float) -> Data
     return both.select("a", "b", ((F.col("d") <= math.floor(share * total - 5 * spread)) & (F.col("n") >= SMALL)).alias("sure"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, least: float) -> DataFrame:
-    """Those of the pairs (a, b) of nodes that are similar, by their whole sets."""
-    pairs = written(pairs, "asked")
-    asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    asked = nodes.join(asked, "id").select("id", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+def shingle_sets(ids: DataFrame, docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """id and words, the whole set of shingle hashes in order, of the nodes in ``ids`` (distinct id)."""
 
     @F.pandas_udf("binary")
     def packed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield batch.map(lambda t: np.unique(shingle_hashes(t or "", k)).tobytes())
 
+    asked = nodes.join(ids, "id").select("id", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+    texts = docs.select("doc_id", "text", text_hash().alias("_h")).join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")))
+    return written(texts.select("id", "text").dropDuplicates(["id"]).select("id", packed.asNondeterministic()("text").alias("words")), "sets")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, least: float) -> DataFrame:
+    """Those of the pairs (a, b) of nodes that are similar, by their whole sets."""
+    pairs = written(pairs, "asked")
+
     @F.pandas_udf("boolean")
     def similar_sets(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for left, right in batches:
@@ -361,8 +369,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, least:
                 out.append(both >= least * (len(x) + len(y) - both) - ROUNDING)
             yield pd.Series(out, dtype=bool)
 
-    texts = docs.select("doc_id", "text", text_hash().alias("_h")).join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")))
-    sets = written(texts.select("id", "text").dropDuplicates(["id"]).select("id", packed.asNondeterministic()("text").alias("words")), "sets")
+    sets = shingle_sets(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), docs, nodes, k)
     a, b = sets.select(F.col("id").alias("a"), F.col("words").alias("_a")), sets.select(F.col("id").alias("b"), F.col("words").alias("_b"))
     seen = pairs.join(a, "a").join(b, "b").select("a", "b", similar_sets.asNondeterministic()("_a", "_b").alias("_s"))
     return written(seen.where("_s").select("a", "b"), "similar")
@@ -374,49 +381,119 @@ def rooted(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return written(nodes.select("id").join(found, F.col("id") == F.col("_node"), "left").select("id", F.coalesce("root", "id").alias("root")), "roots")
 
 
-def linked(candidates: DataFrame, roots: DataFrame | None, docs: DataFrame, nodes: DataFrame, k: int, words: int, least: float) -> DataFrame:
-    """The similar ones among the candidate pairs (a, b); without ``roots``, doubtful pairs that sure ones join anyway are left out."""
+def linked(candidates: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, words: int, least: float) -> DataFrame:
+    """The similar ones among the candidate pairs (a, b); doubtful pairs that sure ones join anyway are left out."""
     found = written(judged(candidates, nodes, words, least), "judged")
     sure, doubt = found.where("sure").select("a", "b"), found.where("NOT sure").select("a", "b")
-    if roots is None:
-        roots = rooted(sure, nodes)
-        ra, rb = roots.select(F.col("id").alias("a"), F.col("root").alias("_ra")), roots.select(F.col("id").alias("b"), F.col("root").alias("_rb"))
-        doubt = doubt.join(ra, "a").join(rb, "b").where("_ra <> _rb").select("a", "b")
+    roots = rooted(sure, nodes)
+    ra, rb = roots.select(F.col("id").alias("a"), F.col("root").alias("_ra")), roots.select(F.col("id").alias("b"), F.col("root").alias("_rb"))
+    doubt = doubt.join(ra, "a").join(rb, "b").where("_ra <> _rb").select("a", "b")
     return written(sure.unionByName(verified(doubt, docs, nodes, k, least)), "edges")
 
 
-def crossing(shared: DataFrame, roots: DataFrame, nodes: DataFrame, words: int, least: float, block: int = BLOCK) -> DataFrame:
-    """Pairs of nodes of different components that share a key (a: key, b: id) and whose fingerprints allow similarity.
+def tiled(shared: DataFrame, roots: DataFrame, nodes: DataFrame, tile: int, tile_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(key, id, m) of the keys whose m nodes are of several components, and these nodes with root, n, wide and tile.
 
+    A node's hub is the component that most nodes of one of its keys belong to, so a component and
+    the strays around it have one hub. A hub's nodes are dealt evenly into tiles of about ``tile``
+    nodes and sets of ``tile_bytes`` at most.
+    """
+    placed = shared.select(F.col("a").alias("key"), F.col("b").alias("id")).join(roots, "id")
+    per = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    keys = per.groupBy("key").agg(F.count(F.lit(1)).alias("_roots"), F.sum("c").alias("m"), F.max(F.struct("c", F.col("root").alias("hub"))).alias("most")).where("_roots > 1")
+    placed = written(placed.join(keys.select("key", "m", "most"), "key"), "mixed")
+    hubs = placed.groupBy("id").agg(F.first("root").alias("root"), F.max("most")["hub"].alias("hub"))
+    hubs = written(hubs.join(nodes.select("id", "n", "wide"), "id"), "hubs")
+    tiles = F.greatest(F.ceil(F.count(F.lit(1)) / tile), F.ceil(8 * F.sum("n") / tile_bytes), F.lit(1))
+    sizes = hubs.groupBy("hub").agg(tiles.alias("tiles"))
+    own = F.xxhash64("hub", F.pmod(F.xxhash64("id"), F.col("tiles"))).alias("tile")
+    return placed.select("key", "id", "m"), written(hubs.join(sizes, "hub").select("id", "root", "n", "wide", own), "tiles")
+
+
+def meetings(keyed: DataFrame, placed: DataFrame, words: int, least: float, block: int = BLOCK) -> DataFrame:
+    """(i, j, id): the nodes of two tiles (or one) that have a partner there: another component's node that shares
+    a key and whose size and fingerprint allow similarity.
+
+    Never more rows than two a pair, and no more a node than there are tiles that it has partners in.
     Keys of over ``block`` nodes are compared block by block, a pair of blocks a group of its own.
     """
     share, total = apart(least), 64 * words
     limit = math.ceil(share * total + 5 * math.sqrt(share * (1 - share) * total))
-    placed = shared.select(F.col("a").alias("key"), F.col("b").alias("id")).join(roots, "id")
-    mixed_keys = placed.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count(F.lit(1)).alias("m")).where("_lo <> _hi").select("key", "m")
-    placed = placed.join(mixed_keys, "key").join(nodes.select("id", "wide"), "id")
     blocks = F.ceil(F.col("m") / block).cast("int")
     mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("mine")).alias("i"), F.greatest(o, F.col("mine")).alias("j")))
-    dealt = placed.withColumns({"blocks": blocks, "mine": mine}).select("key", "id", "root", "wide", "mine", F.explode(pairs).alias("pair"))
-    dealt = dealt.select("key", "id", "root", "wide", "mine", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"))
+    names = ["key", "id", "root", "n", "tile", "wide", "mine"]
+    dealt = keyed.join(placed, "id").withColumns({"blocks": blocks, "mine": mine}).select(*names, F.explode(pairs).alias("pair"))
+    dealt = dealt.select(*names, F.col("pair.i").alias("i"), F.col("pair.j").alias("j"))
 
     def compare(_: tuple, table: pa.Table) -> pa.Table:
-        ids, root, mine, key, i, j = (table[c].to_numpy() for c in ("id", "root", "mine", "key", "i", "j"))
+        ids, root, n, tile, mine, key, i, j = (table[c].to_numpy() for c in ("id", "root", "n", "tile", "mine", "key", "i", "j"))
         wide = table["wide"].combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), words)
         order = np.lexsort((j, i, key))
         ends = np.flatnonzero(np.any([np.diff(x[order]) != 0 for x in (key, i, j)], axis=0)) + 1
-        out = []
+        found = [np.zeros((0, 3), np.int64)]
         for at in np.split(order, ends):
             left, right = (at, at) if i[at[0]] == j[at[0]] else (at[mine[at] == i[at[0]]], at[mine[at] == j[at[0]]])
+            here = found[:1]
             for x in left:
-                near = right[(root[right] != root[x]) & (np.bitwise_count(wide[right] ^ wide[x]).sum(axis=1, dtype=np.int64) <= limit)]
-                out.append(np.stack([np.minimum(ids[x], ids[near]), np.maximum(ids[x], ids[near])], axis=1))
-        found = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        return pa.table([pa.array(found[:, 0], pa.int64()), pa.array(found[:, 1], pa.int64())], ["a", "b"])
+                fits = (root[right] != root[x]) & (np.minimum(n[right], n[x]) >= np.maximum(n[right], n[x]) * least - ROUNDING)
+                near = right[fits]
+                near = near[np.bitwise_count(wide[near] ^ wide[x]).sum(axis=1, dtype=np.int64) <= limit]
+                low, high = np.minimum(tile[near], tile[x]), np.maximum(tile[near], tile[x])
+                here.append(np.stack([low, high, ids[near]], axis=1))
+                here.append(np.unique(np.stack([low, high, np.full(len(near), ids[x])], axis=1), axis=0))
+            found.append(np.unique(np.concatenate(here), axis=0))
+        out = np.unique(np.concatenate(found), axis=0)
+        return pa.table([pa.array(out[:, c], pa.int64()) for c in range(3)], ["i", "j", "id"])
 
     part = F.pmod(F.xxhash64("key", "i", "j"), F.lit(4096)).alias("part")
-    return dealt.groupBy(part).applyInArrow(compare, "a long, b long").distinct()
+    return written(dealt.groupBy(part).applyInArrow(compare, "i long, j long, id long").distinct(), "meetings")
+
+
+def joined_sets(ids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Edges (a, b) between similar sets that join just the components which all similar pairs join; fewer than components.
+
+    Every set is compared with all later ones of other components at once, by marking its members.
+    """
+    _, parent = np.unique(roots, return_inverse=True)
+    sizes = np.array([len(x) for x in sets])
+    starts = np.r_[0, np.cumsum(sizes)[:-1]]
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    marks = np.zeros(len(codes), bool)
+    out = []
+    for x in range(len(sets) - 1):
+        if not np.any(parent[x + 1 :] != parent[x]):
+            continue
+        own = codes[starts[x] : starts[x] + sizes[x]]
+        marks[own] = True
+        counts = np.r_[0, np.cumsum(marks[codes[starts[x + 1] :]])]
+        marks[own] = False
+        ends = starts[x + 1 :] - starts[x + 1]
+        both = counts[ends + sizes[x + 1 :]] - counts[ends]
+        alike = both >= least * (sizes[x] + sizes[x + 1 :] - both) - ROUNDING
+        for y in (x + 1 + np.flatnonzero(alike)).tolist():
+            if parent[x] != parent[y]:
+                parent[parent == parent[y]] = parent[x]
+                out.append((int(ids[x]), int(ids[y])))
+    return out
+
+
+def crossing(shared: DataFrame, roots: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, words: int, least: float, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> DataFrame:
+    """Edges (a, b) between similar nodes of different components that share a key (a: key, b: id), a forest a pair of tiles.
+
+    Each node's whole set goes once to every pair of tiles where it has a partner, not once to each
+    partner; there all are compared exactly. A group holds the sets of two tiles at most.
+    """
+    keyed, placed = tiled(shared, roots, nodes, tile, tile_bytes)
+    meeting = meetings(keyed, placed, words, least)
+    sets = shingle_sets(meeting.select("id").distinct(), docs, nodes, k)
+
+    def settle(_: tuple, table: pa.Table) -> pa.Table:
+        found = joined_sets(table["id"].to_numpy(), table["root"].to_numpy(), [np.frombuffer(x.as_buffer(), np.uint64) for c in table["words"].chunks for x in c], least)
+        return pa.table([pa.array([e[c] for e in found], pa.int64()) for c in (0, 1)], ["a", "b"])
+
+    members = meeting.join(placed.select("id", "root"), "id").join(sets, "id").select("i", "j", "id", "root", "words")
+    return written(members.groupBy("i", "j").applyInArrow(settle, "a long, b long").distinct(), "crossing")
 
 
 def similar(docs: DataFrame, k: int = WORDS, least: float = LEAST) -> DataFrame:
@@ -437,12 +514,11 @@ def similar(docs: DataFrame, k: int = WORDS, least: float = LEAST) -> DataFrame:
     nodes = written(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
     shared = met(nodes, bits, words, n)
     pairs = written(shared.where("kind = 0").select("a", "b").distinct(), "pairs")
-    edges = linked(pairs, None, docs, nodes, k, words, least)
+    edges = linked(pairs, docs, nodes, k, words, least)
     roots = rooted(edges, nodes)
-    more = crossing(shared.where("kind = 1"), roots, nodes, words, least)
-    more = written(more.join(pairs, ["a", "b"], "left_anti"), "crossing")
-    if not more.isEmpty() and not (new := linked(more, roots, docs, nodes, k, words, least)).isEmpty():
-        roots = rooted(edges.unionByName(new), nodes)
+    more = crossing(shared.where("kind = 1"), roots, docs, nodes, k, words, least)
+    if not more.isEmpty():
+        roots = rooted(edges.unionByName(more), nodes)
     placed = nodes.select("id", "node", "first").join(roots, "id")
     least_of = placed.groupBy("root").agg(F.min("first").alias("kept"))
     classes = placed.join(least_of, "root").select("node", F.col("kept.doc_id").alias("kept_id"), F.col("kept.text_hash").alias("kept_hash"))
