@@ -74,6 +74,11 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def text_digest(name: str = "text") -> Column:
+    """128 bits of the SHA-256 of a text (null: empty)."""
+    return F.substring(F.unhex(F.sha2(text_or_empty(name), 256)), 1, 16)
+
+
 def scan_bytes(df: DataFrame, text: str = "text") -> int:
     """Size of ``df``: its files' as Catalyst knows it, or else half the bytes of its texts, counted."""
     known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -94,16 +99,22 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def packed_groups(docs: DataFrame, group: Column, groups: int) -> DataFrame:
+def packed_groups(docs: DataFrame, group: Column, groups: int, once: str | None = None, remembered: int = 200_000) -> DataFrame:
     """``docs`` dealt by ``group`` (0 to ``groups`` - 1): (grp, rows), rows a compressed Arrow stream.
 
-    Half the bytes of a plain shuffle of texts, and few rows.
+    Half the bytes of a plain shuffle of texts, and few rows. With ``once``, a task lets a row of each value of
+    that column pass, and forgets what it has let pass after ``remembered`` values.
     """
     columns = docs.columns
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         options = pa.ipc.IpcWriteOptions(compression="zstd")
+        seen: set[object] = set()
         for batch in batches:
+            if once is not None:
+                values = batch.column(columns.index(once) + 1).to_pylist()
+                seen = set() if len(seen) > remembered else seen
+                batch = batch.take(pa.array([i for i, v in enumerate(values) if v not in seen and not seen.add(v)], pa.int64()))
             grp = batch.column(0).to_numpy(zero_copy_only=False)
             order = np.argsort(grp, kind="stable")
             rows = batch.select(columns).take(pa.array(order))
