@@ -105,6 +105,11 @@ def reserved_replay(plan: DataFrame, cap: float, stop_at_pct: int, workers: int,
     return plan.groupBy(by).applyInPandas(run, f"{by} {plan.schema[by].dataType.simpleString()}, n long, admitted boolean")
 
 
+def should_abort(done: int, errors: int) -> bool:
+    """Whether a run's first ``done`` items, ``errors`` of them failed, show that going on is waste."""
+    return done <= ABORT_SAMPLE and errors >= ABORT_ERRORS and errors >= done * ABORT_SHARE
+
+
 def early_abort(items: DataFrame, by: str = "run_id", at: str = "finished_at", key: str = "id") -> DataFrame:
     """Runs whose first items fail so often that going on is waste: the count at which that shows."""
     order = Window.partitionBy(by).orderBy(at, key)

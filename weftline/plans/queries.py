@@ -447,7 +447,7 @@ def _nodes(spark, d):
 
 @query
 def tree_path(spark, d):
-    return taxonomy.paths(_nodes(spark, d), 3).select("id", F.array_join("path", " / ").alias("path"))
+    return taxonomy.paths(_nodes(spark, d)).select("id", F.array_join("path", " / ").alias("path"))
 
 
 @query

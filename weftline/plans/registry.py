@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from weftline.plans.queries import QUERIES
-from weftline.plans.sql import ORACLE_SQL
+from weftline.plans import queries, sql, stateful
+
+QUERIES = queries.QUERIES | stateful.QUERIES
+ORACLE_SQL = sql.ORACLE_SQL | stateful.ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
