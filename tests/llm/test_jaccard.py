@@ -109,3 +109,19 @@ def test_forest_joins_what_all_pairs_join(seed):
         assert top(a) != top(b)
         root[top(a)] = top(b)
     assert {frozenset(x for x in range(70) if top(x) == top(k)) for k in range(70)} == want
+
+
+def test_shingle_hashes_are_equal_where_the_words_are():
+    import pyarrow as pa
+
+    texts = [t for _, t in DOCS] + ["a b", "A  B", "a\tb c", "a b\nC d", "", None, "ab c", "x" * 3000 + " y z", "X" * 3000 + " y z", "é É z", "a"]
+    found = list(jaccard.shingle_sets(pa.array(texts, pa.string()), 3))
+    names = {}
+    for text, hashes in zip(texts, found):
+        own = shingles(text)
+        assert len(own) == len(hashes)
+        if len(own) == 1:
+            assert names.setdefault(next(iter(own)), hashes[0]) == hashes[0]
+    for i, a in enumerate(texts):
+        for j in range(i):
+            assert len(np.intersect1d(found[i], found[j])) == len(shingles(a) & shingles(texts[j]))

@@ -22,9 +22,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import packed_groups, scan_bytes, small_batches, text_digest, unpacked_groups, written
-from weftline.llm.simhash import components, shingle_hashes
-from weftline.llm.windows import run_bytes, run_values
+from weftline.llm.audit import PASS_BYTES, eights, word_hashes
+from weftline.llm.common import mixed, packed_groups, scan_bytes, small_batches, text_digest, unpacked_groups, utf8, written
+from weftline.llm.simhash import components
+from weftline.llm.windows import run_bytes, run_values, word_bounds
 
 WORDS, PERCENT = 3, 90
 #: Input of a group of texts, and of a bucket of shingles, in bytes of files.
@@ -49,15 +50,44 @@ def codes_of(frequency: np.ndarray) -> np.ndarray:
     return np.minimum(255, np.floor(8 * np.log2(frequency))).astype(np.uint8)
 
 
+def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the ``k``-word shingles of every text, A-Z lower-cased; of the whole sequence if it is shorter.
+
+    Words are hashed from their bytes and shingles from their words, many texts at once.
+    """
+    data, offsets = utf8(texts)
+    a = 0
+    while a < len(offsets) - 1:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + PASS_BYTES, side="right")) - 1)
+        part = data[offsets[a] : offsets[b]]
+        part = np.where((part >= 65) & (part <= 90), part + np.uint8(32), part)
+        starts, ends, count = word_bounds(part, offsets[a : b + 1] - offsets[a])
+        words = word_hashes(part, eights(part), starts, ends - starts) if len(starts) else np.zeros(0, np.uint64)
+        first = np.cumsum(count) - count
+        # A word and the k - 1 after it; what reaches into the next text is not used.
+        joined = mixed(words + np.uint64(k))
+        for step in range(1, k):
+            joined[: len(words) - step] = mixed(joined[: len(words) - step] ^ words[step:])
+        for at, n in zip(first.tolist(), count.tolist()):
+            if n >= k:
+                yield np.unique(joined[at : at + n - k + 1])
+            elif n:
+                whole = np.array([n], np.uint64)
+                for w in words[at : at + n]:
+                    whole = mixed(whole ^ w)
+                yield whole
+            else:
+                yield np.zeros(0, np.uint64)
+        a = b
+
+
 def sets_of(table: pa.Table, k: int) -> Iterator[tuple[bytes, np.ndarray]]:
-    """digest and sorted distinct shingle hashes of every distinct text of a group."""
-    seen = set()
+    """digest and shingle set of every distinct text of a group."""
+    seen: set[bytes] = set()
     for rows in unpacked_groups(table):
-        for digest, text in zip(rows["digest"], rows["text"]):
-            digest = digest.as_py()
-            if digest not in seen:
-                seen.add(digest)
-                yield digest, np.unique(shingle_hashes(text.as_py() or "", k))
+        digests = rows["digest"].to_pylist()
+        fresh = [i for i, d in enumerate(digests) if d not in seen and not seen.add(d)]
+        yield from zip((digests[i] for i in fresh), shingle_sets(rows["text"].take(pa.array(fresh, pa.int64())), k))
 
 
 def runs(dealt: DataFrame, buckets: int, k: int) -> DataFrame:
@@ -259,7 +289,7 @@ def joined(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, block: int =
     """doc_id, n_shingles and component_id (the least doc_id reachable over links) of every document.
 
     Sets of ``k``-word shingles link where 100 * intersection >= ``percent`` * union. The join is exact but for hashes: a shingle
-    is its 64-bit XXH64, equal texts share 128 bits of SHA-256 and equal sets 128 bits of XXH3. Texts without words, null ones among
+    is a 64-bit hash of its words, equal texts share 128 bits of SHA-256 and equal sets 128 bits of XXH3. Texts without words, null ones among
     them, link with nothing: their component is their own doc_id. Repeated rows share a component; a null doc_id is never the least,
     and a component of null ids alone has a null one; an empty table gives an empty one; other columns are not read.
     """
