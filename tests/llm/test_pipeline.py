@@ -1,5 +1,7 @@
 """The corpus pipeline, stage by stage, against the plain versions."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from tests.llm import fixtures as X
 from tests.llm.test_copies import survivors
@@ -37,3 +39,17 @@ def test_stages(spark):
 def test_empty_table(spark, tmp_path):
     X.table(spark, [(1, "x")]).select("doc_id", "text", "lang", "source", "n_chars").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+CLASHES = ("score", "known", "lang_pred", "base", "spans", "fp", "_k", "_hash", "_id", "_left", "_text", "_kept", "_lang", "_found", "kept", "node", "n", "wide", "id", "grp", "a.b", "_column_0")
+
+
+def test_columns_of_any_name_come_out_unchanged(spark):
+    rows = [r for r in X.corpus() if r[1]]
+    docs = X.table(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    docs = docs.select("*", *[F.concat(F.lit(f"{c} of "), "doc_id").alias(c) for c in CLASHES])
+    for name, stage in P.STAGES[:-1]:
+        new = written(stage(spark, docs, ""), name)
+        assert new.columns == docs.columns
+        assert new.count() and all(r[c] == f"{c} of {r['doc_id']}" for r in new.collect() for c in CLASHES)
+        docs = new
