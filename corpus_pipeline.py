@@ -6,6 +6,7 @@ is written as Parquet and read again. All but the last return the columns of doc
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,23 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 LEAST_SCORE = 0.5
 
 
+#: Columns that stages read or renew; all others pass through them under names of their own.
+USED = ("doc_id", "text", "lang", "n_chars")
+
+
+def shielded(stage: Stage) -> Stage:
+    """``stage`` with the columns that it has no use for out of its way, whatever their names: they come out as they went in."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = {c: c if c in USED else f"_column_{k}" for k, c in enumerate(docs.columns)}
+        out = stage(spark, docs.select(*[docs[f"`{c}`"].alias(n) for c, n in names.items()]), sf_dir)
+        return out.select(*[out[n].alias(c) for c, n in names.items()])
+
+    return run
+
+
+@shielded
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: und and undecided ones go, lang becomes the prediction."""
     model = language.fit(docs, ~language.held_out() & F.col("doc_id").isNotNull())
@@ -27,16 +45,19 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.withColumn("lang", F.col("lang_pred")).select(docs.columns)
 
 
+@shielded
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of texts that share 0.8 or more of their five-word shingles, the document of least doc_id."""
     return simhash.without_copies(docs)
 
 
+@shielded
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of strings of 256 bytes (some 50 short words) that start twice or more in what is left."""
     return suffix.deduplicated_texts(docs, suffix.BYTES_256)
 
 
+@shielded
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with every span of personal data replaced by its kind."""
     found = pii.redacted(docs, pii.fit(pii.labelled(spark)))
