@@ -284,7 +284,7 @@ def described(docs: DataFrame, k: int, words: int) -> DataFrame:
 def met(nodes: DataFrame, bits: int, words: int, rows: int) -> DataFrame:
     """Nodes (id, wide) that share a key in some table.
 
-    kind 0 are pairs (a, b): all of a key that up to FEW nodes have, else neighbours by id. kind 1 are
+    kind 0 are pairs (a, b): all of a key that up to FEW nodes have, else of its least id with each other. kind 1 are
     (key, id) of the keys that more nodes have, whose other pairs are still to be looked at. Pairs are
     at most 1.5 times as many as the nodes' keys.
     """
@@ -311,11 +311,13 @@ def met(nodes: DataFrame, bits: int, words: int, rows: int) -> DataFrame:
         keys = np.concatenate(keys)
         order = np.lexsort((ids, keys))
         keys, ids = keys[order], ids[order]
-        _, of, sizes = np.unique(keys, return_inverse=True, return_counts=True)
+        _, first, of, sizes = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
         several = sizes[of] > FEW
-        found = []
+        # A key of many nodes gives a star: the same few least ids lead most keys of a group, so its pairs repeat and fold.
+        star = np.flatnonzero(several & (ids[first[of]] != ids))
+        found = [np.stack([ids[first[of[star]]], ids[star]], axis=1)]
         for step in range(1, FEW):
-            at = np.flatnonzero((of[step:] == of[:-step]) & ((step == 1) | ~several[step:]))
+            at = np.flatnonzero((of[step:] == of[:-step]) & ~several[step:])
             found.append(np.stack([ids[at], ids[at + step]], axis=1))
         pairs = np.unique(np.concatenate(found), axis=0)
         a, b = np.r_[pairs[:, 0], keys[several].view(np.int64)], np.r_[pairs[:, 1], ids[several]]
