@@ -71,11 +71,22 @@ def usage_tokens(usage: Column) -> dict[str, Column]:
 def budget_replay(calls: DataFrame, cap: float, stop_at_pct: int, by: str = "project_id", at: str = "created_at", key: str = "id", cost: str = "cost_usd") -> DataFrame:
     """For each project: what was spent when a call first took it to the stop threshold, and how many calls ran before.
 
-    Spend is a running sum by time and id; a project's calls are one window, as any replay in order
-    must be.
+    Spend is a running sum by time and id, taken in two passes: calls are dealt by ranges of (project, time, id), so a
+    project with most calls lies in many tasks; each range's sums are folded, running sums of those say what was spent before
+    a range, and within a range calls are summed on from there.
     """
-    order = Window.partitionBy(by).orderBy(at, key).rowsBetween(Window.unboundedPreceding, 0)
-    running = calls.select(by, at, key, F.sum(F.greatest(F.coalesce(F.col(cost), F.lit(0.0)), F.lit(0.0))).over(order).alias("spend"), F.count(F.lit(1)).over(order).alias("n"))
+    from weftline.operators.dedup import ensure_checkpoints
+
+    ensure_checkpoints(calls.sparkSession)
+    spent = F.greatest(F.coalesce(F.col(cost).cast("double"), F.lit(0.0)), F.lit(0.0))
+    # Written out, as ranges would shift if a lost executor had them drawn again.
+    dealt = calls.select(by, at, key, spent.alias("_cost")).repartitionByRange(by, at, key).withColumn("_range", F.spark_partition_id()).checkpoint()
+    ranges = dealt.groupBy(by, "_range").agg(F.sum("_cost").alias("_sum"), F.count(F.lit(1)).alias("_count"))
+    earlier = Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(F.col(by).alias("_by"), F.col("_range").alias("_r"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)).alias("_before"), F.coalesce(F.sum("_count").over(earlier), F.lit(0)).alias("_n"))
+    order = Window.partitionBy(by, "_range").orderBy(at, key).rowsBetween(Window.unboundedPreceding, 0)
+    running = dealt.select(by, key, "_range", F.sum("_cost").over(order).alias("_own"), F.count(F.lit(1)).over(order).alias("_k"))
+    running = running.join(ranges, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_r"))).select(by, key, (F.col("_own") + F.col("_before")).alias("spend"), (F.col("_k") + F.col("_n")).alias("n"))
     over = F.col("spend") + 1e-9 >= cap * stop_at_pct / 100.0
     return running.groupBy(by).agg(F.min(F.when(over, F.struct("n", "spend", key))).alias("stop"), F.max("spend").alias("total"), F.max("n").alias("calls")).select(
         by, "calls", "total", F.col("stop.n").alias("stopped_after"), F.col("stop.spend").alias("spend_at_stop"), F.col(f"stop.{key}").alias("stopped_by")

@@ -55,3 +55,23 @@ def load(text: str) -> dict:
     """Settings from a project file, or from the settings alone."""
     held = json.loads(text)
     return held["config"] if isinstance(held, dict) and isinstance(held.get("config"), dict) else held
+
+
+# The four starting points of a project. A tree is topics, subtopics, leaves and rows a leaf.
+PRESETS: dict[str, dict] = {
+    "quick-sft": {"data_types": ["sft"], "taxonomy": {"topics": 7, "subtopics_per_topic": 3, "leaves_per_topic": 3, "rows_per_leaf": 8}, "export": {"formats": ["sft"]}, "judge": False},
+    "dpo-corruptor": {"data_types": ["sft", "dpo"], "taxonomy": {"topics": 6, "subtopics_per_topic": 3, "leaves_per_topic": 4, "rows_per_leaf": 6}, "preferences": {"strategy": "corruptor"}, "export": {"formats": ["sft", "dpo"]}, "judge": True},
+    "tool-calling-200": {"data_types": ["tools"], "taxonomy": {"topics": 5, "subtopics_per_topic": 2, "leaves_per_topic": 4, "rows_per_leaf": 5, "task_types": ["TRIAGE", "PROCEDURE", "DECIDE"]}, "responses": {"ensemble": [{"slug": "openai/gpt-4o", "temperature": 0.5}]}, "export": {"formats": ["tools"], "validate_template": "llama-3.1"}, "judge": False},
+    "reasoning-traces": {"data_types": ["grpo"], "taxonomy": {"topics": 5, "subtopics_per_topic": 3, "leaves_per_topic": 4, "rows_per_leaf": 5, "task_types": ["EXPLAIN", "DECIDE", "PROCEDURE"]}, "responses": {"reasoning_tags": True, "max_tokens": 3072}, "export": {"formats": ["grpo"]}, "judge": False},
+}
+
+
+def preset(key: str, over: Mapping | None = None) -> dict:
+    """A preset's settings with ``over`` laid on them; KeyError for an unknown one."""
+    return merged(json.loads(json.dumps(PRESETS[key])), over)
+
+
+def preset_rows(settings: Mapping) -> int:
+    """Rows that a tree of these settings plans, before a negative branch."""
+    tree = settings["taxonomy"]
+    return planned_rows(tree["topics"], tree["subtopics_per_topic"], tree["leaves_per_topic"], tree["rows_per_leaf"])

@@ -8,10 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators import formats, nested, records, reservations, taxonomy
+from weftline import schema
+from weftline.operators import admission, formats, nested, planners, records, reservations, taxonomy, views
 from weftline.operators.dedup import ensure_checkpoints
 from weftline.sources import commitlog
-from weftline.sources.adapters import conversation_rows
+from weftline.sources.adapters import conversation_rows, documents_as_rows
 from weftline.sources.tables import table
 from weftline.streaming import runs
 
@@ -149,9 +150,7 @@ def ledger_sink(spark, d):
         n.cast("string").alias("id"), F.col("user_id").cast("string").alias("project_id"), null.alias("run_id"), F.lit("t").alias("target_id"), F.lit("m").alias("model_slug"), null.alias("provider"), F.when(F.col("event_type") == "error", "failed").alias("error"),
         F.lit(3).alias("stage"), F.lit(10).alias("latency_ms"), F.col("props").alias("request"), null.alias("response"), F.lit('{"prompt_tokens": 1}').alias("usage"), F.col("value").alias("cost_usd"), F.lit(0.0).alias("created_at"), (n % 4 == 0).alias("estimated"),
     )
-    from weftline.schema import RAW_CALLS
-
-    log = commitlog.BatchLog(spark, f"{folder}/ledger", RAW_CALLS)
+    log = commitlog.BatchLog(spark, f"{folder}/ledger", schema.RAW_CALLS)
     sink = log.sink("calls")
     q = _stream(calls, folder).writeStream.foreachBatch(lambda df, b: (sink(commitlog.ledger_rows(df), b), sink(commitlog.ledger_rows(df), b), None)[2]).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
@@ -181,12 +180,10 @@ def deep_chains(spark, d):
 """)
 def tree_replace(spark, d):
     """A tree of nations and suppliers loses a third of its leaves in one commit; their prompts go, rows forget them."""
-    from weftline.schema import TOPIC_NODES
-
     store = commitlog.Snapshots(spark, _folder(spark, "store"))
     nation, supplier, customer = (table(spark, d, t) for t in ("nation", "supplier", "customer"))
-    names = [c.split()[0].strip("`") for c in TOPIC_NODES.split(", ")]
-    kinds = dict(c.replace("`", "").split() for c in TOPIC_NODES.split(", "))
+    names = [c.split()[0].strip("`") for c in schema.TOPIC_NODES.split(", ")]
+    kinds = dict(c.replace("`", "").split() for c in schema.TOPIC_NODES.split(", "))
     node = lambda df, **k: df.select(*[(k[c] if c in k else F.lit(None)).cast(kinds[c]).alias(c) for c in names])
     tops = node(nation, id=F.concat(F.lit("n"), "n_nationkey"), project_id=F.lit("p"), label=F.col("n_name"), slug=F.lower("n_name"), is_leaf=F.lit(False))
     leaf = F.concat(F.lit("s"), "s_suppkey")
@@ -260,3 +257,92 @@ def reread_exports(spark, d):
     kept = again.groupBy("format", "line").agg(F.count(F.lit(1)).alias("again"))
     told = parsed.groupBy("format", "line").agg(F.count(F.lit(1)).alias("n"), F.count("reason").alias("bad"))
     return told.join(kept, ["format", "line"], "left").groupBy("format").agg(F.sum("n").alias("lines"), F.sum(F.least("n", F.coalesce("again", F.lit(0)))).alias("same"), F.sum("bad").alias("rejected"))
+
+
+@query()
+def prompt_rounds(spark, d):
+    """Admission rounds over recorded replies: vectors are replies of ten leaves, three calls each; held against a loop by tests."""
+    vectors = table(spark, d, "embeddings").select(F.concat(F.lit("l"), F.col("vec_id") % 10).alias("leaf_id"), F.col("vec_id").alias("k"), F.col("embedding").cast("array<double>").alias("v"))
+    existing = vectors.where("k < 50").select("leaf_id", "v")
+    replies = vectors.where("k >= 50").select("leaf_id", (F.floor(F.col("k") / 10) % 3 + 1).cast("int").alias("call"), F.col("k").cast("int").alias("k"), F.concat(F.lit("Since then, prompt number "), "k").alias("text"), "v")
+    leaves = vectors.select("leaf_id").distinct().withColumn("n", F.lit(12))
+    settings = admission.Admission("p", [("Ann", 2.0), ("Bob", 1.0)], [("question", 1.0), ("command", 1.0)], 10.0, 0.2, 0.3)
+    return admission.admitted(leaves, existing, replies, settings)[1]
+
+
+def _stored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents as rows that answer every second of as many prompts, pairs of every seventh, nodes of three of the four languages."""
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    rows = documents_as_rows(docs, labels).withColumn("prompt_id", F.when(F.col("id").cast("long") % 2 == 0, F.col("id")))
+    n = F.col("id").cast("long")
+    verdict = F.element_at(F.array(*map(F.lit, ("chosen", "rejected", "tie"))), (n % 3 + 1).cast("int"))
+    none = F.lit(None)
+    judge = F.when(n % 5 > 0, F.struct((n % 5).cast("double").alias("score"), none.alias("criteria"), F.lit("").alias("rationale"), verdict.alias("verdict"))).cast(schema.JUDGE)
+    pairs = rows.where(n % 7 == 0).select("id", "project_id", F.col("id").alias("row_id"), none.cast("string").alias("run_id"), F.lit("weaker").alias("strategy"), F.concat(F.lit("f"), n % 4).alias("flaw"), "model_slug", F.when(n % 3 == 2, "tie").otherwise("judged").alias("status"), F.col("messages").alias("rejected_messages"), judge.alias("judge"), "created_at")
+    nodes = docs.select(F.col("lang").alias("id")).distinct().where("id <> 'es'").select("id", F.upper("id").alias("label"))
+    return rows, pairs, nodes
+
+
+@query("""
+    WITH r AS (SELECT lang, source, CASE WHEN toxic = 1 THEN 'refusal' ELSE '' END AS status FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)
+    SELECT 'rows' AS kind, NULL AS model_slug, lang AS leaf_id, CASE WHEN lang <> 'es' THEN upper(lang) END AS leaf_label, count(*) AS n FROM r GROUP BY lang
+    UNION ALL
+    SELECT 'refusals', source, lang, CASE WHEN lang <> 'es' THEN upper(lang) END, count(*) FROM r WHERE status = 'refusal' GROUP BY source, lang
+""")
+def counts_by_leaf(spark, d):
+    """Rows, and refusals by model, of every leaf with its label; a leaf that is gone keeps its rows and has none."""
+    rows, _, nodes = _stored(spark, d)
+    own = views.rows_by_leaf(rows, nodes).select(F.lit("rows").alias("kind"), F.lit(None).cast("string").alias("model_slug"), "leaf_id", "leaf_label", F.col("count").alias("n"))
+    return own.unionByName(views.refusals_by_leaf(rows, nodes).select(F.lit("refusals").alias("kind"), "model_slug", "leaf_id", "leaf_label", F.col("count").alias("n")))
+
+
+@query("""
+    WITH r AS (SELECT d.doc_id AS n, CASE WHEN quality = 1 THEN 4.5 WHEN quality = 0 THEN 1.5 END AS score FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
+         p AS (SELECT n, n % 3 = 2 AS tie, n % 5 > 0 AS judged FROM r WHERE n % 7 = 0)
+    SELECT (SELECT count(score) FROM r)::BIGINT AS judged_rows, (SELECT count_if(score < 3) FROM r)::BIGINT AS low_count, count_if(tie)::BIGINT AS ties,
+           count_if(judged AND n % 3 = 1)::BIGINT AS flipped, count_if(judged)::BIGINT AS judged_pairs, true AS same_family_warning, 'meta' AS judge_family FROM p
+""")
+def judge_board(spark, d):
+    rows, pairs, _ = _stored(spark, d)
+    teachers = spark.createDataFrame([("meta-llama/llama-3.1-8b-instruct",), ("openai/gpt-4o",)], "slug string")
+    return views.judge_summary(rows, pairs, teachers, "meta/judge").select("judged_rows", "low_count", "ties", "flipped", "judged_pairs", "same_family_warning", "judge_family")
+
+
+@query("""
+    WITH d AS (SELECT d.doc_id AS n, length(text) AS c, CASE WHEN toxic = 1 THEN 'refusal' WHEN quality = 0 THEN 'flagged' WHEN quality = 1 THEN 'accepted' ELSE 'draft' END AS status,
+                      quality IS NULL AS unjudged FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
+         a AS (SELECT 'responses' AS stage, count(*) AS calls, floor(avg(c) + 3)::BIGINT AS chars, 600 AS out FROM d WHERE n % 2 = 1
+               UNION ALL SELECT 'preferences', count(*), floor(avg(2 * c) + 500)::BIGINT, 600 FROM d WHERE status IN ('draft', 'accepted') AND n % 7 <> 0
+               UNION ALL SELECT 'judge', count(*), floor(avg(c) + 900 + 5)::BIGINT, 400
+                         FROM (SELECT c FROM d WHERE unjudged AND status <> 'refusal' UNION ALL SELECT 2 * c + 800 FROM d WHERE n % 7 = 0 AND n % 5 = 0))
+    SELECT stage, calls, (calls * (chars // 4))::BIGINT AS est_tokens_in, (calls * floor(out * 0.6))::BIGINT AS est_tokens_out, calls > 0 AS over_cap FROM a
+    UNION ALL
+    SELECT 'filters', ceil(count(*) / 64)::BIGINT, floor(sum(c) / 4)::BIGINT, 0, count(*) > 0 FROM d WHERE status IN ('draft', 'accepted', 'edited', 'flagged') AND n % 9 <> 0
+""")
+def stage_plans(spark, d):
+    """Work and estimates of four stages over documents as stored rows."""
+    rows, pairs, _ = _stored(spark, d)
+    prompts = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("leaf_id"), "text", F.lit("active").alias("status"), F.col("doc_id").cast("double").alias("created_at"))
+    budget, slug = planners.Budget("brief", 1.0, 1.0), "openai/gpt-4o"
+    plans = {
+        "responses": planners.response_plan(prompts, rows, slug, 600, budget, "sys"),
+        "preferences": planners.pair_plan(rows, pairs, slug, 600, budget),
+        "judge": planners.judge_plan(rows, pairs, slug, 600, budget),
+        "filters": planners.embedding_plan(rows, rows.where(F.col("id").cast("long") % 9 == 0).select("id"), slug, budget),
+    }
+    out = None
+    for stage, (_, estimate) in plans.items():
+        row = estimate.select(F.lit(stage).alias("stage"), "calls", "est_tokens_in", "est_tokens_out", "over_cap")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("""
+    SELECT p_partkey AS id, row_number() OVER (ORDER BY lower(p_name), p_partkey) AS place FROM part
+""")
+def collated_order(spark, d):
+    """The place of every part by its name as a reader sorts it (names of one case, so SQL's order is the same)."""
+    from weftline.operators.dedup import numbered
+
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.collate(F.lower("p_name"), "UNICODE").alias("name"))
+    return numbered(parts, ["name", "id"]).select("id", (F.col("n") + 1).alias("place"))
