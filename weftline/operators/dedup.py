@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from weftline.functions.text import fingerprint
 
-BLOCK = 2048
+#: Vectors of a block, and pivots that cells are made of, at most.
+BLOCK, PIVOTS = 2048, 256
 
 
 def exact_dup(rows: DataFrame, text: str, order: Sequence[str], key: str = "id") -> DataFrame:
@@ -51,43 +52,90 @@ def numbered(df: DataFrame, order: Sequence[str]) -> DataFrame:
     return parts.join(F.broadcast(before.select("_p", "_b")), "_p").withColumn("n", F.col("_b") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_p", "_b", "_m")
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK, group: str | None = None) -> DataFrame:
+def _unit(v: pd.Series) -> np.ndarray:
+    """Vectors as rows of length one (zero vectors stay)."""
+    m = np.array(v.tolist(), float).reshape(len(v), -1)
+    size = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(size == 0, 1, size)
+
+
+def cells(vectors: DataFrame, threshold: float, block: int, pivots: int = PIVOTS) -> DataFrame:
+    """Vectors dealt to cells such that every pair of cosine at least ``threshold`` meets in one: (cell, own, and all columns).
+
+    A cell has the vectors that lie nearest its pivot (``own``), and of cells of lower number those that the triangle
+    inequality of angles cannot keep off: whose angle to the pivot is at most the cell's radius and the threshold's angle. So
+    a vector visits few cells where vectors cluster, and no pair is missed anywhere. Pivots are ``pivots`` vectors at most,
+    whatever the number of vectors, taken by hash. Zero vectors are similar to nothing and left out; for a threshold
+    of zero or less all are in one cell.
+    """
+    if threshold <= 0:
+        return vectors.select(F.lit(0).alias("cell"), F.lit(True).alias("own"), *vectors.columns)
+    length = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    some = vectors.where(length > 0)
+    wanted = min(pivots, max(1, 2 * some.count() // block))
+    if wanted == 1:
+        return some.select(F.lit(0).alias("cell"), F.lit(True).alias("own"), *vectors.columns)
+    at = _unit(pd.Series([r["v"] for r in some.orderBy(F.xxhash64("n"), "n").limit(wanted).select("v").collect()]))
+
+    def angles(v: pd.Series) -> np.ndarray:
+        return np.arccos(np.clip(_unit(v) @ at.T, -1, 1))
+
+    @F.pandas_udf("struct<cell:int,angle:double>")
+    def nearest(v: pd.Series) -> pd.DataFrame:
+        found = angles(v)
+        cell = found.argmin(axis=1)
+        return pd.DataFrame({"cell": cell.astype(np.int32), "angle": found[np.arange(len(cell)), cell]})
+
+    radius = np.full(len(at), -np.inf)
+    for r in some.select(nearest("v").alias("c")).groupBy("c.cell").agg(F.max("c.angle").alias("r")).collect():
+        radius[r["cell"]] = r["r"]
+    reach = radius + np.arccos(min(1.0, threshold)) + 1e-6
+
+    @F.pandas_udf("array<int>")
+    def dealt(v: pd.Series) -> pd.Series:
+        found = angles(v)
+        cell = found.argmin(axis=1)
+        near = (found <= reach) & (np.arange(len(at)) > cell[:, None])
+        return pd.Series([np.r_[c, np.flatnonzero(x)].astype(np.int32) for c, x in zip(cell, near)])
+
+    placed = some.select(*vectors.columns, F.posexplode(dealt("v")).alias("_visit", "cell"))
+    return placed.select("cell", (F.col("_visit") == 0).alias("own"), *vectors.columns)
+
+
+def similar_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK, group: str | None = None, pivots: int = PIVOTS) -> DataFrame:
     """Pairs i < j (by place n) of cosine at least ``threshold``, of one ``group`` if that is given: (i, j, sim).
 
-    vectors: n long, v array<double>, of one length; places of a group follow one another. Vectors
-    are cut into blocks and each pair of blocks is one matrix product in one task, so memory is
-    bounded by two blocks however large a group is; every pair is compared, since no index that
-    misses pairs could give the scan's exact result.
+    vectors: n long, v array<double>, of one length. Vectors are dealt to cells (see cells()), and within a cell and
+    group its own vectors are compared with one another and with the visitors, block by block: a pair of blocks is one matrix
+    product in one task, so memory is bounded by two blocks however large a group or a cluster is. Exact.
     """
-    last = F.floor((F.max("n") - F.min("n")) / block).alias("last")
-    if group is None:
-        ends = vectors.agg(F.min("n").alias("from"), last).first()
-        own = vectors.select("n", "v", F.lit(0).alias("g"), F.lit(ends["from"]).cast("long").alias("from"), F.lit(ends["last"]).cast("long").alias("last"))
-    else:
-        own = vectors.select("n", "v", F.col(group).alias("g"))
-        ends = own.groupBy(F.col("g").alias("_g")).agg(F.min("n").alias("from"), last)
-        own = own.join(ends, F.col("g").eqNullSafe(F.col("_g"))).drop("_g")
-    own = own.withColumn("b", F.floor((F.col("n") - F.col("from")) / block))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("last")), lambda o: F.struct(F.least(o, F.col("b")).alias("lo"), F.greatest(o, F.col("b")).alias("hi")))
-    dealt = own.select("n", "v", "b", "g", F.explode(pairs).alias("p")).select("n", "v", "b", "g", "p.lo", "p.hi")
+    rows = cells(vectors.select("n", "v", (F.col(group) if group else F.lit(0)).alias("g")), threshold, block, pivots)
+    sizes = rows.groupBy(F.col("g").alias("_g"), F.col("cell").alias("_cell")).agg(F.greatest(F.ceil(F.count_if("own") / block), F.lit(1)).cast("int").alias("owns"), F.ceil(F.count_if(~F.col("own")) / block).cast("int").alias("visits"))
+    rows = rows.join(sizes, F.col("g").eqNullSafe(F.col("_g")) & (F.col("cell") == F.col("_cell")))
+    b = F.pmod(F.xxhash64("n"), F.when(F.col("own"), F.col("owns")).otherwise(F.greatest("visits", F.lit(1)))).cast("int").alias("b")
+    rows = rows.select("n", "v", "g", "cell", "own", "owns", "visits", b)
+    # Block pairs: lo and hi both own, or lo own and hi a block of visitors, which are numbered from -1 down.
+    upto = lambda k: F.when(k > 0, F.sequence(F.lit(0), k - 1)).otherwise(F.array().cast("array<int>"))
+    pair = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
+    mine = F.concat(F.transform(upto(F.col("owns")), lambda o: pair(F.least(o, F.col("b")), F.greatest(o, F.col("b")))), F.transform(upto(F.col("visits")), lambda k: pair(F.col("b"), -1 - k)))
+    theirs = F.transform(upto(F.col("owns")), lambda o: pair(o, -1 - F.col("b")))
+    dealt = rows.select("n", "v", "g", "cell", "own", "b", F.explode(F.when(F.col("own"), mine).otherwise(theirs)).alias("p")).select("n", "v", "own", "b", "g", "cell", "p.lo", "p.hi")
 
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("n")
-
-        def side(b: int) -> tuple[np.ndarray, np.ndarray]:
-            own = rows[rows["b"] == b]
-            m = np.array(own["v"].tolist(), float).reshape(len(own), -1)
-            size = np.linalg.norm(m, axis=1, keepdims=True)
-            return own["n"].to_numpy(), m / np.where(size == 0, 1, size)
-
-        (na, a), (nb, b) = side(key[1]), side(key[2])
-        sims = a @ b.T
+        lo, hi = key[2], key[3]
+        own = rows["own"].to_numpy()
+        left = rows[own & (rows["b"].to_numpy() == lo)]
+        right = rows[own & (rows["b"].to_numpy() == hi)] if hi >= 0 else rows[~own]
+        na, nb = left["n"].to_numpy(), right["n"].to_numpy()
+        if not len(na) or not len(nb):
+            return pd.DataFrame({"i": na[:0], "j": na[:0], "sim": np.zeros(0)})
+        sims = _unit(left["v"]) @ _unit(right["v"]).T
         i, j = np.nonzero(sims >= threshold)
-        keep = na[i] < nb[j]
+        keep = na[i] < nb[j] if lo == hi else na[i] != nb[j]
         i, j = i[keep], j[keep]
-        return pd.DataFrame({"i": na[i], "j": nb[j], "sim": sims[i, j]})
+        return pd.DataFrame({"i": np.minimum(na[i], nb[j]), "j": np.maximum(na[i], nb[j]), "sim": sims[i, j]})
 
-    return dealt.groupBy("g", "lo", "hi").applyInPandas(compare, "i long, j long, sim double")
+    return dealt.groupBy("g", "cell", "lo", "hi").applyInPandas(compare, "i long, j long, sim double")
 
 
 def greedy_survivors(edges: DataFrame) -> DataFrame:
@@ -112,13 +160,25 @@ def greedy_survivors(edges: DataFrame) -> DataFrame:
 
 
 def near_dup(vectors: DataFrame, threshold: float = 0.92, order: Sequence[str] = ("id",), key: str = "id", vector: str = "v") -> DataFrame:
-    """Rows dropped by the greedy scan over cosines: key, partner and similarity. Rows without a vector take no part."""
+    """Rows dropped by the greedy scan over cosines: key, partner and similarity. Rows without a vector take no part.
+
+    Equal vectors are one from the start, so copies of any number are no pairs: the scan drops each copy by the partner of the
+    first, or by the first itself where that stays.
+    """
     rows = numbered(vectors.where(F.col(vector).isNotNull() & (F.size(vector) > 0)), order)
     rows = rows.select("n", F.col(key).alias("_key"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
-    gone = greedy_survivors(similar_pairs(rows.select("n", "v"), threshold))
-    names = rows.select("n", "_key")
-    out = gone.join(names, "n").join(names.select(F.col("n").alias("partner"), F.col("_key").alias("_partner")), "partner")
-    return out.select(F.col("_key").alias(key), F.col("_partner").alias("partner_id"), "sim")
+    length = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    # A zero vector is similar to nothing, itself among it; beyond this threshold rounding decides, and copies are compared.
+    alike = (length > 0) & F.lit(0 < threshold <= 1 - 1e-9)
+    rows = rows.withColumn("_same", F.when(alike, F.sha2(F.to_json(F.struct("v")), 256)).otherwise(F.col("n").cast("string")))
+    first = rows.groupBy(F.col("_same").alias("_class")).agg(F.min("n").alias("first"))
+    rows = rows.join(first, F.col("_same") == F.col("_class")).select("n", "_key", "v", "first").checkpoint()
+    gone = greedy_survivors(similar_pairs(rows.where(F.col("n") == F.col("first")).select("n", "v"), threshold))
+    told = gone.select(F.col("n").alias("_gone"), F.col("partner").alias("_partner"), F.col("sim").alias("_sim"))
+    copies = rows.select("n", "_key", "first").join(told, F.col("first") == F.col("_gone"), "left")
+    dropped = copies.where(F.col("_gone").isNotNull() | (F.col("n") != F.col("first"))).select(F.col("_key").alias("_dropped"), F.coalesce("_partner", "first").alias("partner"), F.coalesce("_sim", F.lit(1.0)).alias("sim"))
+    out = dropped.join(rows.select(F.col("n").alias("partner"), F.col("_key").alias("_other")), "partner")
+    return out.select(F.col("_dropped").alias(key), F.col("_other").alias("partner_id"), "sim")
 
 
 def dup_mask(new: DataFrame, existing: DataFrame, threshold: float, group: str, order: str = "n", vector: str = "v", block: int = BLOCK) -> DataFrame:
