@@ -45,11 +45,15 @@ REFUSES = [
 SOLID = "regexp_matches(t, '(?m)`|^\\s*([0-9]+[.)]|[-*])\\s|\\$\\s?\\w|\\b\\w+\\s+/\\w|\\s--?\\w')"
 #: Texts of the driver hold no refusal phrase: an answer refuses if it is empty or of one to three words without substance.
 REFUSED = f"(t = '' OR (len(regexp_extract_all(t, '\\S+')) <= 3 AND NOT {SOLID} AND {{long}}) OR {' OR '.join(f'regexp_matches(t, {chr(39)}(?i){p}{chr(39)})' for p in REFUSES)})"
-REMOVED = f"""
-    b AS (SELECT doc_id, doc_id::VARCHAR AS id, coalesce(text, '') AS t FROM documents),
+
+
+def removals(base: str, threshold: float, refused: str) -> str:
+    """The cascade over texts ``b`` (doc_id, id, t) that ``base`` defines."""
+    return f"""
+    {base},
     h AS (SELECT *, first_value(id) OVER (PARTITION BY sha256({NORM.format("chr(10) || t")}) ORDER BY doc_id, id) AS first_id FROM b),
     nv AS (SELECT row_number() OVER (ORDER BY h.doc_id, h.id) AS n, h.id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM h JOIN embeddings ON vec_id = h.doc_id WHERE h.id = h.first_id),
-    ne AS (SELECT y.n AS j, list(x.n ORDER BY x.n) AS before FROM nv x JOIN nv y ON x.n < y.n WHERE list_cosine_similarity(x.v, y.v) >= 0.92 GROUP BY y.n),
+    ne AS (SELECT y.n AS j, list(x.n ORDER BY x.n) AS before FROM nv x JOIN nv y ON x.n < y.n WHERE list_cosine_similarity(x.v, y.v) >= {threshold} GROUP BY y.n),
     nd AS (SELECT n, row_number() OVER (ORDER BY n) AS k FROM (SELECT j AS n FROM ne UNION SELECT unnest(before) FROM ne)),
     ns AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS kept, NULL::BIGINT AS n, NULL::BIGINT AS partner
            UNION ALL
@@ -59,7 +63,7 @@ REMOVED = f"""
     m AS (SELECT id, CASE
             WHEN id <> first_id THEN 'exact_dup'
             WHEN partner_id IS NOT NULL THEN 'near_dup'
-            WHEN {REFUSED.format(long="false")} THEN 'refusal'
+            WHEN {refused} THEN 'refusal'
             WHEN {KINDS} <> '' THEN 'pii'
             WHEN length(t) < 40 OR length(t) > 12000 THEN 'length'
             WHEN NOT {ENGLISH} THEN 'language' END AS rule,
@@ -72,6 +76,9 @@ REMOVED = f"""
             WHEN 'length' THEN length(t)::VARCHAR || CASE WHEN length(t) < 40 THEN ' chars, minimum 40' ELSE ' chars, maximum 12000' END
             WHEN 'language' THEN 'not English' END AS reason FROM m WHERE rule IS NOT NULL)
 """
+
+
+REMOVED = removals("b AS (SELECT doc_id, doc_id::VARCHAR AS id, coalesce(text, '') AS t FROM documents)", 0.92, REFUSED.format(long="false"))
 SAID = """
     c AS (SELECT conv_id, list(struct_pack(turn := turn, role := role, text := text) ORDER BY turn, role, text) AS m FROM conversations GROUP BY conv_id)
 """

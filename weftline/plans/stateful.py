@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from weftline import schema
 from weftline.operators import admission, formats, nested, planners, records, reservations, taxonomy, views
 from weftline.operators.dedup import ensure_checkpoints
+from weftline.plans import sql
 from weftline.sources import commitlog
 from weftline.sources.adapters import conversation_rows, documents_as_rows
 from weftline.sources.tables import table
@@ -21,11 +22,11 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
+        if oracle is not None:
+            ORACLE_SQL[f.__name__] = oracle
         return f
 
     return add
@@ -346,3 +347,50 @@ def collated_order(spark, d):
 
     parts = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.collate(F.lower("p_name"), "UNICODE").alias("name"))
     return numbered(parts, ["name", "id"]).select("id", (F.col("n") + 1).alias("place"))
+
+
+# --- the cascade where every rule fires ---------------------------------------------------------
+
+#: Answers that stand in for the texts of some documents: by doc_id modulo 17, so that refusals, hedged and solid ones occur.
+ANSWERS = (
+    "I can't help with that request because it asks for things that go well beyond what is allowed here today.",
+    "I'm sorry, but I can not say more on this matter to you here. However, the rest of the plan is fine and works for all.",
+    "I cannot assist with this, but here is what you can do instead: read the manual with care and try it again.",
+    "I won't; run `ls` in that folder and see what it shows you then.",
+    "As an AI",
+    "Sure. I am unable to do it. But fine.",
+    "The plan is this. I'm not able to see it, and that is for the best of all of us in the end.",
+)
+
+
+def _answered(docs: DataFrame) -> DataFrame:
+    n = F.col("doc_id") % 17
+    text = F.col("text")
+    for k, answer in enumerate(ANSWERS):
+        text = F.when(n == k, F.concat(F.lit(answer), F.lit("" if k == 4 else " Case "), F.lit("") if k == 4 else F.col("doc_id").cast("string"))).otherwise(text)
+    return docs.withColumn("text", text)
+
+
+_QUOTED = [a.replace("'", "''") for a in ANSWERS]
+#: The whole rule of refusals: the first pattern in order, in the first sentence or in a short answer anywhere, no hedge after it, no substance.
+_FIRST = [f"WHEN regexp_matches({{0}}, '(?i){p}') THEN substr({{0}}, strpos({{0}}, regexp_extract({{0}}, '(?i){p}')) + length(regexp_extract({{0}}, '(?i){p}')))" for p in sql.REFUSES]
+_AFTER = f"CASE {' '.join(_FIRST)} END"
+_BASE = f"""
+    a AS (SELECT doc_id, CASE doc_id % 17 {' '.join(f"WHEN {k} THEN '{q}'" + ('' if k == 4 else " || ' Case ' || doc_id") for k, q in enumerate(_QUOTED))} ELSE coalesce(text, '') END AS t FROM documents),
+    s AS (SELECT doc_id, t, trim(t) AS u, len(regexp_extract_all(t, '\\S+')) AS words,
+                 nullif(regexp_extract(trim(t), '(?s)^(.*?[.!?])\\s', 1), '') AS by_mark, nullif(regexp_extract(trim(t), '(?s)^(.*?)\\n', 1), '') AS by_line FROM a),
+    f AS (SELECT *, CASE WHEN by_mark IS NULL THEN coalesce(by_line, u) WHEN by_line IS NULL OR length(by_mark) < length(by_line) THEN by_mark ELSE by_line END AS one FROM s),
+    g AS (SELECT *, coalesce({_AFTER.format("one")}, CASE WHEN words < 12 THEN {_AFTER.format("u")} END) AS after FROM f),
+    b AS (SELECT doc_id, doc_id::VARCHAR AS id, t, u = '' OR after IS NOT NULL AND NOT regexp_matches(after, '(?i)\\b(but|however|though|although|that said|instead)\\b') AND NOT {sql.SOLID} AS refused FROM g)
+"""
+_ALL_RULES = sql.removals(_BASE, 0.35, "refused")
+
+
+@query(f"WITH RECURSIVE {_ALL_RULES} SELECT id, rule, reason FROM removed")
+def cascade_all_rules(spark, d):
+    """The cascade over documents some of which refuse, with vectors at a threshold that has pairs: all six rules remove rows."""
+    from weftline.operators import curation
+
+    rows = documents_as_rows(_answered(table(spark, d, "documents")))
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    return curation.removals(rows, curation.FilterConfig(near_dup_threshold=0.35), vectors)
