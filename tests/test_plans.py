@@ -178,3 +178,23 @@ def test_budget_replay_of_a_hot_project_equals_a_loop(spark):
             stop = (n, c[0]) if stop[0] is None and spend + 1e-9 >= 18 else stop
         want[p] = (len(own), round(spend, 6), *stop)
     assert got == want
+
+
+@pytest.mark.parametrize("shuffled", [10, 100, 10**6])
+def test_large_strata_are_split_by_a_permutation(spark, shuffled):
+    from weftline.operators import sampling
+
+    sizes = {"a": 7, "b": 60, "c": 333, "": 12}
+    items = [(f"{k or 'none'}{i:04d}", k or None) for k, n in sizes.items() for i in range(n)]
+    random.Random(3).shuffle(items)
+    df = spark.createDataFrame(items, "id string, stratum string").repartition(5)
+    got = sampling.stratified_split(df, 0.15, 7, shuffled=shuffled).where("split = 'eval'").collect()
+    wanted = sampling.quotas(sizes, 0.15, 7)
+    assert {k: sum((r["stratum"] or "") == k for r in got) for k in sizes} == wanted
+    for name, n in sizes.items():
+        if n <= shuffled:
+            order = list(range(n))
+            random.Random(f"7:{name}").shuffle(order)
+            assert {r["id"] for r in got if (r["stratum"] or "") == name} == {f"{name or 'none'}{i:04d}" for i in order[: wanted[name]]}
+    again = sampling.stratified_split(df.repartition(2), 0.15, 7, shuffled=shuffled).where("split = 'eval'").collect()
+    assert sorted(r["id"] for r in again) == sorted(r["id"] for r in got)
