@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline import schema
-from weftline.operators import admission, formats, nested, planners, records, reservations, taxonomy, views
+from weftline.operators import admission, choices, formats, nested, planners, records, reservations, taxonomy, views
 from weftline.operators.dedup import ensure_checkpoints
 from weftline.plans import sql
 from weftline.sources import commitlog
@@ -349,6 +349,42 @@ def collated_order(spark, d):
     return numbered(parts, ["name", "id"]).select("id", (F.col("n") + 1).alias("place"))
 
 
+@query("""
+    WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS n FROM orders)
+    SELECT o_orderkey AS id, ['a/x', 'b/y', 'c/z'][n % 3 + 1] AS teacher, CASE WHEN n % 3 = 1 THEN 'east' END AS provider FROM o
+""")
+def teachers_in_turn(spark, d):
+    """A teacher for each order as a prompt, in turns by age and id, with the slot that serves it."""
+    ensemble = [choices.Slot("a/x"), choices.Slot("b/y", provider="east"), choices.Slot("c/z")]
+    prompts = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("created_at"))
+    return choices.with_slot(choices.teachers(prompts, ensemble, "p"), ensemble).select("id", "teacher", F.col("slot.provider").alias("provider"))
+
+
+@query("""
+    SELECT event_id AS target_id, CASE WHEN event_id % 6 < 3 THEN user_id WHEN event_id % 6 = 3 THEN event_id END AS n,
+           CASE event_id % 6 WHEN 0 THEN 'json_schema' WHEN 5 THEN NULL ELSE 'plain' END AS mode, event_id % 6 = 3 AS repaired,
+           CASE event_id % 6 WHEN 3 THEN 3 WHEN 4 THEN 3 WHEN 5 THEN 0 ELSE 1 END::BIGINT AS cost,
+           CASE event_id % 6 WHEN 4 THEN 'did not validate after repair' WHEN 5 THEN 'status 500' END AS error
+    FROM events
+""")
+def structured_replies(spark, d):
+    """Recorded calls for structured replies: some refused in a mode, some repaired, some beyond repair."""
+    n, user = F.col("event_id"), F.col("user_id")
+    call = lambda mode, status, reply, cost: F.struct(F.lit(mode).alias("mode"), F.lit(status).cast("int").alias("status"), reply.alias("reply"), F.lit(cost).cast("double").alias("cost_usd"))
+    told, none = F.concat(F.lit('Here it is: {"n": '), user, F.lit("}")), F.lit(None).cast("string")
+    own = F.concat(F.lit('{"n": '), n, F.lit("}"))
+    calls = (
+        F.when(n % 6 == 0, F.array(call("json_schema", 200, told, 1)))
+        .when(n % 6 < 3, F.array(call("plain", None, told, 1), call("json_schema", 400, none, 0)))
+        .when(n % 6 == 3, F.array(call("plain", 200, F.lit("n is this"), 1), call("repair", 200, own, 2)))
+        .when(n % 6 == 4, F.array(call("plain", 200, F.lit("n is this"), 1), call("repair", 200, F.lit("still"), 2)))
+        .otherwise(F.array(call("json_schema", 500, none, 0), call("plain", 200, told, 1)))
+    )
+    rows = table(spark, d, "events").select(n.alias("target_id"), F.explode(calls).alias("c")).select("target_id", "c.*")
+    out = choices.structured_outcomes(rows, "struct<n:bigint>")
+    return out.select("target_id", F.col("value.n").alias("n"), "mode", "repaired", F.col("cost_usd").cast("long").alias("cost"), "error")
+
+
 # --- the cascade where every rule fires ---------------------------------------------------------
 
 #: Answers that stand in for the texts of some documents: by doc_id modulo 17, so that refusals, hedged and solid ones occur.
