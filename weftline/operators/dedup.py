@@ -172,7 +172,7 @@ def near_dup(vectors: DataFrame, threshold: float = 0.92, order: Sequence[str] =
     alike = (length > 0) & F.lit(0 < threshold <= 1 - 1e-9)
     rows = rows.withColumn("_same", F.when(alike, F.sha2(F.to_json(F.struct("v")), 256)).otherwise(F.col("n").cast("string")))
     first = rows.groupBy(F.col("_same").alias("_class")).agg(F.min("n").alias("first"))
-    rows = rows.join(first, F.col("_same") == F.col("_class")).select("n", "_key", "v", "first").checkpoint()
+    rows = rows.join(first, F.col("_same") == F.col("_class")).select("n", "_key", "v", "first")
     gone = greedy_survivors(similar_pairs(rows.where(F.col("n") == F.col("first")).select("n", "v"), threshold))
     told = gone.select(F.col("n").alias("_gone"), F.col("partner").alias("_partner"), F.col("sim").alias("_sim"))
     copies = rows.select("n", "_key", "first").join(told, F.col("first") == F.col("_gone"), "left")
