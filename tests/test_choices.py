@@ -75,3 +75,18 @@ def test_pairs_from_attempts(spark, strategy):
     assert got["r1"] == ("Something else entirely", strategy, flaw, 2, 0.3, None)
     assert got["r2"] == (("only the third differs", "corruptor+hightemp", flaw, 3, 0.4, None) if strategy == "corruptor" else (*none, 2, 0.1, "no attempt differs enough"))
     assert got["r3"] == (*none, 1, 0.5, "no attempt differs enough") and got["r4"] == (*none, 0, 0.0, "no attempt differs enough")
+
+
+def test_blind_order_and_specs_are_the_generators_draws(spark):
+    from weftline.operators import sampling, scoring
+
+    df = spark.createDataFrame([(f"p{k % 3}", f"t{k}") for k in range(60)], "p string, t string").repartition(3)
+    got = {(r["p"], r["t"]): r["a"] for r in df.select("p", "t", scoring.chosen_is_a(F.col("p"), F.col("t")).alias("a")).collect()}
+    assert got == {(f"p{k % 3}", f"t{k}"): seeded(f"p{k % 3}", f"t{k}").random() < 0.5 for k in range(60)} and len(set(got.values())) == 2
+    personas, styles = [("Ann", 2.0), ("Bob", 1.0), ("Nil", 0.0)], [("question", 1.0), ("command", 3.0)]
+    want = []
+    for leaf, n in (("l1", 4), ("l2", 0), ("l3", 9)):
+        rng = seeded("p", leaf)
+        want += [(leaf, k, drawn_choice(rng, personas), drawn_choice(rng, styles), rng.random() * 100 < 40) for k in range(n)]
+    leaves = spark.createDataFrame([("l1", 4), ("l2", 0), ("l3", 9)], "leaf_id string, n int")
+    assert sorted(tuple(r) for r in sampling.specs(leaves, "p", personas, styles, 40.0).collect()) == sorted(want)
