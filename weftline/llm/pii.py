@@ -460,22 +460,30 @@ def _rows(spans: list[Span]) -> list[dict[str, object]]:
 
 
 def redacted(docs: DataFrame, field: Field) -> DataFrame:
-    """``docs`` with every span of ``text`` replaced by its kind in brackets; a null text stays null."""
+    """``docs`` with every span of ``text`` replaced by its kind in brackets; a null text stays null, other columns stay.
+
+    Texts are searched and masked in one go, so they pass to Python once and one worker a task holds the field.
+    """
+    small_batches(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast(field)
 
     @F.pandas_udf("string")
-    def masked(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([_masked(t, s) if t is not None else None for t, s in zip(texts, spans)])
+    def masked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        decoder = Decoder(held.value)
+        for texts in batches:
+            whole = texts.fillna("").tolist()
+            spans = [joined(base_spans(t), more) for t, more in zip(whole, field_spans(decoder, whole))]
+            yield pd.Series([None if gone else _masked(t, s) for t, s, gone in zip(whole, spans, texts.isna())], dtype=object)
 
-    out = with_spans(docs, field)
-    return out.withColumn("text", F.when(F.size("spans") > 0, masked("text", "spans")).otherwise(F.col("text"))).drop("base", "spans")
+    return docs.withColumn("text", masked.asNondeterministic()("text"))
 
 
-def _masked(text: str, spans: Iterable) -> str:
+def _masked(text: str, spans: Iterable[Span]) -> str:
     out, at = [], 0
-    for s in spans:
-        if s["end"] > at:
-            out += [text[at : s["start"]], f"[{s['kind']}]"] if s["start"] >= at else []
-            at = s["end"]
+    for kind, start, end in spans:
+        if end > at:
+            out += [text[at:start], f"[{kind}]"] if start >= at else []
+            at = end
     return "".join(out) + text[at:]
 
 
