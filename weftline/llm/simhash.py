@@ -205,6 +205,8 @@ SMALL = 64
 FEW = 4
 #: Nodes of a tile and bytes of its sets; two tiles are compared by one task.
 TILE, TILE_BYTES = 128, 1 << 23
+#: Rows (a key's node with its fingerprint) that one group of keys holds, about.
+MEETING_ROWS = 100_000
 #: Keeps products that are whole numbers from being rounded past themselves.
 ROUNDING = 1e-9
 
@@ -448,7 +450,9 @@ def meetings(keyed: DataFrame, placed: DataFrame, words: int, least: float, bloc
         out = np.unique(np.concatenate(found), axis=0)
         return pa.table([pa.array(out[:, c], pa.int64()) for c in range(3)], ["i", "j", "id"])
 
-    part = F.pmod(F.xxhash64("key", "i", "j"), F.lit(4096)).alias("part")
+    # Nodes of a large group meet at many keys: the fewer groups keys are dealt to, the more of that folds where it is found.
+    rows = keyed.agg(F.sum(F.ceil(F.col("m") / block)).alias("n")).first()["n"] or 0
+    part = F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(1, -(-rows // MEETING_ROWS)))).alias("part")
     return written(dealt.groupBy(part).applyInArrow(compare, "i long, j long, id long").distinct(), "meetings")
 
 
