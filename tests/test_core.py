@@ -375,6 +375,39 @@ def test_paths_and_slugs(spark):
     assert {r["id"]: r["slug"] for r in taxonomy.unique_slugs(named).collect()} == {"1": "a", "2": "a-2", "3": "a-2-2", "4": "a-3"}
 
 
+def plain_slugs(rows):
+    taken, out = set(), {}
+    for at, k, slug in sorted((at, k, slug) for k, slug, at in rows):
+        name, n = slug, 2
+        while name in taken:
+            name, n = f"{slug}-{n}", n + 1
+        taken.add(name)
+        out[k] = name
+    return out
+
+
+def test_slugs_are_unique_as_one_after_the_other(spark):
+    rng = random.Random(5)
+    rows = []
+    for family in range(40):
+        pool = [f"f{family}", *[f"f{family}" + "".join(f"-{rng.choice((0, 2, 3, 4, 5, 7, 12, '02'))}" for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(0, 9))]]
+        weights = [rng.choice((1, 3, 10)) for _ in pool]
+        rows += [(slug, rng.randrange(30)) for slug in rng.choices(pool, weights, k=rng.randint(2, 30))]
+    rows = [(f"k{k}", slug, at) for k, (slug, at) in enumerate(rows)]
+    got = {r["id"]: r["slug"] for r in taxonomy.unique_slugs(spark.createDataFrame(rows, "id string, slug string, `order` int")).collect()}
+    assert got == plain_slugs(rows) and len(set(got.values())) == len(rows)
+
+
+def test_a_slug_of_many_rows_is_numbered_at_once(spark):
+    """One after the other, from 2 on for each, these would take 800 million looks."""
+    nodes = spark.range(40_000).select(F.col("id"), F.lit("same").alias("slug"), (-F.col("id")).alias("order"))
+    from time import monotonic
+
+    started = monotonic()
+    got = taxonomy.unique_slugs(nodes).agg(F.count_distinct("slug").alias("n"), F.max(F.when(F.col("id") == 0, F.col("slug"))).alias("last")).first()
+    assert (got["n"], got["last"]) == (40_000, "same-40000") and monotonic() - started < 30
+
+
 def test_bundle(spark, tmp_path):
     rows = full_rows(spark, [{"messages": [U(f"q{k}"), A(f"answer {k}")]} for k in range(20)])
     path, counts = export.bundle(rows, None, f"{tmp_path}/set", "set", export.ExportConfig(formats=("sft", "alpaca"), eval_share=0.1))

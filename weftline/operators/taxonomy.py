@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import slugify
-from weftline.operators.dedup import ensure_checkpoints
+from weftline.operators.dedup import ensure_checkpoints, numbered
 from weftline.sources.commitlog import Snapshots
 
 
@@ -44,26 +44,81 @@ def planned(nodes: DataFrame) -> DataFrame:
     return nodes.where("is_leaf").agg(F.count(F.lit(1)).alias("leaves"), F.count_if("is_negative").alias("negative"), F.sum(F.coalesce("rows_per_leaf", F.lit(0))).alias("target_rows"))
 
 
-def unique_slugs(nodes: DataFrame, slug: str = "slug", order: str = "order") -> DataFrame:
-    """``nodes`` whose slugs are unique: later ones of a slug get -2, -3 and so on, passing over taken ones.
+#: A slug that may also be a later one of a shorter slug: that slug and the number.
+LATER = r"(?s)^(.*)-([1-9][0-9]{0,17})$"
+
+
+def _placed(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """``rows`` with ``_k``, their place from 0 within ``by``, counted by ranges so that a value of most rows lies in many tasks."""
+    placed = numbered(rows, [by, *order])
+    first = placed.groupBy(F.col(by).alias("_of")).agg(F.min("n").alias("_first"))
+    return placed.join(first, F.col(by).eqNullSafe(F.col("_of"))).withColumn("_k", F.col("n") - F.col("_first")).drop("n", "_of", "_first")
 
-    Suffixed names of one base can only clash with slugs that begin with the base, so whole
-    families (the slug without trailing numbers) are numbered together.
+
+def _settled(clashes: DataFrame) -> DataFrame:
+    """Of the slugs that clash (family, longer, shorter, number, before): slug, base (whether its first row may have it) and from, or null.
+
+    ``before`` counts the rows of the shorter slug before the first of the longer one. The rows that need a number take them in order, so the
+    longer slug has lost its name if the row that comes to the number does so before; otherwise all rows from that one on pass over it.
+    A family's slugs, not its rows, are in one task.
     """
     import pandas as pd
 
-    def number(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows, taken, out = rows.sort_values([order, "id"]), set(), []
-        for s in rows[slug]:
-            name, n = s, 2
-            while name in taken:
-                name, n = f"{s}-{n}", n + 1
-            taken.add(name)
-            out.append(name)
-        return rows.assign(**{slug: out}).drop(columns="_family")
-
-    family = F.regexp_replace(slug, "(-[0-9]+)+$", "")
-    return nodes.withColumn("_family", family).groupBy("_family").applyInPandas(number, nodes.schema)
+    def settle(pairs: pd.DataFrame) -> pd.DataFrame:
+        lost, out = set(), []
+        pairs = pairs.assign(_size=pairs["shorter"].str.len()).sort_values(["_size", "shorter", "number"])
+        for slug, own in pairs.groupby("shorter", sort=False):
+            base, passed = slug not in lost, 0
+            for longer, number, before in zip(own["longer"], own["number"], own["before"]):
+                at = number - 1 - passed
+                if before - base >= at:
+                    lost.add(longer)
+                else:
+                    out.append((slug, base, at))
+                    passed += 1
+        every = dict.fromkeys([*pairs["shorter"], *pairs["longer"]])
+        return pd.DataFrame([(x, x not in lost, None) for x in every] + out, columns=["settled", "base", "from"]).astype({"from": "Int64"})
+
+    return clashes.groupBy("family").applyInPandas(settle, "settled string, base boolean, `from` long")
+
+
+def unique_slugs(nodes: DataFrame, slug: str = "slug", order: str = "order") -> DataFrame:
+    """``nodes`` whose slugs are unique: later ones of a slug (by order, then id) get -2, -3 and so on, passing over taken ones.
+
+    Rows are numbered within their slug by ranges, whatever the number of rows of one slug. A number can be taken by one other slug only,
+    the one that is spelt so; where nodes have both and the numbers reach it, it is settled from counts which of them has it (see _settled()).
+    """
+    late = F.col(order).isNull()
+    by = ["_late", order, "id"]
+    rows = nodes.withColumn("_late", late)
+    placed = _placed(rows, slug, by).checkpoint()
+    known = placed.groupBy(F.col(slug).alias("_s")).agg(F.count(F.lit(1)).alias("_rows"), F.min(F.struct(*by)).alias("_at")).checkpoint()
+    longer = known.select(F.col("_s").alias("longer"), F.col("_at"), F.regexp_extract("_s", LATER, 1).alias("shorter"), F.regexp_extract("_s", LATER, 2).try_cast("long").alias("number")).where("number >= 2")
+    met = longer.join(known.select(F.col("_s").alias("_shorter"), "_rows"), F.col("shorter") == F.col("_shorter")).drop("_shorter")
+    # Only as many numbers are reached as the shorter slug has rows and passes over.
+    kin = met.groupBy(F.col("shorter").alias("_kin")).agg(F.count(F.lit(1)).alias("_longer"))
+    met = met.join(kin, F.col("shorter") == F.col("_kin")).where(F.col("number") <= 1 + F.col("_rows") + F.col("_longer")).select("longer", "shorter", "number", "_at").checkpoint()
+    name = lambda n: F.when(n == 1, F.col(slug)).otherwise(F.concat(F.col(slug), F.lit("-"), n.cast("string")))
+    if met.isEmpty():
+        return placed.withColumn(slug, name(F.col("_k") + 1)).select(*nodes.columns)
+    # The first rows of the longer slugs, put among those of the shorter one, count what comes before them.
+    shorter = met.select(F.col("shorter").alias("_shorter")).distinct()
+    none = F.lit(None)
+    own = placed.join(shorter, F.col(slug) == F.col("_shorter"), "left_semi").select(F.col(slug).alias("_s"), *by, none.cast("string").alias("longer"), none.cast("long").alias("number"))
+    marks = met.select("shorter", *[F.col("_at")[c] for c in by], "longer", "number")
+    marks = _placed(own.union(marks), "_s", by).where("longer IS NOT NULL")
+    before = F.col("_k") - F.row_number().over(Window.partitionBy("_s").orderBy("_k")) + 1
+    clashes = marks.select(F.regexp_replace("_s", "(-[0-9]+)+$", "").alias("family"), "longer", F.col("_s").alias("shorter"), "number", before.alias("before"))
+    settled = _settled(clashes).checkpoint()
+    # Likewise the rows from which a number is passed over, put among the rows, count what each row passes over.
+    base = settled.where(F.col("from").isNull()).select(F.col("settled").alias("_settled"), F.when(F.col("base"), 0).otherwise(1).alias("_shift"))
+    rest = placed.join(base, F.col(slug) == F.col("_settled"), "left")
+    hit = rest.where("_settled IS NOT NULL").select(F.col(slug).alias("_s"), (F.col("_k") + F.col("_shift")).alias("_j"), F.lit(1).alias("_kind"), F.col("_k").alias("_own"), F.struct(*[F.col(c) for c in nodes.columns]).alias("_row"))
+    steps = settled.where(F.col("from").isNotNull()).select("settled", "from", F.lit(0), none.cast("long"), none.cast(nodes.schema))
+    hit = _placed(hit.union(steps), "_s", ["_j", "_kind"]).where("_kind = 1")
+    hit = hit.select("_row.*", (1 + F.col("_j") + F.col("_k") - F.col("_own")).alias("_n"))
+    free = rest.where("_settled IS NULL").select(*nodes.columns, (F.col("_k") + 1).alias("_n"))
+    return free.unionByName(hit).withColumn(slug, name(F.col("_n"))).select(*nodes.columns)
 
 
 def marked_negative(nodes: DataFrame, ids: DataFrame) -> DataFrame:
