@@ -69,3 +69,37 @@ def test_scan_with_copies(spark, threshold):
         assert set(got) <= {k for k in range(len(m)) if any(np.array_equal(m[i], m[k]) for i in range(k))}
     else:
         assert got == want
+
+
+@pytest.mark.parametrize(("threshold", "look"), [(0.3, 8), (0.3, 40), (0.8, 8), (0.97, 24), (0.0, 16)])
+def test_rounds_scan_as_one_after_the_other(spark, threshold, look):
+    """Groups, vectors that are never dropped, copies and a zero vector; also with pairs left for the end."""
+    m = clustered(6, 9, 22, 0.5)
+    group, fixed = np.arange(len(m)) % 2, np.random.default_rng(6).random(len(m)) < 0.2
+    u = m / np.where(np.linalg.norm(m, axis=1, keepdims=True) == 0, 1, np.linalg.norm(m, axis=1, keepdims=True))
+    kept, want = [], {}
+    for k in range(len(m)):
+        by = next((i for i in kept if group[i] == group[k] and float(u[i] @ u[k]) >= threshold), None)
+        if by is None or fixed[k]:
+            kept.append(k)
+        else:
+            want[k] = by
+    rows = spark.createDataFrame([(k, v.tolist(), str(group[k]), bool(fixed[k])) for k, v in enumerate(m)], "n long, v array<double>, g string, fixed boolean").repartition(3)
+    got = D.greedy_scan(rows, threshold, 16, look).collect()
+    assert {r["n"]: r["partner"] for r in got} == want and len(got) == len(want)
+    assert all(abs(r["sim"] - u[r["n"]] @ u[r["partner"]]) < 1e-9 for r in got)
+
+
+def test_pairs_send_each_vector_to_a_bounded_number_of_blocks(spark):
+    """Vectors that do not cluster: their copies sent grow with their number, whatever the size of a block."""
+    m = np.random.default_rng(7).standard_normal((600, 16))
+    assert D.cells(table(spark, m), 0.9, 4).count() == len(m)
+    got = D.similar_pairs(table(spark, m), 0.6, 4).collect()
+    assert {(r["i"], r["j"]) for r in got} == plain(m, 0.6)[0] and got
+
+
+def test_many_neighbours_are_not_listed(spark, monkeypatch):
+    monkeypatch.setattr(D, "similar_pairs", lambda *a, **k: pytest.fail("neighbours were listed"))
+    m = np.abs(np.random.default_rng(8).standard_normal((300, 8)))
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(m)], "id long, v array<double>")
+    assert D.near_dup(rows, 0.5).count() > 250
