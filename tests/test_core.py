@@ -428,3 +428,12 @@ def test_secret_stops_a_write(spark, tmp_path):
     items = spark.createDataFrame([("1", "sk-or-abc")], "id string, line string")
     with pytest.raises(Exception, match="secret"):
         files.write_lines(items, f"{tmp_path}/x.jsonl")
+
+
+def test_rules_look_at_texts_once(spark):
+    """The plan of what is removed reads written ids and reasons, not the rows and their texts again."""
+    rows = full_rows(spark, [{"messages": [U("q"), A(f"answer {k}")]} for k in range(4)] + [{"messages": [U("q"), A("answer 1")]}])
+    removed = curation.removals(rows)
+    assert {r["id"]: r["rule"] for r in removed.collect()}["r4"] == "exact_dup"
+    plan = removed._jdf.queryExecution().optimizedPlan().toString()
+    assert "messages" not in plan and "Join" not in plan

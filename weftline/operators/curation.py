@@ -32,6 +32,12 @@ def texts(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"_whole": conversation_text(messages), "_asked": first_user_text(messages), "_answer": assistant_text(messages)})
 
 
+def evaluated(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with columns that are computed once a row: Spark puts an expression that is merely named into every place that uses it."""
+    made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return rows.select("*", made.alias("_made")).select(*rows.columns, *[F.col("_made")[n].alias(n) for n in columns])
+
+
 def row_reason(config: FilterConfig, rules: Sequence[str] = RULES) -> Column:
     """rule and reason of the first rule that looks at one row alone and removes it, or null."""
     whole, asked, answer = F.col("_whole"), F.col("_asked"), F.col("_answer")
@@ -54,22 +60,25 @@ def removals(rows: DataFrame, config: FilterConfig | None = None, vectors: DataF
     """id, rule and reason of every candidate row that the cascade removes.
 
     Exact duplicates go by a minimum per hash, near duplicates by the greedy scan over what that
-    left, and the other four rules are one expression over the survivors.
+    left, and the other four rules are one expression over the survivors. What a rule removes is written (ids and
+    reasons alone), so no rule runs the ones before it again.
     """
     config = config or FilterConfig()
+    dedup.ensure_checkpoints(rows.sparkSession)
     left = texts(rows.where(F.col("status").isin(*schema.CANDIDATE)).withColumn("_at", F.coalesce("created_at", F.lit(0.0))))
     out = None
     if "exact_dup" in rules and "exact_dup" in config.enabled:
         same = dedup.exact_dup(left, "_whole", ["_at", "id"])
-        out = same.select("id", F.lit("exact_dup").alias("rule"), F.concat(F.lit("identical to "), F.col("first_id")).alias("reason"))
+        out = same.select("id", F.lit("exact_dup").alias("rule"), F.concat(F.lit("identical to "), F.col("first_id")).alias("reason")).checkpoint()
         left = left.join(out.select("id"), "id", "left_anti")
     if vectors is not None and "near_dup" in rules and "near_dup" in config.enabled:
         held = left.select("id", "_at").join(vectors.select("id", "v"), "id")
         near = dedup.near_dup(held, config.near_dup_threshold, ["_at", "id"])
-        near = near.select("id", F.lit("near_dup").alias("rule"), F.format_string("cosine %.3f with %s", "sim", "partner_id").alias("reason"))
+        near = near.select("id", F.lit("near_dup").alias("rule"), F.format_string("cosine %.3f with %s", "sim", "partner_id").alias("reason")).checkpoint()
         out = near if out is None else out.unionByName(near)
         left = left.join(near.select("id"), "id", "left_anti")
-    rest = left.select("id", row_reason(config, rules).alias("_r")).where(F.col("_r").isNotNull()).select("id", "_r.rule", "_r.reason")
+    said = evaluated(left.select("id", "messages"), _whole=conversation_text(F.col("messages")), _asked=first_user_text(F.col("messages")), _answer=assistant_text(F.col("messages")))
+    rest = evaluated(said.select("id", "_whole", "_asked", "_answer"), _r=row_reason(config, rules)).where(F.col("_r").isNotNull()).select("id", "_r.rule", "_r.reason").checkpoint()
     return rest if out is None else out.unionByName(rest)
 
 

@@ -27,6 +27,9 @@ def exact_dup(rows: DataFrame, text: str, order: Sequence[str], key: str = "id")
     costs one row a task; a window would gather the whole group in one task.
     """
     narrow = rows.select(F.col(key).alias("_key"), F.struct(*[F.col(c) for c in order], F.col(key).alias("_id")).alias("_at"), fingerprint(F.col(text)).alias("_sha"))
+    ensure_checkpoints(rows.sparkSession)
+    # Written (a hash a row): it is read twice, and texts need not be.
+    narrow = narrow.checkpoint()
     first = narrow.groupBy("_sha").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     found = narrow.join(first, "_sha").where(F.col("_at") != F.col("_first"))
     return found.select(F.col("_key").alias(key), F.col("_first._id").alias("first_id"))
