@@ -437,3 +437,14 @@ def test_rules_look_at_texts_once(spark):
     assert {r["id"]: r["rule"] for r in removed.collect()}["r4"] == "exact_dup"
     plan = removed._jdf.queryExecution().optimizedPlan().toString()
     assert "messages" not in plan and "Join" not in plan
+
+
+def test_noise_holds_few_texts_at_once(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "10000")
+        docs = spark.createDataFrame([(k, f"Some words, number {k}, that may change." if k else None) for k in range(30)], "id int, text string")
+        assert sampling.noisy(docs, "p", 0.5).count() == 30 and int(spark.conf.get(name)) <= sampling.BATCH
+    finally:
+        spark.conf.set(name, before)
