@@ -145,3 +145,23 @@ def test_keys_lose_no_pair(spark):
     assert sorted(map(sorted, kept.values())) == sorted(sorted(own) for own in keys.values() if len(own) > simhash.FEW)
     assert pairs <= together == pairs | {pair for own in kept.values() for pair in itertools.combinations(sorted(own), 2)}
     assert pairs >= {pair for own in keys.values() if len(own) <= simhash.FEW for pair in itertools.combinations(sorted(own), 2)}
+
+
+def test_a_node_of_large_keys_gives_one_pair_at_first(spark):
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 1 << 63, 2, dtype=np.int64)
+    # 200 fingerprints a few bits apart share very many keys with very many different least ids.
+    wide = [[int(w) ^ sum(1 << int(b) for b in rng.integers(0, 62, 6)) for w in base] for _ in range(200)]
+    nodes = spark.createDataFrame([(i, x) for i, x in enumerate(wide)], "id long, wide array<long>")
+    shared = simhash.met(nodes, 24, 2, len(wide))
+    stars = [tuple(r) for r in simhash.starred(shared).collect()]
+    large = {r["b"] for r in shared.where("kind = 1").collect()}
+    assert len(stars) == len({b for _, b in stars}) and 100 < len(stars) < len(large) and all(a < b for a, b in stars)
+    # All that share a large key are still to be looked at.
+    keys: dict[int, list[int]] = {}
+    for r in shared.where("kind = 1").collect():
+        keys.setdefault(r["a"], []).append(r["b"])
+    assert all(len(set(x)) == len(x) > simhash.FEW for x in keys.values())
+    assert len(stars) < len({(min(x), b) for x in keys.values() for b in x if b != min(x)})
+    pairs = shared.where("kind = 0").select("a", "b").distinct().count()
+    assert pairs <= 1.5 * sum(1 for _ in wide) * 30

@@ -286,9 +286,9 @@ def described(docs: DataFrame, k: int, words: int) -> DataFrame:
 def met(nodes: DataFrame, bits: int, words: int, rows: int) -> DataFrame:
     """Nodes (id, wide) that share a key in some table.
 
-    kind 0 are pairs (a, b): all of a key that up to FEW nodes have, else of its least id with each other. kind 1 are
-    (key, id) of the keys that more nodes have, whose other pairs are still to be looked at. Pairs are
-    at most 1.5 times as many as the nodes' keys.
+    kind 0 are pairs (a, b): all of a key that up to FEW nodes have. kind 1 are (key, id) of the keys that more nodes
+    have, whose pairs are still to be looked at. kind 2 are pairs of a node of such keys and the least id of most of its keys
+    in a bucket, with their number c: see starred().
     """
     masks = np.array(covering_masks(RADIUS, 2 * bits), np.uint64)
     table_of = mixed(np.arange(1, words * len(masks) + 1, dtype=np.uint64))
@@ -315,19 +315,31 @@ def met(nodes: DataFrame, bits: int, words: int, rows: int) -> DataFrame:
         keys, ids = keys[order], ids[order]
         _, first, of, sizes = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
         several = sizes[of] > FEW
-        # A key of many nodes gives a star: the same few least ids lead most keys of a group, so its pairs repeat and fold.
         star = np.flatnonzero(several & (ids[first[of]] != ids))
-        found = [np.stack([ids[first[of[star]]], ids[star]], axis=1)]
+        stars, times = np.unique(np.stack([ids[star], ids[first[of[star]]]], axis=1), axis=0, return_counts=True)
+        best = np.lexsort((stars[:, 1], -times, stars[:, 0]))
+        stars, times = stars[best], times[best]
+        own = np.flatnonzero(np.r_[True, stars[1:, 0] != stars[:-1, 0]]) if len(stars) else np.zeros(0, np.int64)
+        found = [np.zeros((0, 2), np.int64)]
         for step in range(1, FEW):
             at = np.flatnonzero((of[step:] == of[:-step]) & ~several[step:])
             found.append(np.stack([ids[at], ids[at + step]], axis=1))
         pairs = np.unique(np.concatenate(found), axis=0)
-        a, b = np.r_[pairs[:, 0], keys[several].view(np.int64)], np.r_[pairs[:, 1], ids[several]]
-        kind = np.r_[np.zeros(len(pairs), np.int32), np.ones(several.sum(), np.int32)]
-        return pa.table([pa.array(kind, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["kind", "a", "b"])
+        parts = ((0, pairs[:, 0], pairs[:, 1], None), (1, keys[several].view(np.int64), ids[several], None), (2, stars[own, 1], stars[own, 0], times[own]))
+        kind, a, b, c = (np.concatenate(x) for x in zip(*[(np.full(len(a), k, np.int32), a, b, np.ones(len(a), np.int64) if c is None else c) for k, a, b, c in parts]))
+        return pa.table([pa.array(kind, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], ["kind", "a", "b", "c"])
 
     dealt = nodes.select("id", "wide").mapInArrow(deal, "bucket int, keys binary, ids binary, first long")
-    return written(dealt.groupBy("bucket").applyInArrow(gather, "kind int, a long, b long"), "met", ["kind"])
+    return written(dealt.groupBy("bucket").applyInArrow(gather, "kind int, a long, b long, c long"), "met", ["kind"])
+
+
+def starred(shared: DataFrame) -> DataFrame:
+    """Pairs (a, b) that join most of the nodes which crossing() would find apart: a node of large keys and the least id of most of them.
+
+    One a node, however many keys a group's nodes share: the rest of a large key's pairs is crossing()'s, by tiles.
+    """
+    times = shared.where("kind = 2").groupBy("a", "b").agg(F.sum("c").alias("c"))
+    return times.groupBy("b").agg(F.max(F.struct("c", (-F.col("a")).alias("a")))["a"].alias("a")).select((-F.col("a")).alias("a"), "b")
 
 
 def judged(pairs: DataFrame, nodes: DataFrame, words: int, least: float) -> DataFrame:
@@ -519,7 +531,7 @@ def similar(docs: DataFrame, k: int = WORDS, least: float = LEAST) -> DataFrame:
     nodes = rows.groupBy("node").agg(first, F.first("n").alias("n"), F.first("wide").alias("wide"))
     nodes = written(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
     shared = met(nodes, bits, words, n)
-    pairs = written(shared.where("kind = 0").select("a", "b").distinct(), "pairs")
+    pairs = written(shared.where("kind = 0").select("a", "b").union(starred(shared)).distinct(), "pairs")
     edges = linked(pairs, docs, nodes, k, words, least)
     roots = rooted(edges, nodes)
     more = crossing(shared.where("kind = 1"), roots, docs, nodes, k, words, least)
