@@ -243,21 +243,32 @@ def secret_paths(spark, d):
 """)
 def reread_exports(spark, d):
     """Conversations exported in five formats into one table of lines, read back and exported again: lines, equal ones, rejected ones."""
-    talks = conversation_rows(table(spark, d, "conversations"))
+    folder = _folder(spark, "reread")
+
+    def step(df: DataFrame, name: str, *by: str) -> DataFrame:
+        # Written out, as Spark puts an expression in place of every use of its column, and these are used many times.
+        df.write.option("compression", "zstd").partitionBy(*by).parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    talks = step(conversation_rows(table(spark, d, "conversations")).select("messages", "metadata", "tools"), "talks")
     ended = talks.where(F.get("messages", F.size("messages") - 1)["role"] == "assistant")
     own = F.filter("messages", lambda m: m["role"] == "assistant")
     pairs = ended.withColumn("_own", own).where("size(_own) > 1").select("metadata", F.slice("messages", F.lit(1), F.size("messages") - 1).alias("prompt"), F.slice("_own", F.size("_own"), F.lit(1)).alias("chosen"), F.slice("_own", 1, 1).alias("rejected"))
     lines = None
     for fmt, items in (("sft", talks), ("tools", talks), ("alpaca", ended), ("grpo", ended), ("dpo", pairs)):
-        made = formats.formatted(items, fmt, True).select(F.lit(fmt).alias("fmt"), "line")
+        made = formats.formatted(items, fmt, True).select("line")
         lines = made if lines is None else lines.unionByName(made)
-    parsed = records.parsed_lines(lines.checkpoint() if ensure_checkpoints(spark) is None else lines, None, "line")
+    parsed = step(records.parsed_lines(step(lines, "lines"), None, "line"), "parsed", "format")
+    rows = step(records.rows_of(parsed).select("messages", "tools", "metadata", "format"), "rows", "format")
     again = formats.formatted(records.pairs_of(parsed), "dpo", True).select(F.lit("dpo").alias("format"), "line")
     for fmt in ("sft", "tools", "alpaca", "grpo"):
-        again = again.unionByName(formats.formatted(records.rows_of(parsed).where(F.col("format") == fmt), fmt, True).select(F.lit(fmt).alias("format"), "line"))
-    kept = again.groupBy("format", "line").agg(F.count(F.lit(1)).alias("again"))
-    told = parsed.groupBy("format", "line").agg(F.count(F.lit(1)).alias("n"), F.count("reason").alias("bad"))
-    return told.join(kept, ["format", "line"], "left").groupBy("format").agg(F.sum("n").alias("lines"), F.sum(F.least("n", F.coalesce("again", F.lit(0)))).alias("same"), F.sum("bad").alias("rejected"))
+        again = again.unionByName(formats.formatted(rows.where(F.col("format") == fmt), fmt, True).select(F.lit(fmt).alias("format"), "line"))
+    # Lines meet by their SHA-256, so no text is shuffled.
+    of = F.sha2("line", 256).alias("of")
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    told = parsed.select("format", of, one.alias("n"), F.when(F.col("reason").isNotNull(), one).otherwise(none).alias("bad"), none.alias("again"))
+    both = told.unionByName(again.select("format", of, none.alias("n"), none.alias("bad"), one.alias("again"))).groupBy("format", "of").agg(*[F.sum(c).alias(c) for c in ("n", "bad", "again")])
+    return both.groupBy("format").agg(F.sum("n").alias("lines"), F.sum(F.least("n", "again")).alias("same"), F.sum("bad").alias("rejected"))
 
 
 @query()
