@@ -1,9 +1,10 @@
 """What queries do once however large their tables are."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from weftline.plans import stateful
 from weftline.sources.tables import table
+from weftline.streaming import runs
 
 
 def test_lines_are_parsed_once(spark):
@@ -14,3 +15,31 @@ def test_lines_are_parsed_once(spark):
     n, ended, pairs = talks.count(), talks.where("ended = 'assistant'").count(), talks.where("ended = 'assistant' AND replies > 1").count()
     want = {"sft": n, "tools": n, "alpaca": ended, "grpo": ended, "dpo": pairs}
     assert {r["format"]: (r["lines"], r["same"], r["rejected"]) for r in found.collect()} == {k: (v, v, 0) for k, v in want.items() if v}
+
+
+def test_a_fold_reads_and_writes_its_state_once():
+    calls = []
+
+    class State:
+        value = None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+    class Handle:
+        def getValueState(self, name, schema):  # noqa: N802
+            return State()
+
+    fold = runs.ItemFold()
+    fold.init(Handle())
+    item = Row(*[c.split()[0] for c in runs.ITEM.split(", ")])
+    for k in range(3):
+        rows = [item("r", f"{k}{n:02d}", float(n), "error" if n % 2 else "done", 1, 0.5, f"E{k}{n}") for n in range(40)]
+        got = list(fold.handleInputRows(("r",), iter(rows), None))
+        assert [(r["done"], r["errors"], r["spend_usd"], r["state"]) for r in got] == [(40 * k + 40, 20 * k + 20, 20.0 * k + 20, "running")]
+    assert calls == ["get", "update"] * 3
