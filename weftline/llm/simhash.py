@@ -207,6 +207,8 @@ FEW = 4
 TILE, TILE_BYTES = 128, 1 << 23
 #: Rows (a key's node with its fingerprint) that one group of keys holds, about.
 MEETING_ROWS = 100_000
+#: Keys of a bucket, about, that are sorted and compared at once.
+RANGE = 1 << 18
 #: Keeps products that are whole numbers from being rounded past themselves.
 ROUNDING = 1e-9
 
@@ -283,6 +285,53 @@ def described(docs: DataFrame, k: int, words: int) -> DataFrame:
     return rows.select("doc_id", "text_hash", "_m.*")
 
 
+def key_ranges(packed_keys: pa.ChunkedArray, packed_ids: pa.ChunkedArray, firsts: pa.ChunkedArray, entries: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and ids of packed runs in order, about ``entries`` at a time; all of a key come together."""
+    held = []
+    for x, y, first in zip(packed_keys, packed_ids, firsts):
+        keys = run_values(x.as_py())
+        ids = unsqueezed(y.as_py(), len(keys)).view(np.int64)
+        held.append((keys, ids.astype(np.int32) if len(ids) and ids.max() < 1 << 31 else ids, first.as_py()))
+    total = sum(len(keys) for keys, _, _ in held)
+    # Ends of the ranges: of so many keys of each run, evenly taken, those that part the whole evenly.
+    parts = max(1, -(-total // entries))
+    marks = np.sort(np.concatenate([keys[:: max(1, len(keys) // (4 * parts))] for keys, _, _ in held])) if parts > 1 else np.zeros(0, np.uint64)
+    ends = np.unique(marks[np.arange(1, parts) * len(marks) // parts]) if parts > 1 else marks
+    cuts = [np.r_[0, np.searchsorted(keys, ends, "right"), len(keys)] for keys, _, _ in held]
+    for k in range(len(ends) + 1):
+        keys = np.concatenate([x[at[k] : at[k + 1]] for (x, _, _), at in zip(held, cuts)])
+        ids = np.concatenate([y[at[k] : at[k + 1]].astype(np.int64) + first for (_, y, first), at in zip(held, cuts)])
+        order = np.lexsort((ids, keys))
+        yield keys[order], ids[order]
+
+
+def gathered(packed_keys: pa.ChunkedArray, packed_ids: pa.ChunkedArray, firsts: pa.ChunkedArray, entries: int = RANGE) -> tuple[np.ndarray, ...]:
+    """kind, a, b and c of met() for a bucket's packed runs; what is worked on at once is a range of its keys."""
+    pairs, large, stars, times = [np.zeros((0, 2), np.int64)], [np.zeros((2, 0), np.int64)], np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
+    for keys, ids in key_ranges(packed_keys, packed_ids, firsts, entries):
+        new = np.r_[True, keys[1:] != keys[:-1]][: len(keys)]
+        first = np.flatnonzero(new)
+        of = np.cumsum(new) - 1
+        several = np.diff(np.r_[first, len(keys)])[of] > FEW
+        star = np.flatnonzero(several & ~new)
+        star = star[ids[star] != ids[first[of[star]]]]
+        if len(star):
+            both, at = np.unique(np.concatenate([stars, np.stack([ids[star], ids[first[of[star]]]], axis=1)]), axis=0, return_inverse=True)
+            stars, times = both, np.bincount(at.ravel(), np.r_[times, np.ones(len(star), np.int64)], len(both)).astype(np.int64)
+        own = []
+        for step in range(1, FEW):
+            at = np.flatnonzero((of[step:] == of[:-step]) & ~several[step:])
+            own.append(np.stack([ids[at], ids[at + step]], axis=1))
+        pairs.append(np.unique(np.concatenate(own), axis=0))
+        large.append(np.stack([keys[several].view(np.int64), ids[several]]))
+    best = np.lexsort((stars[:, 1], -times, stars[:, 0]))
+    stars, times = stars[best], times[best]
+    own = np.flatnonzero(np.r_[True, stars[1:, 0] != stars[:-1, 0]]) if len(stars) else np.zeros(0, np.int64)
+    pairs, large = np.unique(np.concatenate(pairs), axis=0), np.concatenate(large, axis=1)
+    parts = ((0, pairs[:, 0], pairs[:, 1], None), (1, large[0], large[1], None), (2, stars[own, 1], stars[own, 0], times[own]))
+    return tuple(np.concatenate(x) for x in zip(*[(np.full(len(a), k, np.int32), a, b, np.ones(len(a), np.int64) if c is None else c) for k, a, b, c in parts]))
+
+
 def met(nodes: DataFrame, bits: int, words: int, rows: int) -> DataFrame:
     """Nodes (id, wide) that share a key in some table.
 
@@ -307,26 +356,8 @@ def met(nodes: DataFrame, bits: int, words: int, rows: int) -> DataFrame:
                 out = [(bucket, run_bytes(keys[at]), squeezed(own[at].view(np.uint64)), int(ids[0])) for bucket, at in split_by(keys >> np.uint64(64 - buckets) if buckets else np.zeros(len(keys), np.uint64))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary(), pa.int64()))], ["bucket", "keys", "ids", "first"])
 
-    def gather(key: tuple, table: pa.Table) -> pa.Table:
-        keys = [run_values(x) for x in table["keys"].to_pylist()]
-        ids = np.concatenate([unsqueezed(x, len(k)).view(np.int64) + first for x, k, first in zip(table["ids"].to_pylist(), keys, table["first"].to_pylist())])
-        keys = np.concatenate(keys)
-        order = np.lexsort((ids, keys))
-        keys, ids = keys[order], ids[order]
-        _, first, of, sizes = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-        several = sizes[of] > FEW
-        star = np.flatnonzero(several & (ids[first[of]] != ids))
-        stars, times = np.unique(np.stack([ids[star], ids[first[of[star]]]], axis=1), axis=0, return_counts=True)
-        best = np.lexsort((stars[:, 1], -times, stars[:, 0]))
-        stars, times = stars[best], times[best]
-        own = np.flatnonzero(np.r_[True, stars[1:, 0] != stars[:-1, 0]]) if len(stars) else np.zeros(0, np.int64)
-        found = [np.zeros((0, 2), np.int64)]
-        for step in range(1, FEW):
-            at = np.flatnonzero((of[step:] == of[:-step]) & ~several[step:])
-            found.append(np.stack([ids[at], ids[at + step]], axis=1))
-        pairs = np.unique(np.concatenate(found), axis=0)
-        parts = ((0, pairs[:, 0], pairs[:, 1], None), (1, keys[several].view(np.int64), ids[several], None), (2, stars[own, 1], stars[own, 0], times[own]))
-        kind, a, b, c = (np.concatenate(x) for x in zip(*[(np.full(len(a), k, np.int32), a, b, np.ones(len(a), np.int64) if c is None else c) for k, a, b, c in parts]))
+    def gather(_: tuple, table: pa.Table) -> pa.Table:
+        kind, a, b, c = gathered(table["keys"], table["ids"], table["first"])
         return pa.table([pa.array(kind, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], ["kind", "a", "b", "c"])
 
     dealt = nodes.select("id", "wide").mapInArrow(deal, "bucket int, keys binary, ids binary, first long")
