@@ -2,6 +2,8 @@
 
 from pyspark.sql import Row, functions as F
 
+from weftline import schema
+from weftline.operators import taxonomy
 from weftline.plans import stateful
 from weftline.sources.tables import table
 from weftline.streaming import runs
@@ -43,3 +45,13 @@ def test_a_fold_reads_and_writes_its_state_once():
         got = list(fold.handleInputRows(("r",), iter(rows), None))
         assert [(r["done"], r["errors"], r["spend_usd"], r["state"]) for r in got] == [(40 * k + 40, 20 * k + 20, 20.0 * k + 20, "running")]
     assert calls == ["get", "update"] * 3
+
+
+def test_a_replaced_tree_is_walked_once(spark, monkeypatch):
+    walks = []
+    chains = taxonomy.chains
+    monkeypatch.setattr(taxonomy, "chains", lambda *a, **k: walks.append(a) or chains(*a, **k))
+    new = spark.createDataFrame([("a", None, None, "A", None, True, 1, None, None, None), ("b", "a", None, "B", None, False, 0, None, None, 2), ("c", None, None, "B", None, False, 0, None, None, None)], taxonomy.TREE)
+    out = {r["label"] + str(r["depth"]): (r["slug"], r["is_negative"], r["is_leaf"]) for r in taxonomy.replacement(spark.createDataFrame([], schema.TOPIC_NODES), new, "p", 4).collect()}
+    assert out == {"A0": ("a", True, False), "B1": ("b-2", True, True), "B0": ("b", False, True)}
+    assert len(walks) == 1

@@ -141,15 +141,16 @@ def replacement(old: DataFrame, new: DataFrame, project_id: str, rows_per_leaf:
     have a difficulty, a task type and rows. A tree with a cycle, a repeated key or a repeated id is refused.
     """
     kept = old.where(F.col("project_id") == project_id).select(F.col("id").alias("_id"), F.col("label").alias("_label"), F.col("slug").alias("_slug"))
-    above = chains(new, "key", "parent_key")
-    if not above.where("cyclic").isEmpty() or not new.groupBy("key").count().where("count > 1").isEmpty() or not new.where("id IS NOT NULL").groupBy("id").count().where("count > 1").isEmpty():
-        raise ValueError("a tree must have no cycle, and no key or id twice")
     # Siblings are numbered, so that the numbers from the root sort nodes in order of the walk.
     place = F.row_number().over(Window.partitionBy("parent_key").orderBy(F.coalesce("order", F.lit(0)), "key")) - 1
     placed = new.withColumns({"order": F.coalesce("order", place).cast("int"), "_place": place})
-    walk = chains(placed, "key", "parent_key", "_place").select(F.col("id").alias("_key"), F.transform(F.reverse("chain"), lambda x: F.lpad(x.cast("string"), 10, "0")).alias("_walk"))
+    # Keys and numbers go up in one walk, since each walk is a join and a written table for every doubling of the depth.
+    above = chains(placed.withColumn("_step", F.struct("key", "_place")), "key", "parent_key", "_step")
+    if not above.where("cyclic").isEmpty() or not new.groupBy("key").count().where("count > 1").isEmpty() or not new.where("id IS NOT NULL").groupBy("id").count().where("count > 1").isEmpty():
+        raise ValueError("a tree must have no cycle, and no key or id twice")
+    walk = above.select(F.col("id").alias("_key"), F.transform(F.reverse("chain"), lambda x: F.lpad(x["_place"].cast("string"), 10, "0")).alias("_walk"))
     bad = placed.where(F.coalesce("is_negative", F.lit(False))).select(F.col("key").alias("_bad"))
-    negative = above.select(F.col("id").alias("_neg"), F.explode("chain").alias("_up")).join(bad, F.col("_up") == F.col("_bad"), "left_semi").select("_neg").distinct()
+    negative = above.select(F.col("id").alias("_neg"), F.explode("chain.key").alias("_up")).join(bad, F.col("_up") == F.col("_bad"), "left_semi").select("_neg").distinct()
     inner = new.select(F.col("parent_key").alias("_inner")).where("_inner IS NOT NULL").distinct()
     known = placed.join(kept, F.col("id") == F.col("_id"), "left").join(walk, F.col("key") == F.col("_key")).join(negative, F.col("key") == F.col("_neg"), "left").join(inner, F.col("key") == F.col("_inner"), "left")
     leaf = F.col("_inner").isNull()
