@@ -209,6 +209,8 @@ TILE, TILE_BYTES = 128, 1 << 23
 MEETING_ROWS = 100_000
 #: Keys of a bucket, about, that are sorted and compared at once.
 RANGE = 1 << 18
+#: Keys of a group of nodes, about; pairs of nodes that it holds at once; and fingerprints that it compares at once.
+ENTRIES, PAIRS, COMPARED = 1 << 19, 1 << 20, 1 << 16
 #: Keeps products that are whole numbers from being rounded past themselves.
 ROUNDING = 1e-9
 
@@ -305,9 +307,24 @@ def key_ranges(packed_keys: pa.ChunkedArray, packed_ids: pa.ChunkedArray, firsts
         yield keys[order], ids[order]
 
 
-def gathered(packed_keys: pa.ChunkedArray, packed_ids: pa.ChunkedArray, firsts: pa.ChunkedArray, entries: int = RANGE) -> tuple[np.ndarray, ...]:
+def reached(ids: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The least of ``ids`` (distinct, in order) that each of them reaches over edges between them."""
+    a, b = np.searchsorted(ids, edges[:, 0]), np.searchsorted(ids, edges[:, 1])
+    least = np.arange(len(ids))
+    while True:
+        low, new = np.minimum(least[a], least[b]), least.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if np.array_equal(new, least):
+            return ids[least]
+        least = new
+
+
+def gathered(packed_keys: pa.ChunkedArray, packed_ids: pa.ChunkedArray, firsts: pa.ChunkedArray, entries: int = RANGE, listed: bool = True) -> tuple[np.ndarray, ...]:
     """kind, a, b and c of met() for a bucket's packed runs; what is worked on at once is a range of its keys."""
     pairs, large, stars, times = [np.zeros((0, 2), np.int64)], [np.zeros((2, 0), np.int64)], np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
+    grouped = np.zeros(0, np.int64)
     for keys, ids in key_ranges(packed_keys, packed_ids, firsts, entries):
         new = np.r_[True, keys[1:] != keys[:-1]][: len(keys)]
         first = np.flatnonzero(new)
@@ -323,24 +340,38 @@ def gathered(packed_keys: pa.ChunkedArray, packed_ids: pa.ChunkedArray, firsts:
             at = np.flatnonzero((of[step:] == of[:-step]) & ~several[step:])
             own.append(np.stack([ids[at], ids[at + step]], axis=1))
         pairs.append(np.unique(np.concatenate(own), axis=0))
-        large.append(np.stack([keys[several].view(np.int64), ids[several]]))
+        if listed:
+            large.append(np.stack([keys[several].view(np.int64), ids[several]]))
+        else:
+            grouped = np.union1d(grouped, ids[several])
     best = np.lexsort((stars[:, 1], -times, stars[:, 0]))
     stars, times = stars[best], times[best]
     own = np.flatnonzero(np.r_[True, stars[1:, 0] != stars[:-1, 0]]) if len(stars) else np.zeros(0, np.int64)
     pairs, large = np.unique(np.concatenate(pairs), axis=0), np.concatenate(large, axis=1)
-    parts = ((0, pairs[:, 0], pairs[:, 1], None), (1, large[0], large[1], None), (2, stars[own, 1], stars[own, 0], times[own]))
+    inside = np.isin(pairs[:, 0], grouped) & np.isin(pairs[:, 1], grouped)
+    least = grouped if listed else reached(grouped, np.concatenate([stars, pairs[inside]]))
+    parts = ((0, pairs[~inside, 0], pairs[~inside, 1], None), (1, large[0], large[1], None), (2, stars[own, 1], stars[own, 0], times[own]), (3, least, grouped, None))
     return tuple(np.concatenate(x) for x in zip(*[(np.full(len(a), k, np.int32), a, b, np.ones(len(a), np.int64) if c is None else c) for k, a, b, c in parts]))
 
 
-def met(nodes: DataFrame, bits: int, words: int, rows: int) -> DataFrame:
+def key_tables(bits: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Masks of every word's tables, and the numbers that tell all tables' keys apart, word by word."""
+    masks = np.array(covering_masks(RADIUS, 2 * bits), np.uint64)
+    return masks, mixed(np.arange(1, words * len(masks) + 1, dtype=np.uint64))
+
+
+def met(nodes: DataFrame, bits: int, words: int, rows: int, listed: bool = True) -> DataFrame:
     """Nodes (id, wide) that share a key in some table.
 
     kind 0 are pairs (a, b): all of a key that up to FEW nodes have. kind 1 are (key, id) of the keys that more nodes
     have, whose pairs are still to be looked at. kind 2 are pairs of a node of such keys and the least id of most of its keys
     in a bucket, with their number c: see starred().
+
+    Not ``listed``, there is no kind 1, but kind 3: (a, b) of every node b of such keys in a bucket, one a bucket, with the
+    least node a that it reaches there over keys. Pairs of two such nodes of a bucket are left out, as partners() finds all
+    that these nodes share.
     """
-    masks = np.array(covering_masks(RADIUS, 2 * bits), np.uint64)
-    table_of = mixed(np.arange(1, words * len(masks) + 1, dtype=np.uint64))
+    masks, table_of = key_tables(bits, words)
     buckets = max(0, (rows * words * len(masks) // 2_000_000).bit_length())
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,7 +388,7 @@ def met(nodes: DataFrame, bits: int, words: int, rows: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary(), pa.int64()))], ["bucket", "keys", "ids", "first"])
 
     def gather(_: tuple, table: pa.Table) -> pa.Table:
-        kind, a, b, c = gathered(table["keys"], table["ids"], table["first"])
+        kind, a, b, c = gathered(table["keys"], table["ids"], table["first"], listed=listed)
         return pa.table([pa.array(kind, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], ["kind", "a", "b", "c"])
 
     dealt = nodes.select("id", "wide").mapInArrow(deal, "bucket int, keys binary, ids binary, first long")
@@ -438,34 +469,122 @@ def linked(candidates: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, wor
     return written(sure.unionByName(verified(doubt, docs, nodes, k, least)), "edges")
 
 
-def tiled(shared: DataFrame, roots: DataFrame, nodes: DataFrame, tile: int, tile_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """(key, id, m) of the keys whose m nodes are of several components, and these nodes with root, n, wide and tile.
+def tiled(groups: DataFrame, stars: DataFrame, roots: DataFrame, nodes: DataFrame, tile: int, tile_bytes: int) -> DataFrame:
+    """id, root, n, wide, hub, m and tile of the nodes of large keys, where a hub's m nodes are of several components.
 
-    A node's hub is the component that most nodes of one of its keys belong to, so a component and
-    the strays around it have one hub. A hub's nodes are dealt evenly into tiles of about ``tile``
-    nodes and sets of ``tile_bytes`` at most.
+    Nodes whose ``groups`` (a, b: kind 3 of met()) hang together have one hub; nodes of two hubs share no key.
+    Within it, nodes whose ``stars`` hang together are dealt evenly into tiles of about ``tile`` nodes and sets of ``tile_bytes`` at most.
     """
-    placed = shared.select(F.col("a").alias("key"), F.col("b").alias("id")).join(roots, "id")
-    per = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-    keys = per.groupBy("key").agg(F.count(F.lit(1)).alias("_roots"), F.sum("c").alias("m"), F.max(F.struct("c", F.col("root").alias("hub"))).alias("most")).where("_roots > 1")
-    placed = written(placed.join(keys.select("key", "m", "most"), "key"), "mixed")
-    hubs = placed.groupBy("id").agg(F.first("root").alias("root"), F.max("most")["hub"].alias("hub"))
-    hubs = written(hubs.join(nodes.select("id", "n", "wide"), "id"), "hubs")
+
+    def placed(rows: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+        found = components(edges).withColumnRenamed("root", "_root")
+        return rows.join(found, F.col("id") == F.col("node"), "left").withColumn(name, F.coalesce("_root", "id")).drop("node", "_root")
+
+    hubs = placed(placed(groups.select(F.col("b").alias("id")).distinct(), groups, "hub"), stars, "star")
+    hubs = written(hubs.join(roots, "id").join(nodes.select("id", "n", "wide"), "id"), "hubs")
+    mixed_hubs = hubs.groupBy("hub").agg(F.count(F.lit(1)).alias("m"), (F.min("root") < F.max("root")).alias("_mixed")).where("_mixed").drop("_mixed")
     tiles = F.greatest(F.ceil(F.count(F.lit(1)) / tile), F.ceil(8 * F.sum("n") / tile_bytes), F.lit(1))
-    sizes = hubs.groupBy("hub").agg(tiles.alias("tiles"))
-    own = F.xxhash64("hub", F.pmod(F.xxhash64("id"), F.col("tiles"))).alias("tile")
-    return placed.select("key", "id", "m"), written(hubs.join(sizes, "hub").select("id", "root", "n", "wide", own), "tiles")
+    sizes = hubs.groupBy("star").agg(tiles.alias("tiles"))
+    own = F.xxhash64("star", F.pmod(F.xxhash64("id"), F.col("tiles"))).alias("tile")
+    return written(hubs.join(mixed_hubs, "hub").join(sizes, "star").select("id", "root", "n", "wide", "hub", "m", own), "tiles")
 
 
-def meetings(keyed: DataFrame, placed: DataFrame, words: int, least: float, block: int = BLOCK) -> DataFrame:
+def partnered(keys: np.ndarray, own: np.ndarray, ids: np.ndarray, root: np.ndarray, n: np.ndarray, tile: np.ndarray, wide: np.ndarray, least: float, limit: int, block: int = BLOCK, pairs: int = PAIRS) -> tuple[np.ndarray, ...]:
+    """kind, a, b and id of partners() for entries (keys, own: a place in the nodes' columns) of whole keys.
+
+    Pairs are made key by key, each with the next, the one after it and so on; ``pairs`` of them, about, are held at once.
+    """
+    order = np.argsort(keys, kind="stable")
+    keys, own = keys[order], own[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    size = np.diff(np.r_[first, len(keys)])
+    several = np.minimum.reduceat(root[own], first) != np.maximum.reduceat(root[own], first) if len(first) else np.zeros(0, bool)
+    m, place = np.repeat(size, size), np.arange(len(keys)) - np.repeat(first, size)
+    over = np.repeat(several & (size > block), size)
+    _, tile_of = np.unique(tile, return_inverse=True)
+    tiles, count = int(tile_of.max(initial=0)) + 1, len(ids)
+    held, found = [np.zeros(0, np.int64)], np.zeros(0, np.int64)
+
+    def compared(codes: np.ndarray) -> np.ndarray:
+        """Nodes by pairs of tiles, as numbers, of the pairs whose fingerprints allow similarity."""
+        out = [np.zeros(0, np.int64)]
+        for a in range(0, len(codes), COMPARED):
+            x, y = codes[a : a + COMPARED] // count, codes[a : a + COMPARED] % count
+            near = np.bitwise_count(wide[x] ^ wide[y]).sum(axis=1, dtype=np.int64) <= limit
+            x, y = x[near], y[near]
+            both = np.minimum(tile_of[x], tile_of[y]) * tiles + np.maximum(tile_of[x], tile_of[y])
+            out.append(np.unique(np.concatenate([both * count + x, both * count + y])))
+        return np.concatenate(out)
+
+    left = np.flatnonzero(np.repeat(several & (size <= block), size))
+    for step in range(1, int(m[left].max(initial=1))):
+        left = left[place[left] + step < m[left]]
+        x, y = own[left], own[left + step]
+        fits = (root[x] != root[y]) & (np.minimum(n[x], n[y]) >= np.maximum(n[x], n[y]) * least - ROUNDING)
+        held.append(np.minimum(x, y)[fits] * count + np.maximum(x, y)[fits])
+        if sum(map(len, held)) > pairs:
+            found = np.union1d(found, compared(np.unique(np.concatenate(held))))
+            held = held[:1]
+    found = np.union1d(found, compared(np.unique(np.concatenate(held))))
+    of = np.unique(tile)
+    both, node = found // max(count, 1), found % max(count, 1)
+    parts = ((0, of[both // tiles], of[both % tiles], ids[node]), (1, keys[over].view(np.int64), m[over], ids[own[over]]))
+    return tuple(np.concatenate(x) for x in zip(*[(np.full(len(a), kind, np.int32), a, b, c) for kind, a, b, c in parts]))
+
+
+def partners(placed: DataFrame, bits: int, words: int, least: float, entries: int = ENTRIES, block: int = BLOCK) -> DataFrame:
     """(i, j, id): the nodes of two tiles (or one) that have a partner there: another component's node that shares
     a key and whose size and fingerprint allow similarity.
 
-    Never more rows than two a pair, and no more a node than there are tiles that it has partners in.
-    Keys of over ``block`` nodes are compared block by block, a pair of blocks a group of its own.
+    Never more rows than two a pair, and no more a node than there are tiles that it has partners in, for each group that it is in.
+    A node goes once, with its fingerprint, to the group of its hub, where all keys are made; a hub of over ``entries`` keys is
+    parted by keys, so that no node goes to more groups than it has keys. Only keys of over ``block`` nodes are
+    listed, with their number m, where these are of several components: meetings() compares them block by block.
     """
     share, total = apart(least), 64 * words
     limit = math.ceil(share * total + 5 * math.sqrt(share * (1 - share) * total))
+    masks, table_of = key_tables(bits, words)
+    each = words * len(masks)
+    names = ["id", "root", "n", "tile", "wide"]
+
+    def keys_of(wide: pa.Array | pa.ChunkedArray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+        wide = wide.to_numpy(zero_copy_only=False).view(np.uint64).reshape(rows, words)
+        return wide, mixed((wide[:, :, None] & masks).reshape(rows, each) ^ table_of)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, len(batch), 256):
+                rows = batch.slice(a, 256)
+                splits = rows["splits"].to_numpy().astype(np.uint64)
+                keys = keys_of(rows["wide"].flatten(), len(rows))[1] % splits[:, None]
+                keys.sort(axis=1)
+                node, at = np.nonzero(np.diff(keys.astype(np.int64), axis=1, prepend=-1))
+                out = pa.Table.from_batches([rows]).take(pa.array(node)).append_column("split", pa.array(keys[node, at].astype(np.int64)))
+                yield from out.select(["part", "splits", "split", *names]).combine_chunks().to_batches()
+
+    def compare(_: tuple, table: pa.Table) -> pa.Table:
+        splits, split, ids, root, n, tile = (table[c].to_numpy().astype(np.int64) for c in ("splits", "split", "id", "root", "n", "tile"))
+        wide, keys = keys_of(table["wide"].combine_chunks().flatten(), len(ids))
+        node, at = np.nonzero(keys % splits.astype(np.uint64)[:, None] == split.astype(np.uint64)[:, None])
+        out = partnered(keys[node, at], node, ids, root, n, tile, wide, least, limit, block)
+        return pa.table([pa.array(x, t) for x, t in zip(out, (pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["kind", "a", "b", "id"])
+
+    # Hubs of fewer keys share groups; each part of a larger one is a group of its own.
+    groups = max(1, -(-placed.count() * each // entries))
+    splits = F.ceil(F.col("m") * each / entries).cast("long")
+    part = F.when(splits > 1, F.col("hub")).otherwise(-1 - F.pmod(F.xxhash64("hub"), F.lit(groups)))
+    form = "part long, splits long, split long, id long, root long, n int, tile long, wide array<long>"
+    dealt = placed.select(part.alias("part"), splits.alias("splits"), *names).mapInArrow(deal, form)
+    found = written(dealt.groupBy("part", "split").applyInArrow(compare, "kind int, a long, b long, id long"), "partners", ["kind"])
+    meeting = found.where("kind = 0").select(F.col("a").alias("i"), F.col("b").alias("j"), "id").distinct()
+    keyed = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("m"), "id")
+    return written(meeting if keyed.isEmpty() else meeting.union(meetings(keyed, placed.drop("hub", "m"), words, least, block)).distinct(), "meetings")
+
+
+def meetings(keyed: DataFrame, placed: DataFrame, words: int, least: float, block: int = BLOCK) -> DataFrame:
+    """partners() by the keys (key, id, m) alone; those of over ``block`` nodes are compared block by block, a pair of blocks a group of its own."""
+    share, total = apart(least), 64 * words
+    limit = math.ceil(share * total + 5 * math.sqrt(share * (1 - share) * total))
     blocks = F.ceil(F.col("m") / block).cast("int")
     mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("mine")).alias("i"), F.greatest(o, F.col("mine")).alias("j")))
@@ -527,14 +646,14 @@ def joined_sets(ids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], leas
     return out
 
 
-def crossing(shared: DataFrame, roots: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, words: int, least: float, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> DataFrame:
-    """Edges (a, b) between similar nodes of different components that share a key (a: key, b: id), a forest a pair of tiles.
+def crossing(groups: DataFrame, stars: DataFrame, roots: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, bits: int, words: int, least: float, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> DataFrame:
+    """Edges (a, b) between similar nodes of different components that share a key, of the nodes of large keys (``groups``: kind 3 of met()); a forest a pair of tiles.
 
     Each node's whole set goes once to every pair of tiles where it has a partner, not once to each
     partner; there all are compared exactly. A group holds the sets of two tiles at most.
     """
-    keyed, placed = tiled(shared, roots, nodes, tile, tile_bytes)
-    meeting = meetings(keyed, placed, words, least)
+    placed = tiled(groups, stars, roots, nodes, tile, tile_bytes)
+    meeting = partners(placed, bits, words, least)
     sets = shingle_sets(meeting.select("id").distinct(), docs, nodes, k)
 
     def settle(_: tuple, table: pa.Table) -> pa.Table:
@@ -561,12 +680,14 @@ def similar(docs: DataFrame, k: int = WORDS, least: float = LEAST) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
     nodes = rows.groupBy("node").agg(first, F.first("n").alias("n"), F.first("wide").alias("wide"))
     nodes = written(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
-    shared = met(nodes, bits, words, n)
-    pairs = written(shared.where("kind = 0").select("a", "b").union(starred(shared)).distinct(), "pairs")
+    shared = met(nodes, bits, words, n, listed=False)
+    stars = written(starred(shared), "stars")
+    pairs = written(shared.where("kind = 0").select("a", "b").union(stars).distinct(), "pairs")
     edges = linked(pairs, docs, nodes, k, words, least)
     roots = rooted(edges, nodes)
-    more = crossing(shared.where("kind = 1"), roots, docs, nodes, k, words, least)
-    if not more.isEmpty():
+    groups = shared.where("kind = 3").select("a", "b")
+    more = None if groups.isEmpty() else crossing(groups, stars, roots, docs, nodes, k, bits, words, least)
+    if more is not None and not more.isEmpty():
         roots = rooted(edges.unionByName(more), nodes)
     placed = nodes.select("id", "node", "first").join(roots, "id")
     least_of = placed.groupBy("root").agg(F.min("first").alias("kept"))
